@@ -1,10 +1,12 @@
 """Encoding and decoding with merge-type (BPE) SentencePiece vocabularies.
 
-The encoder works as the published algorithm does: the text's characters are symbols in a linked
-list, an agenda holds the adjacent pairs whose concatenation is a piece, and the pair with the best
-score (leftmost among equals) is merged until the agenda is empty. What is left outside the
-vocabulary falls back to byte pieces. Where no piece holds a space mark after another character,
-no merge crosses the front of a word, so words are encoded one by one and remembered.
+The encoder works as the published algorithm does: the text's characters are symbols, an agenda
+holds the adjacent pairs whose concatenation is a piece, and the pair with the best score (leftmost
+among equals) is merged until the agenda is empty. What is left outside the vocabulary falls back
+to byte pieces. Where no piece holds a space mark after another character, no merge crosses the
+front of a word, so words are encoded on their own and remembered. Short words that are new to a
+batch share one agenda, a matrix with a row of scored pairs for each word, and each step merges the
+best pair of every row; long runs without spaces have a heap of their own.
 
 Every Arrow batch is also encoded and decoded by the sentencepiece library, and `agrees` says
 whether ids and text are the same; the ids returned are the agenda's.
@@ -17,16 +19,21 @@ an empty result. Long texts are encoded whole; the memory of words is bounded by
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
+NONE = 2**40
+#: Words of up to so many characters advance in step with others.
+WIDTHS = (6, 9, 13, 20, 40)
 
 
 class Vocabulary:
@@ -41,7 +48,7 @@ class Vocabulary:
         odd = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(self.text) if not odd[i]}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.unknown = sp.unk_id()
+        self._pairs = self._ids_of = None
         self.byte = {int(self.text[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.raw = {i: b for b, i in self.byte.items()}
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
@@ -51,6 +58,17 @@ class Vocabulary:
         if any(sp.is_unused(i) for i in range(n)) or len(self.byte) != 256:
             raise ValueError("only models with byte pieces and without unused pieces are supported")
 
+    def splitter(self):
+        """Cuts a marked text where no merge can cross, as no piece holds the two characters side by side."""
+        if not self.by_word:
+            return lambda s: [s] if s else []
+        inside = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        letters = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+        ends = "".join(c for c in ".,;:!?" if not any(a + c in inside for a in letters))
+        alone = "".join(c for c in "\n\t\r" if not any(c in x for x in inside))
+        parts = [f"[{re.escape(alone)}]"] * bool(alone) + [f"{MARK}*[{letters}]+(?=[{re.escape(ends)}])"] * bool(ends)
+        return re.compile("|".join([*parts, f"{MARK}*[^{MARK}{re.escape(alone)}]+", f"{MARK}+"])).findall
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of a run of characters that no merge leaves."""
         score, symbols = self.score, list(word)
@@ -81,8 +99,102 @@ class Vocabulary:
                     out.extend(self.byte[b] for b in s.encode())
         return out
 
+    def pairs(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """Symbol numbers of the pieces and their characters; sorted keys of pairs that make a piece; (rank, symbol) of each.
+
+        Ranks order pieces as their scores do; pieces of equal score share a rank."""
+        if self._pairs is None:
+            number = {p: i for i, p in enumerate(self.ids)}
+            for p in self.ids:
+                for c in p:
+                    number.setdefault(c, len(number))
+            ranks = {s: r for r, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+            found = {number[a] << 32 | number[b]: (ranks[self.score[p]], number[p]) for p in self.ids for k in range(1, len(p)) if (a := p[:k]) in number and (b := p[k:]) in number}
+            keys = np.array(sorted(found), dtype=np.int64)
+            self._pairs = number, np.append(keys, np.int64(2**62)), np.array([found[k] for k in keys.tolist()] + [(NONE, 0)], dtype=np.int64)
+        return self._pairs
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """encode_word() of many words, whose agendas advance in step."""
+        number, keys, values = self.pairs()
+        out: list = [None] * len(words)
+        names, ids = self._names(number), self.ids
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            n = len(w)
+            groups.setdefault(next((m for m in WIDTHS if n <= m), 0), []).append(i)
+
+        def scored(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            k = np.where((a >= 0) & (b >= 0), a << 32 | b, -1)
+            at = np.searchsorted(keys, k)
+            hit = keys[at] == k
+            v = values[at]
+            return np.where(hit, v[..., 0], NONE), v[..., 1]
+
+        for i in groups.pop(0, []):
+            out[i] = self.encode_word(words[i])
+        for width, members in groups.items():
+            s = np.full((len(members), width), -1, dtype=np.int64)  # -1: none
+            for row, i in enumerate(members):
+                s[row, : len(words[i])] = [number.get(c, -2) for c in words[i]]  # -2: in no piece
+            where = np.array(members)
+            rank, made = scored(s[:, :-1], s[:, 1:])
+            while len(where):
+                j = rank.argmin(1)
+                rows = np.arange(len(where))
+                live = rank[rows, j] < NONE
+                for i, symbols in zip(where[~live].tolist(), s[~live].tolist(), strict=True):
+                    out[i] = self._finish(symbols, names, ids, words[i])
+                where, s, rank, made, j = where[live], s[live], rank[live], made[live], j[live]
+                rows = np.arange(len(where))
+                if not len(where):
+                    break
+                s[rows, j] = made[rows, j]
+                keep = np.ones(s.shape, dtype=bool)
+                keep[rows, j + 1] = False
+                s = s[keep].reshape(len(rows), -1)
+                keep = keep[:, 1:]
+                rank, made = rank[keep].reshape(len(rows), -1), made[keep].reshape(len(rows), -1)
+                last = rank.shape[1] - 1
+                if last < 0:
+                    rank, made = np.full((len(rows), 1), NONE), np.zeros((len(rows), 1), dtype=np.int64)
+                    continue
+                for at, ok in ((np.maximum(j - 1, 0), j > 0), (np.minimum(j, last), j <= last)):
+                    r, m = scored(s[rows, at], s[rows, at + 1])
+                    rank[rows[ok], at[ok]], made[rows[ok], at[ok]] = r[ok], m[ok]
+        return out
+
+    def _names(self, number: dict[str, int]) -> list[int]:
+        """Ids of the symbols by number; -1 for characters that are no pieces."""
+        if self._ids_of is None:
+            self._ids_of = [self.ids.get(p, -1) for p in number]
+        return self._ids_of
+
+    def _finish(self, symbols: list[int], names: list[int], ids: dict[str, int], word: str) -> list[int]:
+        try:
+            symbols = symbols[: symbols.index(-1)]
+        except ValueError:
+            pass
+        if min(symbols) >= 0:
+            out = [names[x] for x in symbols]
+            if min(out) >= 0:
+                return out
+        out, at = [], 0
+        for x in symbols:
+            i = names[x] if x >= 0 else -1
+            if i >= 0:
+                out.append(i)
+                at += len(self.text[i])
+            else:
+                out.extend(self.byte[b] for b in word[at].encode())
+                at += 1
+        return out
+
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of ids; first: they begin a text, whose leading space mark is the added one."""
+        if self.raw.keys().isdisjoint(ids):
+            text = "".join([self.text[i] for i in ids]).replace(MARK, " ")
+            return text[1:] if first and text[:1] == " " else text
         out, held = [], bytearray()
 
         def flush() -> None:
@@ -114,38 +226,41 @@ def valid(b: bytes) -> str:
     return "".join(out)
 
 
-class Words(dict):
-    """Remembers (ids, ids as text, decoded text) of words, up to a bound."""
-
-    def __init__(self, vocabulary: Vocabulary, remembered: int):
-        self.v, self.most = vocabulary, remembered
-
-    def __missing__(self, word: str):
-        ids = self.v.encode_word(word)
-        got = (ids, ",".join(map(str, ids)), self.v.decode(ids, False))
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = got
-        return got
-
-
 class Codec:
-    def __init__(self, path: str, remembered: int = 200_000):
-        self.v = Vocabulary(path)
-        self.words = Words(self.v, remembered)
-        self.split = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall if self.v.by_word else (lambda s: [s] if s else [])
-
-    def encode(self, text: str) -> tuple[list[int], str, str]:
-        """(ids, ids joined by commas, decoded text)."""
-        if not text:
-            return [], "", ""
-        got = list(map(self.words.__getitem__, self.split(MARK + text.replace(" ", MARK))))
-        ids = list(chain.from_iterable([g[0] for g in got]))
-        return ids, ",".join([g[1] for g in got]), "".join([g[2] for g in got])[1:]
-
-
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), check: bool = True, batch: int = 64) -> DataFrame:
+    """Encodes texts in batches and remembers the ids of words, up to a bound."""
+
+    def __init__(self, path: str, remembered: int = 500_000):
+        self.v = v = Vocabulary(path)
+        self.words: dict[str, bytes] = {}
+        self.most = remembered
+        self.split = v.splitter()
+        self.names = [str(i) for i in range(len(v.text))]
+        # A byte under 128 is a character of its own; the others decode in runs.
+        self.shown = [chr(v.raw[i]) if i in v.raw else t.replace(MARK, " ") for i, t in enumerate(v.text)]
+        self.high = frozenset(i for i, b in v.raw.items() if b > 127)
+
+    def encode(self, texts: list[str]) -> list[array]:
+        """Ids of each text."""
+        cut = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        if len(self.words) > self.most:
+            self.words = {}
+        words = self.words
+        new = [w for w in set(chain.from_iterable(cut)) if w not in words]
+        for w, ids in zip(new, self.v.encode_words(new), strict=True):
+            words[w] = array("i", ids).tobytes()
+        return [array("i", b"".join(map(words.__getitem__, c))) for c in cut]
+
+    def ids_text(self, ids: array) -> str:
+        return ",".join(map(self.names.__getitem__, ids))
+
+    def decode(self, ids: array) -> str:
+        if self.high.isdisjoint(ids):
+            text = "".join(map(self.shown.__getitem__, ids))
+            return text[1:] if text[:1] == " " and ids[0] not in self.v.raw else text
+        return self.v.decode(ids.tolist())
+
+
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), check: bool = True, batch: int = 128) -> DataFrame:
     """doc_id, n_tokens, the outputs, agrees (null where check is off).
 
     outputs: any of ids (array), ids_text (decimal ids joined by commas), decoded, ids_sha256, decoded_sha256."""
@@ -164,19 +279,20 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                own = [codec.encode(t) for t in texts]
+                own = codec.encode(texts)
+                decoded = [codec.decode(a) for a in own]
                 same = [None] * len(own)
                 if check:
                     ids = library.encode(texts, num_threads=1)
-                    same = [a[0] == b and a[2] == c for a, b, c in zip(own, ids, library.decode(ids, num_threads=1), strict=True)]
+                    same = [a.tolist() == b and c == d for a, b, c, d in zip(own, ids, decoded, library.decode(ids, num_threads=1), strict=True)]
                 made = {
-                    "ids": lambda: [a[0] for a in own],
-                    "ids_text": lambda: [a[1] for a in own],
-                    "decoded": lambda: [a[2] for a in own],
-                    "ids_sha256": lambda: [sha256(a[1].encode()).hexdigest() for a in own],
-                    "decoded_sha256": lambda: [sha256(a[2].encode()).hexdigest() for a in own],
+                    "ids": lambda: [a.tolist() for a in own],
+                    "ids_text": lambda: [codec.ids_text(a) for a in own],
+                    "decoded": lambda: decoded,
+                    "ids_sha256": lambda: [sha256(codec.ids_text(a).encode()).hexdigest() for a in own],
+                    "decoded_sha256": lambda: [sha256(c.encode()).hexdigest() for c in decoded],
                 }
-                cols = [part.column(0).to_pylist(), [len(a[0]) for a in own], *(made[c]() for c in outputs), same]
+                cols = [part.column(0).to_pylist(), [len(a) for a in own], *(made[c]() for c in outputs), same]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, arrow, strict=True)], schema=arrow)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)

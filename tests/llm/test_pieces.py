@@ -1,4 +1,5 @@
 import hashlib
+from array import array
 
 import public_tokenizers
 from hypothesis import given, settings
@@ -13,16 +14,18 @@ HARD = ["", " ", "   ", "a", " a", "a  ", f"a{MARK}b", f"{MARK}", f"{MARK}{MARK}
 
 def test_equals_library_on_hard_texts():
     for t in HARD:
-        ids, text, back = CODEC.encode(t)
+        (got,) = CODEC.encode([t])
+        ids, back = got.tolist(), CODEC.decode(got)
         assert ids == CODEC.v.library.encode(t), t
-        assert text == ",".join(map(str, ids))
+        assert CODEC.ids_text(got) == ",".join(map(str, ids))
         assert back == CODEC.v.library.decode(ids) == CODEC.v.decode(ids), t
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(list("aeinorst  \n.,é1" + MARK)), st.characters(exclude_categories=["Cs"])), max_size=80))
 def test_equals_library(t):
-    ids, _, back = CODEC.encode(t)
+    (got,) = CODEC.encode([t])
+    ids, back = got.tolist(), CODEC.decode(got)
     assert ids == CODEC.v.library.encode(t)
     assert back == CODEC.v.library.decode(ids)
 
@@ -30,7 +33,7 @@ def test_equals_library(t):
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(3, 400), max_size=12))
 def test_decodes_any_ids(ids):
-    assert CODEC.v.decode(ids) == CODEC.v.library.decode(ids)
+    assert CODEC.v.decode(ids) == CODEC.decode(array("i", ids)) == CODEC.v.library.decode(ids)
 
 
 def test_query_and_round_trip(spark):
@@ -45,3 +48,8 @@ def test_query_and_round_trip(spark):
         assert r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest()
     assert sorted(r.text for r in decode(out, PATH).collect()) == sorted(r.decoded for r in got)
     assert encode(docs.limit(0), PATH).count() == 0
+
+
+def test_shared_agenda_equals_heap():
+    words = sorted({w for t in HARD for w in CODEC.split(MARK + t.replace(" ", MARK))} | {"▁internationalisation", "tttttttt", "▁" * 9, "ab\x00cd"})
+    assert CODEC.v.encode_words(words) == [CODEC.v.encode_word(w) for w in words]
