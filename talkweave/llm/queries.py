@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkweave.llm import q_packing, q_pieces, q_simhash
+from talkweave.llm import q_packing, q_pieces, q_quality_rules, q_simhash
 
-PARTS = (q_packing, q_pieces, q_simhash)
+PARTS = (q_packing, q_pieces, q_quality_rules, q_simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
