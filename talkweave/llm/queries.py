@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkweave.llm import q_packing, q_pieces, q_quality_rules, q_simhash, q_suffix
+from talkweave.llm import q_packing, q_pieces, q_quality_rules, q_simhash, q_suffix, q_toxicity
 
-PARTS = (q_packing, q_pieces, q_quality_rules, q_simhash, q_suffix)
+PARTS = (q_packing, q_pieces, q_quality_rules, q_simhash, q_suffix, q_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
