@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +24,17 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for a context, unless their path has it already."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent.parent
+    if str(root) in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_talkweave_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="talkweave-")) / "talkweave.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((root / "talkweave").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._talkweave_shipped = True
