@@ -82,8 +82,8 @@ def passages(texts: list[bytes], size: int = PASSAGE) -> tuple[np.ndarray, np.nd
     for c in range(len(KINDS)):
         x[:, c] = np.bincount(where, weights=kinds[:, c], minlength=m) / chars
     c = len(KINDS)
-    x[:, c] = chars / k1 / 10
-    x[:, c + 1] = np.sqrt(np.maximum(np.bincount(own, weights=length**2, minlength=m) / k1 - (chars / k1) ** 2, 0)) / 5
+    x[:, c] = np.where(k > 0, chars / k1 / 10, 0)
+    x[:, c + 1] = np.sqrt(np.maximum(np.bincount(own, weights=length**2, minlength=m) / k1 - (chars / k1) ** 2, 0)) / 5 * (k > 0)
     spread = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
     place = (letters - at[word_of]) % 64
     step = np.random.default_rng(12).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
