@@ -8,8 +8,9 @@ front of a word, so words are encoded on their own and remembered. Short words t
 batch share one agenda, a matrix with a row of scored pairs for each word, and each step merges the
 best pair of every row; long runs without spaces have a heap of their own.
 
-Every Arrow batch is also encoded and decoded by the sentencepiece library, and `agrees` says
-whether ids and text are the same; the ids returned are the agenda's.
+In every Arrow batch the sentencepiece library encodes and decodes the words that are new to the
+worker (or, with check="documents", all texts), and `agrees` says whether ids and text are the same;
+the ids returned are the agenda's.
 
 Defined results: a null text is an empty one, which has no ids; a null id is carried through; rows
 that repeat are each encoded; other columns are ignored, whatever their names; an empty table gives
@@ -48,7 +49,7 @@ class Vocabulary:
         odd = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         self.ids = {p: i for i, p in enumerate(self.text) if not odd[i]}
         self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self._pairs = self._ids_of = None
+        self._pairs = self._of_char = self._ids_of = None
         self.byte = {int(self.text[i][1:-1], 16): i for i in range(n) if sp.is_byte(i)}
         self.raw = {i: b for b, i in self.byte.items()}
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
@@ -114,11 +115,16 @@ class Vocabulary:
             self._pairs = number, np.append(keys, np.int64(2**62)), np.array([found[k] for k in keys.tolist()] + [(NONE, 0)], dtype=np.int64)
         return self._pairs
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """encode_word() of many words, whose agendas advance in step."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """encode_word() of many words as 32-bit ids, their agendas advancing in step."""
         number, keys, values = self.pairs()
+        if self._of_char is None:
+            self._of_char = np.full(0x110000, -2, dtype=np.int64)  # -2: in no piece
+            for c, k in number.items():
+                if len(c) == 1:
+                    self._of_char[ord(c)] = k
+            self._ids_of = np.array([self.ids.get(p, -1) for p in number], dtype=np.int32)
         out: list = [None] * len(words)
-        names, ids = self._names(number), self.ids
         groups: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             n = len(w)
@@ -131,24 +137,34 @@ class Vocabulary:
             v = values[at]
             return np.where(hit, v[..., 0], NONE), v[..., 1]
 
+        def done(where: np.ndarray, s: np.ndarray) -> None:
+            """Keeps the ids of finished rows; rows with characters that are no pieces get byte pieces."""
+            ids = np.where(s >= 0, self._ids_of[np.maximum(s, 0)], -1)
+            n = (s != -1).sum(1)
+            plain = ((ids >= 0).sum(1) == n).tolist()
+            flat, ends = ids[s != -1].astype("<i4").tobytes(), (np.cumsum(n) * 4).tolist()
+            at = 0
+            for k, (i, end, ok) in enumerate(zip(where.tolist(), ends, plain, strict=True)):
+                out[i] = flat[at:end] if ok else array("i", self._with_bytes(ids[k, : n[k]].tolist(), words[i])).tobytes()
+                at = end
+
         for i in groups.pop(0, []):
-            out[i] = self.encode_word(words[i])
+            out[i] = array("i", self.encode_word(words[i])).tobytes()
         for width, members in groups.items():
-            s = np.full((len(members), width), -1, dtype=np.int64)  # -1: none
-            for row, i in enumerate(members):
-                s[row, : len(words[i])] = [number.get(c, -2) for c in words[i]]  # -2: in no piece
+            chars = np.frombuffer("".join([words[i].ljust(width, "\0") for i in members]).encode("utf-32-le"), dtype=np.uint32).reshape(-1, width)
+            n = np.array([len(words[i]) for i in members])
+            s = np.where(np.arange(width) < n[:, None], self._of_char[chars], -1)  # -1: none
             where = np.array(members)
             rank, made = scored(s[:, :-1], s[:, 1:])
             while len(where):
                 j = rank.argmin(1)
+                live = rank[np.arange(len(where)), j] < NONE
+                if not live.all():
+                    done(where[~live], s[~live])
+                    where, s, rank, made, j = where[live], s[live], rank[live], made[live], j[live]
+                    if not len(where):
+                        break
                 rows = np.arange(len(where))
-                live = rank[rows, j] < NONE
-                for i, symbols in zip(where[~live].tolist(), s[~live].tolist(), strict=True):
-                    out[i] = self._finish(symbols, names, ids, words[i])
-                where, s, rank, made, j = where[live], s[live], rank[live], made[live], j[live]
-                rows = np.arange(len(where))
-                if not len(where):
-                    break
                 s[rows, j] = made[rows, j]
                 keep = np.ones(s.shape, dtype=bool)
                 keep[rows, j + 1] = False
@@ -157,31 +173,17 @@ class Vocabulary:
                 rank, made = rank[keep].reshape(len(rows), -1), made[keep].reshape(len(rows), -1)
                 last = rank.shape[1] - 1
                 if last < 0:
-                    rank, made = np.full((len(rows), 1), NONE), np.zeros((len(rows), 1), dtype=np.int64)
-                    continue
+                    done(where, s)
+                    break
                 for at, ok in ((np.maximum(j - 1, 0), j > 0), (np.minimum(j, last), j <= last)):
                     r, m = scored(s[rows, at], s[rows, at + 1])
                     rank[rows[ok], at[ok]], made[rows[ok], at[ok]] = r[ok], m[ok]
         return out
 
-    def _names(self, number: dict[str, int]) -> list[int]:
-        """Ids of the symbols by number; -1 for characters that are no pieces."""
-        if self._ids_of is None:
-            self._ids_of = [self.ids.get(p, -1) for p in number]
-        return self._ids_of
-
-    def _finish(self, symbols: list[int], names: list[int], ids: dict[str, int], word: str) -> list[int]:
-        try:
-            symbols = symbols[: symbols.index(-1)]
-        except ValueError:
-            pass
-        if min(symbols) >= 0:
-            out = [names[x] for x in symbols]
-            if min(out) >= 0:
-                return out
+    def _with_bytes(self, ids: list[int], word: str) -> list[int]:
+        """ids of symbols, -1 for characters that are no pieces."""
         out, at = [], 0
-        for x in symbols:
-            i = names[x] if x >= 0 else -1
+        for i in ids:
             if i >= 0:
                 out.append(i)
                 at += len(self.text[i])
@@ -227,28 +229,50 @@ def valid(b: bytes) -> str:
 
 
 class Codec:
-    """Encodes texts in batches and remembers the ids of words, up to a bound."""
+    """Encodes texts in batches and remembers the ids of words, the last `remembered` to twice as many."""
 
-    def __init__(self, path: str, remembered: int = 500_000):
+    def __init__(self, path: str, remembered: int = 250_000):
         self.v = v = Vocabulary(path)
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most = remembered
+        self.wrong: set[str] = set()
         self.split = v.splitter()
         self.names = [str(i) for i in range(len(v.text))]
         # A byte under 128 is a character of its own; the others decode in runs.
         self.shown = [chr(v.raw[i]) if i in v.raw else t.replace(MARK, " ") for i, t in enumerate(v.text)]
         self.high = frozenset(i for i, b in v.raw.items() if b > 127)
+        #: Words can be compared one by one if a line end is always a byte piece of its own.
+        self.line_end = [*v.library.encode("\n")] if v.by_word and not any("\n" in p for p in v.ids) else None
 
-    def encode(self, texts: list[str]) -> list[array]:
-        """Ids of each text."""
+    def encode(self, texts: list[str], check: bool = False) -> list[tuple[array, bool]]:
+        """(ids, whether the library agrees on every word) of each text; without check always true."""
         cut = [self.split(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.words) > self.most:
-            self.words = {}
-        words = self.words
-        new = [w for w in set(chain.from_iterable(cut)) if w not in words]
-        for w, ids in zip(new, self.v.encode_words(new), strict=True):
-            words[w] = array("i", ids).tobytes()
-        return [array("i", b"".join(map(words.__getitem__, c))) for c in cut]
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
+        new = []
+        for w in set(chain.from_iterable(cut)):
+            if w not in words:
+                if w in older:
+                    words[w] = older[w]
+                else:
+                    new.append(w)
+        made = self.v.encode_words(new)
+        words.update(zip(new, made, strict=True))
+        if check:
+            self.wrong.update(self.differing(new, made))
+        wrong = self.wrong
+        return [(array("i", b"".join(map(words.__getitem__, c))), not wrong or wrong.isdisjoint(c)) for c in cut]
+
+    def differing(self, words: list[str], made: list[bytes]) -> list[str]:
+        """Words whose ids, or the text decoded from them, differ from the library's. Others than those with a space in front follow a line end."""
+        own = [array("i", b).tolist() for b in made]
+        marked = [w[0] == MARK and len(w) > 1 for w in words]  # the library has no ids for an empty text
+        whole = [a if m else self.line_end + a for a, m in zip(own, marked, strict=True)]
+        theirs = self.v.library.encode([w[1:] if m else "\n" + w for w, m in zip(words, marked, strict=True)], num_threads=1)
+        texts = self.v.library.decode(whole, num_threads=1)
+        return [w for w, a, b, t, m in zip(words, whole, theirs, texts, marked, strict=True) if a != b or t != (w[1:] if m else "\n" + w).replace(MARK, " ")]
 
     def ids_text(self, ids: array) -> str:
         return ",".join(map(self.names.__getitem__, ids))
@@ -260,10 +284,16 @@ class Codec:
         return self.v.decode(ids.tolist())
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), check: bool = True, batch: int = 128) -> DataFrame:
-    """doc_id, n_tokens, the outputs, agrees (null where check is off).
+#: One for each model and worker process, which serves many tasks.
+CODECS: dict[str, Codec] = {}
+
 
-    outputs: any of ids (array), ids_text (decimal ids joined by commas), decoded, ids_sha256, decoded_sha256."""
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded"), check: str = "words", batch: int = 256) -> DataFrame:
+    """doc_id, n_tokens, the outputs, agrees.
+
+    outputs: any of ids (array), ids_text (decimal ids joined by commas), decoded, ids_sha256, decoded_sha256.
+    check: "words" compares the words that are new to a worker with the library, batch by batch;
+    "documents" compares whole documents as well; "off" compares nothing (agrees is null)."""
     from hashlib import sha256
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -273,18 +303,21 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     arrow = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        from talkweave.llm.piece_codec import CODECS
+
+        codec = CODECS.get(model) or CODECS.setdefault(model, Codec(model))
         library = codec.v.library
+        whole_too = check == "documents" or check == "words" and codec.line_end is None
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                own = codec.encode(texts)
+                coded = codec.encode(texts, check != "off" and codec.line_end is not None)
+                own, same = [a for a, _ in coded], [s if check != "off" else None for _, s in coded]
                 decoded = [codec.decode(a) for a in own]
-                same = [None] * len(own)
-                if check:
+                if whole_too:
                     ids = library.encode(texts, num_threads=1)
-                    same = [a.tolist() == b and c == d for a, b, c, d in zip(own, ids, decoded, library.decode(ids, num_threads=1), strict=True)]
+                    same = [s and a.tolist() == b and c == d for s, a, b, c, d in zip(same, own, ids, decoded, library.decode(ids, num_threads=1), strict=True)]
                 made = {
                     "ids": lambda: [a.tolist() for a in own],
                     "ids_text": lambda: [codec.ids_text(a) for a in own],

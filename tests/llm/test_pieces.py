@@ -14,7 +14,8 @@ HARD = ["", " ", "   ", "a", " a", "a  ", f"a{MARK}b", f"{MARK}", f"{MARK}{MARK}
 
 def test_equals_library_on_hard_texts():
     for t in HARD:
-        (got,) = CODEC.encode([t])
+        ((got, same),) = CODEC.encode([t], True)
+        assert same
         ids, back = got.tolist(), CODEC.decode(got)
         assert ids == CODEC.v.library.encode(t), t
         assert CODEC.ids_text(got) == ",".join(map(str, ids))
@@ -24,7 +25,8 @@ def test_equals_library_on_hard_texts():
 @settings(max_examples=400, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from(list("aeinorst  \n.,é1" + MARK)), st.characters(exclude_categories=["Cs"])), max_size=80))
 def test_equals_library(t):
-    (got,) = CODEC.encode([t])
+    ((got, same),) = CODEC.encode([t], True)
+    assert same
     ids, back = got.tolist(), CODEC.decode(got)
     assert ids == CODEC.v.library.encode(t)
     assert back == CODEC.v.library.decode(ids)
@@ -52,4 +54,16 @@ def test_query_and_round_trip(spark):
 
 def test_shared_agenda_equals_heap():
     words = sorted({w for t in HARD for w in CODEC.split(MARK + t.replace(" ", MARK))} | {"▁internationalisation", "tttttttt", "▁" * 9, "ab\x00cd"})
-    assert CODEC.v.encode_words(words) == [CODEC.v.encode_word(w) for w in words]
+    assert [array("i", b).tolist() for b in CODEC.v.encode_words(words)] == [CODEC.v.encode_word(w) for w in words]
+
+
+def test_a_wrong_word_is_told():
+    codec = Codec(PATH)
+    right = codec.v.encode_words
+    codec.v.encode_words = lambda ws: [b if w != "▁bad" else array("i", [300]).tobytes() for w, b in zip(ws, right(ws), strict=True)]
+    assert [s for _, s in codec.encode(["good one", "a bad one", ""], True)] == [True, False, True]
+
+
+def test_whole_documents_agree(spark):
+    docs = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    assert all(r.agrees for r in encode(docs, PATH, check="documents").collect())
