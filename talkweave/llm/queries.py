@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talkweave.llm import q_chat, q_packing, q_pieces, q_quality_mil, q_quality_rules, q_simhash, q_suffix, q_toxicity
+from talkweave.llm import q_chat, q_packing, q_pieces, q_quality_mil, q_quality_rules, q_range_join, q_simhash, q_suffix, q_toxicity
 
-PARTS = (q_chat, q_packing, q_pieces, q_quality_mil, q_quality_rules, q_simhash, q_suffix, q_toxicity)
+PARTS = (q_chat, q_packing, q_pieces, q_quality_mil, q_quality_rules, q_range_join, q_simhash, q_suffix, q_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
