@@ -42,32 +42,35 @@ from talkweave.llm.common import shuffle_partitions
 U = np.uint64
 NO_ID = np.iinfo(np.int64).max
 #: Bytes of text that are hashed at a time.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
-    """Hash of the `gram` bytes from each position on, by doubling; the last gram - 1 are of no use."""
-    h = b.astype(U) + U(1)
-    out, done, size, factor = None, 0, 1, 0x9E3779B97F4A7C15
-    while size <= gram:
+    """Hash of the `gram` bytes from each position on, by doubling."""
+    h = b.astype(U)
+    h += U(1)
+    factor, out, size = 0x9E3779B97F4A7C15, None, 1
+    done = 0
+    while True:
         if gram & size:
             if out is None:
                 out, done = h, size
             else:  # the part found so far, then the next `size` bytes
-                nxt = np.zeros_like(h)
-                nxt[: len(h) - done] = h[done:]
-                out, done = out * U(pow(factor, size, 2**64)) + nxt, done + size
+                n = len(h) - done
+                out = out[:n] * U(pow(factor, size, 2**64))
+                out += h[done:]
+                done += size
         if size * 2 > gram:
             break
-        nxt = np.zeros_like(h)
-        nxt[: len(h) - size] = h[size:]
-        h = h * U(pow(factor, size, 2**64)) + nxt
-        size *= 2
-    x = out ^ out >> U(31)
+        nxt = h[:-size] * U(pow(factor, size, 2**64))
+        nxt += h[size:]
+        h, size = nxt, size * 2
+    out = out[: len(b) - gram + 1]
+    x = out >> U(31)
+    x ^= out
     x *= U(0xBF58476D1CE4E5B9)
-    x ^= x >> U(29)
-    x *= U(0x94D049BB133111EB)
-    return x ^ x >> U(32)
+    x ^= x >> U(32)
+    return x
 
 
 def window_least(v: np.ndarray, width: int) -> np.ndarray:
@@ -97,30 +100,32 @@ class Block:
 
     def _find(self) -> None:
         """at: anchors, ascending; grams: their hashes; doc: their documents."""
-        width = self.span - self.gram + 1
-        found, hashes = [], []
-        n, i = len(self.starts) - 1, 0
+        width, found, hashes = self.span - self.gram + 1, [], []
+        place = np.arange(CHUNK * 3 + self.span, dtype=U)
+        n, i, starts = len(self.starts) - 1, 0, self.starts.tolist()
         while i < n:
             j = i + 1
-            while j < n and self.starts[j + 1] - self.starts[i] <= CHUNK:
+            while j < n and starts[j + 1] - starts[i] <= CHUNK:
                 j += 1
-            lo, hi = int(self.starts[i]), int(self.starts[j])
-            # Long documents go in overlapping pieces.
+            lo, hi = starts[i], starts[j]
+            # Long documents go in overlapping pieces, each window in one.
             for s in range(lo, max(lo + 1, hi - self.span + 1), CHUNK * 2):
                 e = min(hi, s + CHUNK * 2 + self.span - 1)
                 if e - s < self.span:
                     continue
-                h = gram_hashes(self.bytes[s:e], self.gram)[: e - s - self.gram + 1]
+                h = gram_hashes(self.bytes[s:e], self.gram)
                 # The position in the low bits: among equal hashes the leftmost is taken.
-                v = (h >> U(20) << U(20)) | np.arange(len(h), dtype=U)
-                least = window_least(v, width)
-                first = np.arange(s, s + len(least))
-                ends = np.searchsorted(self.starts, first, side="right")
-                inside = first + self.span <= self.starts[ends]
-                p = (least[inside] & U(0xFFFFF)).astype(np.int64)
-                if len(p):
+                v = h >> U(20)
+                v <<= U(20)
+                v |= place[: len(h)]
+                p = window_least(v, width)
+                p &= U(0xFFFFF)
+                inside = np.ones(len(p), dtype=bool)
+                for k in range(i + 1, j):  # no window crosses the end of a document
+                    inside[max(0, starts[k] - self.span + 1 - s) : max(0, starts[k] - s)] = False
+                p = p[inside].astype(np.int64)
+                if len(p):  # anchors of windows in a row never go back
                     p = p[np.concatenate([[True], p[1:] != p[:-1]])]
-                    p = np.unique(p)
                     found.append(p + s)
                     hashes.append(h[p])
             i = j
@@ -168,15 +173,32 @@ class Block:
         ctx = ctx.copy()
         cols = np.arange(reach + self.span)
         ctx[(cols < (reach - before)[:, None]) | (cols >= (reach + after)[:, None])] = 0
-        rec = np.concatenate([ctx, before.astype(np.uint8)[:, None], after.astype(np.uint8)[:, None]], axis=1)
-        rec = np.concatenate([rec, np.zeros((len(rec), -rec.shape[1] % 8), dtype=np.uint8)], axis=1)
-        run, order = class_of(np.ascontiguousarray(rec).view(">u8"), np.zeros(len(rec), dtype=np.int64))
-        first = np.nonzero(np.concatenate([[True], run[order][1:] != run[order][:-1]]))[0] if len(order) else np.zeros(0, dtype=np.int64)
+        rec = np.zeros((len(ctx), -(-(ctx.shape[1] + 2) // 8) * 8), dtype=np.uint8)
+        rec[:, : ctx.shape[1]], rec[:, -2], rec[:, -1] = ctx, before, after
+        run, order, first = equal_rows(rec)
         low = np.minimum.reduceat(self.ids[doc[order]], first) if len(first) else np.zeros(0, dtype=np.int64)
         pick = order[first]
         return ctx[pick], np.stack([before[pick], after[pick]], axis=1), low, run
 
 
+def equal_rows(rec: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each row, an order that has classes together, where classes begin in it). Rows of a class are equal
+    byte for byte; equal rows are of one class unless their hash is that of another row as well."""
+    words = np.ascontiguousarray(rec).view(U)
+    h = np.zeros(len(rec), dtype=U)
+    for c in range(words.shape[1]):
+        h *= U(0x9E3779B97F4A7C15)
+        h += words[:, c]
+        h ^= h >> U(29)
+    order = np.argsort(h, kind="stable")
+    w = words[order]
+    head = np.ones(len(rec), dtype=bool)
+    head[1:] = (w[1:] != w[:-1]).any(1)
+    run = np.empty(len(rec), dtype=np.int64)
+    run[order] = np.cumsum(head) - 1
+    return run, order, np.nonzero(head)[0]
+
+
 def class_of(words: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort: (class, order) of rows of big-endian words. Each step sorts by the next word only
     what is still in a run of equal rows. Classes are numbered in sorted order, first by the given run."""
@@ -223,6 +245,30 @@ def prefix_classes(rows: np.ndarray, run: np.ndarray, lengths: range) -> list[np
 
 def earlier_windows(ctx: np.ndarray, sides: np.ndarray, ids: np.ndarray, span: int, gram: int) -> np.ndarray:
     """For each context, bit o: its window that starts o bytes before the anchor also is in a context of smaller id."""
+    reach, n = span - gram, len(ctx)
+    bits = np.zeros(n, dtype=U)
+    if n < 2:
+        return bits
+    # Equal contexts from several blocks: all windows of a later one are in the earliest, which alone is looked at further.
+    rec = np.zeros((n, -(-(ctx.shape[1] + 2) // 8) * 8), dtype=np.uint8)
+    rec[:, : ctx.shape[1]], rec[:, -2:] = ctx, sides
+    same, order, first = equal_rows(rec)
+    del rec
+    least = np.minimum.reduceat(ids[order], first)
+    one = order[first]
+    own = _of_distinct(ctx[one], sides[one], least, span, gram)[same]
+    bits = np.where(ids > least[same], fitting(sides, span, reach), own)
+    return bits
+
+
+def fitting(sides: np.ndarray, span: int, reach: int) -> np.ndarray:
+    """Bits of the windows that lie inside the document."""
+    high, low = np.minimum(sides[:, 0], reach).astype(U), np.maximum(0, span - sides[:, 1]).astype(U)
+    ok = high >= low
+    return np.where(ok, (U(1) << (high + U(1))) - (U(1) << np.minimum(low, high)), U(0))
+
+
+def _of_distinct(ctx: np.ndarray, sides: np.ndarray, ids: np.ndarray, span: int, gram: int) -> np.ndarray:
     reach, n = span - gram, len(ctx)
     bits = np.zeros(n, dtype=U)
     if n < 2:
@@ -268,12 +314,15 @@ def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes],
         mine = bits[run]
         # A later document of the block with the same context has all of its windows in the earlier one.
         copy = block.ids[doc] > low[run]
-        before, after = at - block.starts[doc], block.starts[doc + 1] - at
-        for o in range(reach + 1):
-            hit = (mine >> U(o) & U(1)).astype(bool) | (copy & (before >= o) & (after >= block.span - o))
-            s = at[hit] - o
-            np.add.at(cover, s, 1)
-            np.add.at(cover, s + block.span, -1)
+        sides = np.stack([np.minimum(at - block.starts[doc], reach), np.minimum(block.starts[doc + 1] - at, block.span)], axis=1)
+        mine = np.where(copy, fitting(sides, block.span, reach), mine)
+        hit = mine > 0
+        # All windows of an anchor overlap, so what they cover is one interval.
+        mine, at = mine[hit], at[hit]
+        most = np.frexp(mine.astype(np.float64))[1] - 1
+        fewest = np.frexp((mine & (~mine + U(1))).astype(np.float64))[1] - 1
+        cover += np.bincount(at - most, minlength=len(cover)).astype(np.int32)
+        cover -= np.bincount(at - fewest + block.span, minlength=len(cover)).astype(np.int32)
     gone = np.cumsum(cover[:-1]) > 0
     edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
     # Intervals that meet at a document's end are two.
@@ -307,7 +356,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     blocks = max(shuffle_partitions(spark), math.ceil(total / block_bytes))
     expected = 2 * total // (span - gram + 2)  # anchors
     buckets = max(1, math.ceil(expected / bucket_rows))
-    splitters = sample_splitters(d, span, gram, total, max(buckets, shuffle_partitions(spark)))
+    splitters = sample_splitters(d, span, gram, total, max(4 * buckets, shuffle_partitions(spark)))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "data"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -318,9 +367,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, dtype="<u4") for x in table.column("data").to_pylist()]
-        every = np.sort(np.concatenate(parts))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
-        out = [np.packbits(np.isin(p, twice, assume_unique=False)).tobytes() for p in parts]
+        every = np.concatenate(parts)
+        order = np.argsort(every, kind="stable")
+        equal = every[order][1:] == every[order][:-1]
+        told = np.zeros(len(every), dtype=bool)
+        told[order[1:][equal]] = told[order[:-1][equal]] = True
+        ends = np.cumsum([len(p) for p in parts])
+        out = [np.packbits(told[e - len(p) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
         return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array(out, pa.binary())})
 
     def put(key: tuple[pa.Scalar, ...], table: pa.Table, bits: pa.Table) -> pa.Table:
