@@ -55,7 +55,7 @@ def linear_tree(rows: DataFrame, tree_col: str = "conv_id", order_col: str = "tu
 def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, depth): the messages on the path from the root to each leaf, the root's depth being 1.
 
-    First every message learns its depth by pointer doubling; then each leaf's path is unrolled, one self-join
+    First every message learns its depth by pointer doubling, in rounds that drop who has met the root; then each leaf's path is unrolled, one self-join
     for each bit of the depth: the rows at a multiple of 2**k steps above a leaf are joined with their ancestor
     2**(k-1) steps further up."""
     named = F.coalesce(F.col("tree").cast("string"), F.lit("\0null"))
@@ -64,22 +64,27 @@ def paths(messages: DataFrame) -> DataFrame:
     there = m.select("t", F.col("id").alias("parent"), F.lit(True).alias("found"))
     m = m.withColumn("parent", F.when(F.col("parent") != F.col("id"), F.col("parent")))
     up = m.join(there, ["t", "parent"], "left").select("t", "id", F.when(F.col("found"), F.col("parent")).alias("up"))
-    # jumps[k]: ancestor 2**k steps above; depth: steps to the root so far.
-    jump = durable(up)
-    state = durable(jump.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1)))
-    jumps = [jump]
-    largest = jump.groupBy("t").count().agg(F.max("count")).first()[0] or 0
-    # Whoever has not met a root after as many steps as its tree has messages goes in circles.
-    while 2 ** (len(jumps) - 1) < largest and state.filter("up is not null").limit(1).count():
-        far = state.select("t", F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
-        state = durable(state.join(far, ["t", "up"], "left").select("t", "id", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
-        jumps.append(state.select("t", "id", "up"))
-    whole = state.filter("up is null").select("t", "id", (F.col("steps") + 1).alias("depth"))
+    # up: the ancestor 2**k steps above in round k; steps: how far that is, or the root.
+    state = durable(up.withColumn("steps", F.when(F.col("up").isNull(), 0).otherwise(1)))
+    largest = state.groupBy("t").agg(F.count("up").alias("under")).agg(F.max("under")).first()[0] or 0
+    # Each round works on the messages that have not met their root alone. Whoever has not after as many steps
+    # as its tree has messages goes in circles.
+    rooted, rounds = state.filter("up is null"), [state.filter("up is not null")]
+    while 2 ** (len(rounds) - 1) <= largest:
+        known = rooted.unionByName(rounds[-1])
+        far = known.select("t", F.col("id").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"))
+        state = durable(rounds[-1].join(far, ["t", "up"], "left").select("t", "id", F.col("next").alias("up"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        rooted = rooted.unionByName(state.filter("up is null"))
+        rounds.append(state.filter("up is not null"))
+    jumps = [r.select("t", "id", "up") for r in rounds]
+    whole = rooted.select("t", "id", (F.col("steps") + 1).alias("depth"))
     leaves = whole.join(m.select("t", F.col("parent").alias("id")), ["t", "id"], "left_anti")
     rows = leaves.select("t", F.col("id").alias("leaf"), F.col("id").alias("node"), "depth")
     for step, jump in reversed([(2**k, j) for k, j in enumerate(jumps)]):
-        above = jump.filter("up is not null").select("t", F.col("id").alias("node"), "up")
-        rows = rows.unionByName(rows.join(above, ["t", "node"]).select("t", "leaf", F.col("up").alias("node"), (F.col("depth") - step).alias("depth")))
+        above = jump.select("t", F.col("id").alias("node"), "up")
+        here, further = F.struct("node", "depth"), F.struct(F.col("up").alias("node"), (F.col("depth") - step).alias("depth"))
+        both = F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, further))
+        rows = rows.join(above, ["t", "node"], "left").select("t", "leaf", F.explode(both).alias("x")).select("t", "leaf", "x.node", "x.depth")
     return rows
 
 
