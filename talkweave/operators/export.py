@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -80,9 +80,49 @@ def write_lines(messages: DataFrame, own_name: str, path: str) -> None:
     txt_lines(messages, own_name).orderBy("position").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
+# Wording of one-line renderings.
+OWN_SHORT = "我"
+SENT_GROUP, FROM_GROUP, FROM_MEMBER, MOVED_GROUP = " 发送到群「", " 来自群「", "」的", " 群消息更新「"
+SENT, FROM, MOVED, SAYS = " 发送给", " 来自", " 会话更新「", "："
+
+
+def bare_name(shown: Column, user: Column) -> Column:
+    """A shown name without the id behind it."""
+    tail = F.concat(F.lit("（"), user, F.lit("）"))
+    return F.when(shown.endswith(tail) & (F.length(shown) > F.length(tail)), F.substr(shown, F.lit(1), F.length(shown) - F.length(tail))).otherwise(shown)
+
+
 def query_line(messages: DataFrame) -> DataFrame:
-    """(line) of enriched messages: time, sender and one-line rendering."""
-    return messages.select(*KEY, F.concat(F.lit("["), text.clock(F.col("create_time")), F.lit("] "), "sender_display_name", F.lit(": "), "snippet").alias("line"))
+    """(order keys, line) of enriched messages: time, who in groups or which way in private, one-line rendering."""
+    who = F.when(F.col("direction") == "outgoing", OWN_SHORT).otherwise(bare_name(F.col("sender_display_name"), F.col("sender")))
+    mark = F.when(text.is_group(F.col("talker")), F.concat(F.lit("["), who, F.lit("]"))).when(F.col("direction") == "outgoing", ">>").otherwise("<<")
+    return messages.select(*KEY, F.concat_ws(" ", text.clock(F.col("create_time")), mark, "snippet").alias("line"))
+
+
+def search_line(hits: DataFrame) -> DataFrame:
+    """(order keys, line) of search hits: time, conversation, in groups the sender, one-line rendering."""
+    where, who = bare_name(F.col("talker_display_name"), F.col("talker")), bare_name(F.col("sender_display_name"), F.col("sender"))
+    body = F.when(text.is_group(F.col("talker")), F.concat(F.lit("[群「"), where, F.lit("」] "), who, F.lit(": "), "snippet")).otherwise(F.concat(F.lit("["), where, F.lit("] "), "snippet"))
+    return hits.select(*KEY, F.concat(text.clock(F.col("create_time")), F.lit("  "), body).alias("line"))
+
+
+def watch_line(sessions: DataFrame, resolver: DataFrame, at: Column) -> DataFrame:
+    """(username, line) of enriched sessions that moved: when it was seen, which way, who, and the summary or the kind of message."""
+    from talkweave.functions import labels
+    from talkweave.operators.people import with_name
+
+    d = with_name(sessions.withColumn("__sender", F.coalesce("last_msg_sender", F.lit(""))), "__sender", resolver, "__who")
+    said = F.coalesce(text.full(F.col("summary")), F.concat(F.lit("["), labels.msg_type_label(F.col("last_msg_type")), F.lit("]")), F.lit(""))
+    way, name, end = F.col("direction"), F.col("display_name"), F.lit("」" + SAYS)
+    group = (
+        F.when(way == "outgoing", F.concat(F.lit(SENT_GROUP), name, end))
+        .when((way == "incoming") & (F.col("__sender") != ""), F.concat(F.lit(FROM_GROUP), name, F.lit(FROM_MEMBER), "__who", F.lit(SAYS)))
+        .when(way == "incoming", F.concat(F.lit(FROM_GROUP), name, end))
+        .otherwise(F.concat(F.lit(MOVED_GROUP), name, end))
+    )
+    private = F.when(way == "outgoing", F.concat(F.lit(SENT), name, F.lit(SAYS))).when(way == "incoming", F.concat(F.lit(FROM), name, F.lit(SAYS))).otherwise(F.concat(F.lit(MOVED), name, end))
+    line = F.concat(text.clock(at, "HH:mm:ss"), F.when(text.is_group(F.col("username")), group).otherwise(private), said)
+    return d.select("username", line.alias("line"))
 
 
 def contact_lines(contacts: DataFrame) -> DataFrame:

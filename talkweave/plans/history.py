@@ -143,10 +143,11 @@ def export_counters(spark: SparkSession, root: str) -> DataFrame:
     return export.counters(A.events(spark, root).withColumn("media_kind", kind)).select("talker", "sort_seq", "server_id", "media_kind", "number")
 
 
-@query(f"WITH {CONV} SELECT sort_seq, create_time, server_id, '[' || strftime(to_timestamp(create_time) AT TIME ZONE 'UTC', '%m-%d %H:%M') || '] ' || sender || ': ' || text AS line FROM conv")
+@query(f"""WITH {CONV} SELECT sort_seq, create_time, server_id, strftime(to_timestamp(create_time) AT TIME ZONE 'UTC', '%m-%d %H:%M') || ' ' ||
+CASE WHEN talker LIKE '%@chatroom' THEN '[' || CASE WHEN sender = 'user' THEN '我' ELSE sender END || ']' WHEN sender = 'user' THEN '>>' ELSE '<<' END || ' ' || text AS line FROM conv""")
 def query_lines(spark: SparkSession, root: str) -> DataFrame:
-    d = A.conversations(spark, root).withColumns({"snippet": snippet(F.col("content_kind"), F.col("content")), "sender_display_name": F.col("sender")})
-    return export.query_line(d)
+    d = A.conversations(spark, root)
+    return export.query_line(d.withColumns({"snippet": snippet(F.col("content_kind"), F.col("content")), "sender_display_name": F.col("sender"), "direction": text.direction(F.col("sender"), "user")}))
 
 
 MEDIA = f"""{LIN}, task AS (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.functions.text import shard_id
@@ -57,3 +57,30 @@ def after_ingest(files: DataFrame, seen: DataFrame, failed: DataFrame) -> DataFr
     if n and not ok:
         raise OSError("no source file could be read")
     return seen.select("path", "mtime").join(done.select("path"), "path", "left_anti").unionByName(done)
+
+
+def write_ranges(ranges: DataFrame, path: str) -> None:
+    """Shard ranges (shard_id, start_time, end_time) beside the data; the new table replaces the old one as a whole."""
+    ranges.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_ranges(spark: SparkSession, path: str) -> DataFrame | None:
+    """Shard ranges, None if they are missing or damaged."""
+    try:
+        d = spark.read.schema("shard_id long, start_time long, end_time long").option("mode", "FAILFAST").json(path)
+        d.count()
+    except Exception:  # noqa: BLE001  any error means that there are none
+        return None
+    return d
+
+
+def routed(ranges: DataFrame | None, since: int | None, until: int | None, last_activity: int | None) -> list[int] | None:
+    """Shards that a time range needs; None for all: without bounds, without ranges, or where nothing is saved.
+
+    The upper bound is the conversation's last activity if none is given. One row for each shard reaches the driver."""
+    if ranges is None or since is None and until is None or until is None and last_activity is None:
+        return None
+    low, high = since or 0, until if until is not None else last_activity
+    found = ranges.select("shard_id", ((F.col("start_time") <= high) & (F.col("end_time") >= low)).alias("meets")).collect()
+    need = [r.shard_id for r in found if r.meets]
+    return need if 0 < len(need) < len(found) else None

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
@@ -93,3 +93,9 @@ def replay_sessions(snapshots: DataFrame) -> DataFrame:
 def write_json(stream: DataFrame, path: str, checkpoint: str):
     """JSON lines of a stream, in micro-batches that are whole or absent."""
     return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def heartbeats(spark: SparkSession, seconds: int = 15) -> DataFrame:
+    """A stream of (type, payload) rows, one every so many seconds."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load().filter(F.col("value") % seconds == 0)
+    return ticks.select(F.lit("heartbeat").alias("type"), F.to_json(F.struct(F.unix_seconds("timestamp").alias("at"))).alias("payload"))

@@ -335,3 +335,23 @@ def test_names(spark):
     ids = spark.createDataFrame([(1, "one")], "id long, username string")
     assert tuple(people.name_hits(hits, ids).select("talker", "sender").first()) == ("one", "unknown:2")
     assert privacy.hidden_ids(contacts(spark), ["z"], []).collect()[0].id == "z"
+
+
+def test_lines(spark):
+    s = store(spark)
+    both = s.export("g@chatroom", everything=True, order="asc").unionByName(s.export("alice", everything=True))
+    assert {r.line for r in export.query_line(both).collect()} == {"11-14 22:13 [Bobby] [引用] re", "11-14 22:13 [我] open words", "11-14 22:13 << hello from alice"}
+    assert [r.line for r in export.search_line(s.search("words").items).collect()] == ["11-14 22:13  [群「g@chatroom」] me: open words"]
+    d = people.enrich_sessions(s.sessions, s.resolver, "me")
+    lines = {r.username: r.line for r in export.watch_line(d, s.resolver, F.lit(3661)).collect()}
+    assert lines["alice"] == "01:01:01 来自Alice（alice）：hi" and lines["bob"] == "01:01:01 发送给Bobby（bob）：yo"
+    assert lines["g@chatroom"] == "01:01:01 来自群「g@chatroom」的Tag（tagged）：sum"
+
+
+def test_routing(spark, tmp_path):
+    ranges = M.shard_ranges(spark.createDataFrame([(0, 100), (1, 200), (2, 300)], "shard_id long, start_time long"))
+    assert manifest.read_ranges(spark, f"{tmp_path}/r") is None
+    manifest.write_ranges(ranges, f"{tmp_path}/r")
+    kept = manifest.read_ranges(spark, f"{tmp_path}/r")
+    assert manifest.routed(kept, 150, 250, None) == [0, 1] and manifest.routed(kept, 250, None, 260) == [1]
+    assert manifest.routed(kept, None, None, 5) is None and manifest.routed(kept, 0, 999, None) is None and manifest.routed(None, 1, 2, 3) is None
