@@ -23,7 +23,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from talkweave.llm.labelled import bounded_sample
 from talkweave.llm.toxicity import batches_of
