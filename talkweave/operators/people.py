@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave import schema as S
 from talkweave.functions import text, wire
 from talkweave.page import effective_limit
 
