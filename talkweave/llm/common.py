@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -86,5 +87,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return members.union(e.groupBy("b").agg(F.first("b").alias("component")).select(F.col("b").alias("node"), "component"))
 
 
-def text_or_empty(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+def settled(result):
+    """result, after freed memory has gone back to the system: workers serve many tasks, and are idle between."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+    return result

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.llm.common import connected_components, durable, spread_join
+from talkweave.llm.common import connected_components, durable, settled, spread_join
 
 SEED = 42
 
@@ -62,6 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts = b.column(1).cast(pa.binary())
             fps = np.array([fingerprint(t.as_py() or b"", shingle) for t in texts], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        settled(None)
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
@@ -107,7 +108,8 @@ def links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray,
     oy, sy, ey, qy = (ox, sx, ex, qx) if own else grouped(y)
     xs, ys = x[ox], y[oy]
     size_y = ey - sy
-    found_a, found_b = [], []
+    n_all = len(x) + (0 if own else len(y))
+    found_a, found_b, held = [], [], 0
     for k in range(len(sx)):
         near = np.abs(qy - qx[k]).sum(axis=1) <= radius
         if own:
@@ -118,7 +120,7 @@ def links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray,
         n = size_y[pick]
         cols = np.repeat(sy[pick] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         other = ys[cols]
-        step = max(1, 4_000_000 // max(1, len(other)))
+        step = max(1, 1_000_000 // max(1, len(other)))
         for at in range(sx[k], ex[k], step):
             mine = xs[at : min(at + step, ex[k])]
             i, j = np.nonzero(np.bitwise_count(mine[:, None] ^ other[None, :]) <= radius)
@@ -126,12 +128,12 @@ def links(x: np.ndarray, y: np.ndarray | None, radius: int) -> tuple[np.ndarray,
             if own:
                 keep = a != b
                 a, b = a[keep], b[keep]
-            if len(a) > 200_000:  # a dense part: its spanning forest joins the same rows
-                shift = 0 if own else len(x)
-                f = forest(a, b + shift, len(x) + (0 if own else len(y)))
-                found_a.append(np.array([p for p, _ in f])), found_b.append(np.array([r for _, r in f]))
-            else:
-                found_a.append(a), found_b.append(b + (0 if own else len(x)))
+            found_a.append(a)
+            found_b.append(b + (0 if own else len(x)))
+            held += len(a)
+            if held > 500_000:  # a dense part: a spanning forest joins the same rows
+                f = np.array(forest(np.concatenate(found_a), np.concatenate(found_b), n_all), dtype=np.int64).reshape(-1, 2)
+                found_a, found_b, held = [f[:, 0]], [f[:, 1]], 0
     if not found_a:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate(found_a), np.concatenate(found_b)
@@ -193,7 +195,7 @@ def fingerprint_edges(distinct: DataFrame, radius: int = 3, tile_rows: int = 327
         found = forest(*links(x, None if own else y, radius), len(every))
         at = np.array(found, dtype=np.int64).reshape(-1, 2)
         signed = every.view(np.int64)
-        return pa.table({"a": pa.array(signed[at[:, 0]]), "b": pa.array(signed[at[:, 1]])})
+        return settled(pa.table({"a": pa.array(signed[at[:, 0]]), "b": pa.array(signed[at[:, 1]])}))
 
     dealt = tiled.mapInArrow(deal, "pair long, side int, fps binary")
     return dealt.groupBy("pair").applyInArrow(compare, "a long, b long")

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.llm.common import shuffle_partitions
+from talkweave.llm.common import settled, shuffle_partitions
 
 U = np.uint64
 NO_ID = np.iinfo(np.int64).max
@@ -170,11 +170,15 @@ class Block:
         after = np.minimum(self.starts[doc + 1] - at, self.span)
         padded = np.concatenate([np.zeros(reach, dtype=np.uint8), self.bytes, np.zeros(self.span, dtype=np.uint8)])
         ctx = np.lib.stride_tricks.sliding_window_view(padded, reach + self.span)[at] if len(at) else np.zeros((0, reach + self.span), dtype=np.uint8)
-        ctx = ctx.copy()
-        cols = np.arange(reach + self.span)
-        ctx[(cols < (reach - before)[:, None]) | (cols >= (reach + after)[:, None])] = 0
         rec = np.zeros((len(ctx), -(-(ctx.shape[1] + 2) // 8) * 8), dtype=np.uint8)
         rec[:, : ctx.shape[1]], rec[:, -2], rec[:, -1] = ctx, before, after
+        ctx = rec[:, : ctx.shape[1]]
+        # Only contexts at a document's ends hold bytes of others.
+        ends = np.nonzero((before < reach) | (after < self.span))[0]
+        cols = np.arange(reach + self.span)
+        edge = ctx[ends]
+        edge[(cols < (reach - before[ends])[:, None]) | (cols >= (reach + after[ends])[:, None])] = 0
+        ctx[ends] = edge
         run, order, first = equal_rows(rec)
         low = np.minimum.reduceat(self.ids[doc[order]], first) if len(first) else np.zeros(0, dtype=np.int64)
         pick = order[first]
@@ -302,7 +306,7 @@ def _of_distinct(ctx: np.ndarray, sides: np.ndarray, ids: np.ndarray, span: int,
 def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes], splitters: np.ndarray) -> list[list[tuple[int, int]]]:
     """Maximal removed intervals (within each document), in the block's order of documents."""
     ctx, _, low, run = block.contexts(anchors)
-    cover = np.zeros(len(block.bytes) + 1, dtype=np.int32)
+    out: list[list[tuple[int, int]]] = [[] for _ in block.texts]
     if len(ctx):
         reach = block.span - block.gram
         own = bucket_of(ctx, reach, splitters)
@@ -318,23 +322,19 @@ def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes],
         mine = np.where(copy, fitting(sides, block.span, reach), mine)
         hit = mine > 0
         # All windows of an anchor overlap, so what they cover is one interval.
-        mine, at = mine[hit], at[hit]
+        mine, at, doc = mine[hit], at[hit], doc[hit]
         most = np.frexp(mine.astype(np.float64))[1] - 1
         fewest = np.frexp((mine & (~mine + U(1))).astype(np.float64))[1] - 1
-        cover += np.bincount(at - most, minlength=len(cover)).astype(np.int32)
-        cover -= np.bincount(at - fewest + block.span, minlength=len(cover)).astype(np.int32)
-    gone = np.cumsum(cover[:-1]) > 0
-    edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-    # Intervals that meet at a document's end are two.
-    begin, end = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
-    out: list[list[tuple[int, int]]] = [[] for _ in block.texts]
-    for s, e in zip(begin.tolist(), end.tolist(), strict=True):
-        d = int(np.searchsorted(block.starts, s, side="right")) - 1
-        while s < e:
-            stop = min(e, int(block.starts[d + 1]))
-            if stop > s:
-                out[d].append((s - int(block.starts[d]), stop - int(block.starts[d])))
-            s, d = stop, d + 1
+        begin = at - most
+        order = np.argsort(begin, kind="stable")
+        begin, end, doc = begin[order], np.maximum.accumulate((at - fewest + block.span)[order]), doc[order]
+        if len(begin):
+            # Runs end where the next interval starts beyond them, or in the next document.
+            cut = np.nonzero((begin[1:] > end[:-1]) | (doc[1:] != doc[:-1]))[0]
+            first, last = np.concatenate([[0], cut + 1]), np.append(cut, len(begin) - 1)
+            base = block.starts[doc[first]]
+            for d, s, e in zip(doc[first].tolist(), (begin[first] - base).tolist(), (end[last] - base).tolist(), strict=True):
+                out[d].append((s, e))
     return out
 
 
@@ -343,7 +343,7 @@ def bucket_of(ctx: np.ndarray, reach: int, splitters: np.ndarray) -> np.ndarray:
     return np.searchsorted(splitters, lead, side="right")
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int = 24, block_bytes: int = 8 << 20, bucket_rows: int = 1 << 20, outputs: tuple[str, ...] = ("spans", "kept"), key_col: str | None = None) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int = 24, block_bytes: int = 5 << 20, bucket_rows: int = 1 << 20, outputs: tuple[str, ...] = ("spans", "kept"), key_col: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the outputs, one row for each row of docs.
 
     outputs: any of spans (array of removed [start, end) byte intervals), kept (the remaining bytes), kept_sha256.
@@ -356,14 +356,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     blocks = max(shuffle_partitions(spark), math.ceil(total / block_bytes))
     expected = 2 * total // (span - gram + 2)  # anchors
     buckets = max(1, math.ceil(expected / bucket_rows))
-    splitters = sample_splitters(d, span, gram, total, max(4 * buckets, shuffle_partitions(spark)))
+    splitters = sample_splitters(d, span, gram, total, max(12 * buckets, shuffle_partitions(spark)))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "data"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket, sent, _ = Block(table, span, gram).sent_hashes(buckets)
         cuts = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0] if len(bucket) else np.zeros(0, dtype=np.int64)
         ends = np.append(cuts[1:], len(bucket))
-        return pa.table({"bucket": pa.array(bucket[cuts], pa.int64()), "block": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "data": pa.array([sent[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], pa.binary())})
+        return settled(pa.table({"bucket": pa.array(bucket[cuts], pa.int64()), "block": pa.array([key[0].as_py()] * len(cuts), pa.int64()), "data": pa.array([sent[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)], pa.binary())}))
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, dtype="<u4") for x in table.column("data").to_pylist()]
@@ -374,7 +374,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         told[order[1:][equal]] = told[order[:-1][equal]] = True
         ends = np.cumsum([len(p) for p in parts])
         out = [np.packbits(told[e - len(p) : e]).tobytes() for p, e in zip(parts, ends, strict=True)]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array(out, pa.binary())})
+        return settled(pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "bits": pa.array(out, pa.binary())}))
 
     def put(key: tuple[pa.Scalar, ...], table: pa.Table, bits: pa.Table) -> pa.Table:
         block = Block(table, span, gram)
@@ -386,7 +386,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         for b in names:
             at = own == b
             blobs.append(len(low[at]).to_bytes(8, "little") + low[at].astype("<i8").tobytes() + sides[at].astype(np.uint8).tobytes() + ctx[at].tobytes())
-        return pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([key[0].as_py() if table.num_rows else 0] * len(names), pa.int64()), "data": pa.array(blobs, pa.binary())})
+        return settled(pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([key[0].as_py() if table.num_rows else 0] * len(names), pa.int64()), "data": pa.array(blobs, pa.binary())}))
 
     def sort(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         width, ids, sides, ctx, sizes = 2 * span - gram, [], [], [], []
@@ -398,7 +398,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             sizes.append(n)
         bits = earlier_windows(np.concatenate(ctx), np.concatenate(sides).astype(np.int64), np.concatenate(ids), span, gram).astype("<u4")
         ends = np.cumsum(sizes)
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "earlier": pa.array([bits[e - n : e].tobytes() for n, e in zip(sizes, ends, strict=True)], pa.binary())})
+        return settled(pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "earlier": pa.array([bits[e - n : e].tobytes() for n, e in zip(sizes, ends, strict=True)], pa.binary())}))
 
     types = {"spans": pa.list_(pa.list_(pa.int64())), "kept": pa.binary(), "kept_sha256": pa.string()}
     kinds = {"spans": T.ArrayType(T.ArrayType(T.LongType())), "kept": T.BinaryType(), "kept_sha256": T.StringType()}
@@ -423,7 +423,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             "n_spans": pa.array([len(x) for x in spans], pa.int64()),
         }
         made = {"spans": lambda: [[list(x) for x in own] for own in spans], "kept": lambda: kept, "kept_sha256": lambda: [hashlib.sha256(x).hexdigest() for x in kept]}
-        return pa.table(cols | {c: pa.array(made[c](), types[c]) for c in outputs})
+        return settled(pa.table(cols | {c: pa.array(made[c](), types[c]) for c in outputs}))
 
     by_block = d.groupBy("block")
     bits = by_block.applyInArrow(send, "bucket long, block long, data binary").groupBy("bucket").applyInArrow(answer, "block long, bucket long, bits binary")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.common import durable, shuffle_partitions
+from talkweave.llm.common import durable, settled, shuffle_partitions
 from talkweave.llm.labelled import bounded_sample
 
 SYMBOLS = 32
@@ -88,6 +88,7 @@ def corpus_four_grams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 g, _ = own_grams(*read(texts))
                 table += np.bincount(g & 0xFFFFF, minlength=SYMBOLS**4)
         if table.any():
+            settled(None)
             rows = [(k, table[k * width : (k + 1) * width]) for k in range(shards)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([x.tobytes() for _, x in rows], pa.binary())], names=["shard", "counts"])
 
@@ -274,5 +275,6 @@ def score(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], threshol
                 s = scorer(texts)
                 part = b.slice(at, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=names)
+        settled(None)
 
     return d.mapInArrow(run, f"{kinds}, score double, predicted int")

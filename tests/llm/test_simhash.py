@@ -73,3 +73,13 @@ def test_groups_equal_brute_force(spark, tile_rows):
     kept = {r.doc_id for r in keep_one(docs, tile_rows=tile_rows).collect()}
     assert kept == {i for (i, _), f in zip(rows, fps) if i is None or i == low[f]}
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_dense_groups_keep_a_forest():
+    g = np.random.default_rng(3)
+    base = g.integers(0, 2**63, 2, dtype=np.uint64)
+    x = np.unique(np.concatenate([b ^ (np.uint64(1) << g.integers(0, 64, 900, dtype=np.uint64)) ^ (np.uint64(1) << g.integers(0, 12, 900, dtype=np.uint64)) for b in base]))
+    a, b = links(x, None, 3)
+    root = {i: i for i in range(len(x))} | dict(forest(a, b, len(x)))
+    groups = slow_groups(x.tolist())
+    assert len(a) < 700_000 and all((root[i] == root[0]) == (int(x[i]) in groups[int(x[0])]) for i in range(len(x)))
