@@ -93,6 +93,7 @@ def conversations(messages: DataFrame, per_tree: int = 1, trained_role: str = "a
 
     messages: tree, id, parent, role, text, score. per_tree: how many paths of each tree are formatted."""
     kind = messages.schema["tree"].dataType
+    messages = durable(messages.select("tree", "id", "parent", "role", "text", "score"))  # read by many joins
     held = messages.select(F.coalesce(F.col("tree").cast("string"), F.lit("\0null")).alias("t"), "tree", F.col("id").alias("node"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     held = held.groupBy("t", "node").agg(F.first("tree", True).alias("tree"), F.min(F.struct("role", "text", "score")).alias("m"))
     on = durable(paths(messages))
