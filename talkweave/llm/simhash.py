@@ -146,51 +146,42 @@ def fingerprint_edges(distinct: DataFrame, radius: int = 3, tile_rows: int = 327
     # At most 33 * 33 tiles: their sizes say how many parts each has, and which tiles exist.
     sizes = {int(r["tile"]): int(r["n"]) for r in tiled.groupBy("tile").agg(F.count("*").alias("n")).collect()}
     parts = {t: -(-n // tile_rows) for t, n in sizes.items()}
-    pairs = []
-    for t in parts:
-        for u in parts:
-            if t <= u and abs(t // 64 - u // 64) + abs(t % 64 - u % 64) <= radius:
-                for i in range(parts[t]):
-                    for j in range(i if t == u else 0, parts[u]):
-                        pairs.append((t, i, u, j))
-    if not pairs:
+    if not parts:
         return distinct.sparkSession.createDataFrame([], "a long, b long")
-    # For each part of a tile, the pairs it takes part in. The table follows the number of tile parts, not rows.
-    member: dict[tuple[int, int], list[int]] = {}
-    for k, (t, i, u, j) in enumerate(pairs):
-        member.setdefault((t, i), []).append(k * 2)
-        if (t, i) != (u, j):
-            member.setdefault((u, j), []).append(k * 2 + 1)
+    if max(parts.values()) >= 1 << 19:
+        raise ValueError("too many parts of a tile: raise tile_rows")
+    near = {t: [u for u in parts if abs(t // 64 - u // 64) + abs(t % 64 - u % 64) <= radius] for t in parts}
     split = {t: n for t, n in parts.items() if n > 1}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs the rows of each pair's side that a batch holds."""
+        """Packs the rows of each pair's side that a batch holds. A pair is named by its two parts, the smaller first."""
         for b in batches:
             fps = b.column(0).to_numpy().view(np.uint64)
             tiles = b.column(1).to_numpy().astype(np.int64)
             n = np.ones(len(tiles), dtype=np.int64)
             for t, p in split.items():
                 n[tiles == t] = p
-            spot = tiles << 32 | ((fps * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % n)
+            spot = tiles << 19 | ((fps * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % n)
             order = np.argsort(spot, kind="stable")
             cuts = np.concatenate([[0], np.nonzero(np.diff(spot[order]))[0] + 1, [len(spot)]])
-            keys, blobs = [], []
+            keys, sides, blobs = [], [], []
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if e > s:
-                    blob = fps[order[s:e]].tobytes()
-                    for k in member[(int(spot[order[s]]) >> 32, int(spot[order[s]]) & 0xFFFFFFFF)]:
-                        keys.append(k)
-                        blobs.append(blob)
-            yield pa.RecordBatch.from_arrays([pa.array([k // 2 for k in keys], pa.int64()), pa.array([k % 2 for k in keys], pa.int32()), pa.array(blobs, pa.binary())], names=["pair", "side", "fps"])
-
-    same = frozenset(k for k, (t, i, u, j) in enumerate(pairs) if (t, i) == (u, j))
+                    blob, own = fps[order[s:e]].tobytes(), int(spot[order[s]])
+                    for u in near[own >> 19]:
+                        for j in range(parts[u]):
+                            other = u << 19 | j
+                            keys.append(min(own, other) << 32 | max(own, other))
+                            sides.append(int(own > other))
+                            blobs.append(blob)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sides, pa.int32()), pa.array(blobs, pa.binary())], names=["pair", "side", "fps"])
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         blobs = table.column("fps").to_pylist()
         x = np.frombuffer(b"".join(v for v, s in zip(blobs, side, strict=True) if s == 0), dtype=np.uint64)
         y = np.frombuffer(b"".join(v for v, s in zip(blobs, side, strict=True) if s == 1), dtype=np.uint64)
-        own = key[0].as_py() in same
+        own = key[0].as_py() >> 32 == key[0].as_py() & 0xFFFFFFFF
         every = x if own else np.concatenate([x, y])
         found = forest(*links(x, None if own else y, radius), len(every))
         at = np.array(found, dtype=np.int64).reshape(-1, 2)

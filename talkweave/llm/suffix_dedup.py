@@ -303,13 +303,13 @@ def _of_distinct(ctx: np.ndarray, sides: np.ndarray, ids: np.ndarray, span: int,
     return bits
 
 
-def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes], splitters: np.ndarray) -> list[list[tuple[int, int]]]:
+def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes], splitters: np.ndarray, shares: int = 1) -> list[list[tuple[int, int]]]:
     """Maximal removed intervals (within each document), in the block's order of documents."""
     ctx, _, low, run = block.contexts(anchors)
     out: list[list[tuple[int, int]]] = [[] for _ in block.texts]
     if len(ctx):
         reach = block.span - block.gram
-        own = bucket_of(ctx, reach, splitters)
+        own = bucket_of(ctx, reach, splitters, block.gram, shares)
         bits = np.zeros(len(ctx), dtype=U)
         for b, packed in answers.items():
             where = np.nonzero(own == b)[0]
@@ -338,12 +338,20 @@ def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes],
     return out
 
 
-def bucket_of(ctx: np.ndarray, reach: int, splitters: np.ndarray) -> np.ndarray:
+def bucket_of(ctx: np.ndarray, reach: int, splitters: np.ndarray, gram: int, shares: int = 1) -> np.ndarray:
+    """The range of an anchor's leading eight bytes, times its share by the hash of the whole anchor where ranges are shared out."""
     lead = np.ascontiguousarray(ctx[:, reach : reach + 8]).view(">u8")[:, 0].astype(U)
-    return np.searchsorted(splitters, lead, side="right")
+    at = np.searchsorted(splitters, lead, side="right")
+    if shares > 1:
+        h = np.zeros(len(ctx), dtype=U)
+        for k in range(gram):
+            h = (h ^ ctx[:, reach + k]) * U(0x9E3779B97F4A7C15)
+            h ^= h >> U(29)
+        at = at * shares + (h % U(shares)).astype(np.int64)
+    return at
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int = 24, block_bytes: int = 5 << 20, bucket_rows: int = 1 << 20, outputs: tuple[str, ...] = ("spans", "kept"), key_col: str | None = None) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int = 24, block_bytes: int = 5 << 20, bucket_rows: int = 1 << 20, outputs: tuple[str, ...] = ("spans", "kept"), key_col: str | None = None, most_splitters: int = 1 << 14) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the outputs, one row for each row of docs.
 
     outputs: any of spans (array of removed [start, end) byte intervals), kept (the remaining bytes), kept_sha256.
@@ -356,7 +364,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     blocks = max(shuffle_partitions(spark), math.ceil(total / block_bytes))
     expected = 2 * total // (span - gram + 2)  # anchors
     buckets = max(1, math.ceil(expected / bucket_rows))
-    splitters = sample_splitters(d, span, gram, total, max(12 * buckets, shuffle_partitions(spark)))
+    wanted = max(12 * buckets, shuffle_partitions(spark))
+    shares = -(-wanted // most_splitters)
+    splitters = sample_splitters(d, span, gram, total, min(wanted, most_splitters))
     d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "data"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -380,7 +390,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         block = Block(table, span, gram)
         anchors = block.repeated(dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True)), buckets)
         ctx, sides, low, _ = block.contexts(anchors)
-        own = bucket_of(ctx, span - gram, splitters)
+        own = bucket_of(ctx, span - gram, splitters, gram, shares)
         names = np.unique(own)
         blobs = []
         for b in names:
@@ -408,7 +418,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         block = Block(table, span, gram)
         rows = told.to_pylist()
         anchors = block.repeated({r["bucket"]: r["data"] for r in rows if r["kind"] == 0}, buckets)
-        spans = removed_spans(block, anchors, {r["bucket"]: r["data"] for r in rows if r["kind"] == 1}, splitters)
+        spans = removed_spans(block, anchors, {r["bucket"]: r["data"] for r in rows if r["kind"] == 1}, splitters, shares)
         keys = table.column("row_key").to_pylist()
         kept = []
         if "kept" in outputs or "kept_sha256" in outputs:
@@ -436,20 +446,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def sample_splitters(d: DataFrame, span: int, gram: int, total: int, buckets: int, per_bucket: int = 16, sample_bytes: int = 4 << 20) -> np.ndarray:
     """Bounds of the buckets: quantiles of the leading eight bytes of a sample of anchors.
 
-    They only set how evenly suffixes are dealt, never the result. At most buckets * per_bucket keys reach the driver."""
-    fraction = min(1.0, sample_bytes / max(1, total))
+    They only set how evenly suffixes are dealt, never the result. About buckets * per_bucket keys reach the driver,
+    twice as many at most."""
     most = buckets * per_bucket
+    found = min(total, sample_bytes) * 2 // (span - gram + 2) + 1
+    kept = min(2**32, most * 2**32 // found)
 
     def leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             block = Block(pa.Table.from_batches([b]), span, gram)
-            at = block.at
+            at = block.at[(block.grams & U(0xFFFFFFFF)) < U(kept)]
             if len(at):
                 lead = np.lib.stride_tricks.sliding_window_view(block.bytes, 8)[at]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(lead).view(">u8")[:, 0].astype(U).view(np.int64))], names=["lead"])
 
-    found = d.select("doc_id", "data").sample(fraction, seed=7).mapInArrow(leads, "lead long")
-    keys = found.orderBy(F.xxhash64("lead")).limit(most).collect()
+    keys = d.select("doc_id", "data").sample(min(1.0, sample_bytes / max(1, total)), seed=7).mapInArrow(leads, "lead long").limit(2 * most).collect()
     lead = np.sort(np.array([r["lead"] for r in keys], dtype=np.int64).view(U))
     if not len(lead):
         return lead

@@ -68,11 +68,11 @@ def test_multikey_quicksort():
     assert cls.tolist() == [sorted(set(texts)).index(t) for t in texts]
 
 
-@pytest.mark.parametrize(("seed", "gram", "rows"), [(0, 24, 1 << 20), (1, 24, 50), (2, 19, 200)])
-def test_equals_brute_force(spark, seed, gram, rows):
+@pytest.mark.parametrize(("seed", "gram", "rows", "splitters"), [(0, 24, 1 << 20, 1 << 14), (1, 24, 50, 7), (2, 19, 200, 2)])
+def test_equals_brute_force(spark, seed, gram, rows, splitters):
     data = fixture(seed)
     docs = spark.createDataFrame([(*r, 1) for r in data], "doc_id long, text string, block int").repartition(3)
-    got = repeated_passages(docs, gram=gram, block_bytes=2000, bucket_rows=rows, outputs=("kept", "kept_sha256", "spans")).collect()
+    got = repeated_passages(docs, gram=gram, block_bytes=2000, bucket_rows=rows, most_splitters=splitters, outputs=("kept", "kept_sha256", "spans")).collect()
     key = lambda r: tuple((x is None, x or 0) for x in r)
     mine = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got]
     assert sorted(mine, key=key) == sorted(brute(data), key=key)
