@@ -91,6 +91,11 @@ class ChatStore:
     def _talker(self, contact: str, show_hidden: bool) -> str:
         return resolve.resolve(self.contacts, contact, self.hidden(), show_hidden).user_name
 
+    def health(self) -> dict[str, int]:
+        """How many rows each table has."""
+        tables = {"messages": self.messages, "sessions": self.sessions, "contacts": self.contacts, "chatrooms": self.chatrooms}
+        return {k: d.count() for k, d in tables.items() if d is not None}
+
     def list_sessions(self, limit: int = DEFAULTS["sessions"], offset: int = 0, order: str | None = None, show_hidden: bool = False) -> Page:
         """Hidden talkers go before paging; scanned counts them."""
         scanned, d = self.sessions.count(), self.sessions
