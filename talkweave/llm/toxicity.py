@@ -215,11 +215,13 @@ def shaped(f: np.ndarray) -> np.ndarray:
     return np.concatenate([np.clip(f[:, :1] * 20, -10, 10), s * 5, f[:, 4:5] / 5, f[:, 5:6] / 8, s * f[:, 5:6]], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
-    """Weights (last: intercept) by Newton's method, classes as frequent as they are."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, least: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Weights (last: intercept) by Newton's method, classes as frequent as they are.
+
+    The penalty is ridge for each row and `least` besides, so that a handful of rows moves scores little from the prior."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
-    keep = np.full(len(w), ridge * len(x))
+    keep = np.full(len(w), ridge * len(x) + least)
     keep[-1] = 1e-9
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
