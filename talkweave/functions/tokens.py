@@ -58,7 +58,14 @@ def phrases(keyword: str, options: Options = Options()) -> list[list[list[str]]]
 
 
 def tokens(text: Column, options: Options = Options()) -> Column:
-    """array<array<string>> of a text's positions."""
+    """array<array<string>> of a text's positions.
+
+    Without stems this is an expression of built-in functions; stems take an Arrow batch in Python."""
+    if not options.stemming:
+        kinds = ["[A-Za-z]+", *["[0-9]+"] * options.numbers, *[r"[!-/:-@\[-`{-~]"] * options.symbols]
+        rest = r"[^\x00-\x7f]" if options.symbols else r"[^\x00-\x7f\x{2000}-\x{206f}\x{2e00}-\x{2e7f}\x{3000}-\x{303f}]"
+        found = F.regexp_extract_all(text, F.lit("|".join([*kinds, rest])), F.lit(0))
+        return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.array(F.when(x.rlike("^[A-Z]|[a-z][A-Z]"), F.lower(x)).otherwise(x)))
 
     @F.pandas_udf("array<array<string>>")
     def run(s: pd.Series) -> pd.Series:

@@ -44,7 +44,8 @@ def phrase_search(rows: DataFrame, keyword: str, tokens_col: str = "tokens", opt
     wanted = phrases(keyword, options)
     if not wanted or not all(wanted):
         return rows.limit(0)
-    return rows.filter(reduce(lambda a, b: a & b, [phrase_in(F.col(tokens_col), p) for p in wanted]))
+    # The lambda's variable holds the tokens: pushed below a projection, their expression is still evaluated once a row.
+    return rows.filter(F.exists(F.array(F.col(tokens_col)), lambda t: reduce(lambda a, b: a & b, [phrase_in(t, p) for p in wanted])))
 
 
 def build_index(messages: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:

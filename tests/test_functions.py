@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from talkweave import schema as S
 from talkweave.functions import content, labels, text, wire, xmltext
 from talkweave.functions.stemmer import stem
-from talkweave.functions.tokens import Options, phrases, tokenize
+from talkweave.functions.tokens import Options, phrases, tokenize, tokens
 
 
 def one(spark, c, **values):
@@ -145,3 +145,12 @@ def test_tokens():
     assert tokenize("a1 @b", Options(numbers=True, symbols=True)) == [["a"], ["1"], ["@"], ["b"]]
     assert phrases("@ user") == [[], [["user"]]] and phrases(" ") == []
     assert Options.parse(["enable_num_token", "other"]) == Options(numbers=True)
+
+
+@pytest.mark.parametrize("names", [[], ["enable_num_token"], ["enable_special_char"], ["enable_num_token", "enable_special_char"]])
+def test_built_in_tokens_equal_python(spark, names):
+    options = Options.parse(["skip_stemming", *names])
+    texts = ["", None, "Running 42 iPhone! x_y", "你好，ab。 — «É» ß12", "a\tb\x00c\x7fd", "🙂🙂 mixedCASE \u3000\u2014[~`^]{}", "ABC aBc"]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [r.x for r in d.select("k", tokens(F.col("t"), options).alias("x")).orderBy("k").collect()]
+    assert got == [tokenize(t, options) for t in texts]
