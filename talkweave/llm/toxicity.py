@@ -18,7 +18,8 @@ scores with two look-ups a byte: at most 2**20 rows of 32 half-precision numbers
 the bound of what is sent to the executors.
 
 Defined results: null and empty texts score by the prior alone; without labelled rows of both
-classes every score is one half; rows that repeat get equal scores; a null id is scored and is held
+classes every score is one half; with under `least_rows` rows of a class to fit the regression on,
+every score is the share of toxic rows among them; rows that repeat get equal scores; a null id is scored and is held
 out; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
@@ -215,13 +216,11 @@ def shaped(f: np.ndarray) -> np.ndarray:
     return np.concatenate([np.clip(f[:, :1] * 20, -10, 10), s * 5, f[:, 4:5] / 5, f[:, 5:6] / 8, s * f[:, 5:6]], axis=1)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, least: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Weights (last: intercept) by Newton's method, classes as frequent as they are.
-
-    The penalty is ridge for each row and `least` besides, so that a handful of rows moves scores little from the prior."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Weights (last: intercept) by Newton's method, classes as frequent as they are."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(x.shape[1])
-    keep = np.full(len(w), ridge * len(x) + least)
+    keep = np.full(len(w), ridge * len(x))
     keep[-1] = 1e-9
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -232,7 +231,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, least: float = 1
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", rows_per_class: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Callable[[list[bytes]], np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", rows_per_class: int = 4000, least_rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Callable[[list[bytes]], np.ndarray]:
     """A function from texts to scores. Of the sampled rows, at most 2 * rows_per_class, two thirds count into the models and one fits the regression."""
     spark = docs.sparkSession
     sample = durable(bounded_sample(docs, labels, label_col, usable, rows_per_class, id_col, text_col).repartition(min(16, shuffle_partitions(spark))))
@@ -254,6 +253,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "to
     x = np.array([r["f"] for r in rows], dtype=np.float64).reshape(-1, FEATURES)
     if not 0 < y.sum() < len(y):
         return lambda texts: np.full(len(texts), 0.5)
+    if min(y.sum(), len(y) - y.sum()) < least_rows:
+        return lambda texts: np.full(len(texts), y.mean())
     order = np.lexsort((*x.T, y))  # rows come in any order; sums should not
     weights = logistic(shaped(x[order]), y[order])
 
