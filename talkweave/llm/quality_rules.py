@@ -4,11 +4,10 @@ Base statistics are computed inside each row. The frequency rule hashes normalis
 case, white space collapsed), counts for each host the distinct documents that hold a line, removes
 lines above the limits, and rejects documents of which too little is left.
 
-Distinct documents: copies of one document must not make its own lines look like boilerplate, so a
-line counts once for each different company it keeps, that is the smallest hash among the other
-lines of its document. Copies share that hash and most near copies do; documents that have only a
-template line in common do not. A line is removed if over `max_docs` distinct documents of its host
-hold it and these are at least `min_distinct` of all documents that do.
+Distinct documents: copies of one document must not make its own lines look like boilerplate, so
+documents are told apart by a fingerprint of all their normalised lines in order, and copies count
+once. A line is removed if over `max_docs` distinct documents of its host hold it, however many
+copies of them there are and whatever other lines they share.
 
 A hot line or host is no single task: counts are aggregated before the shuffle, and the join back
 of frequent lines deals both sides anew, which lets adaptive execution split a hot key.
@@ -68,19 +67,18 @@ def base_statistics(d: DataFrame, window: int = 5, min_words: int = 10, max_repe
     ).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
 
 
-def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10, min_distinct: float = 0.5) -> DataFrame:
-    """key of the lines above the limits, with n_docs and n_distinct."""
-    d = _lines(docs, id_col, text_col, host_col).select(F.array_sort(F.array_distinct("keys")).alias("keys"))
-    d = d.select(F.explode("keys").alias("key"), F.get("keys", F.lit(0)).alias("k0"), F.get("keys", F.lit(1)).alias("k1"))
-    company = F.coalesce(F.when(F.col("key") == F.col("k0"), F.col("k1")).otherwise(F.col("k0")), F.lit(-1))
-    pairs = d.groupBy("key", company.alias("company")).agg(F.count("*").alias("n"))
-    return pairs.groupBy("key").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_distinct")).filter((F.col("n_distinct") > max_docs) & (F.col("n_distinct") >= min_distinct * F.col("n_docs")))
+def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10) -> DataFrame:
+    """key of the lines above the limit, with n_docs and n_distinct."""
+    d = _lines(docs, id_col, text_col, host_col).select(F.array_distinct("keys").alias("own"), F.xxhash64("keys").alias("document"))
+    d = d.select(F.explode("own").alias("key"), "document")
+    pairs = d.groupBy("key", "document").agg(F.count("*").alias("n"))
+    return pairs.groupBy("key").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_distinct")).filter(F.col("n_distinct") > max_docs)
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10, min_distinct: float = 0.5, min_left_words: int = 10, min_left_percent: int = 30, **base) -> DataFrame:
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10, min_left_words: int = 10, min_left_percent: int = 30, **base) -> DataFrame:
     """One row for each row of docs: doc_id, row_key (a hash of id, host and text), the base statistics,
     n_removed_lines, n_removed_words, removed (positions among the lines with a word, ascending), kept."""
-    frequent = frequent_lines(docs, id_col, text_col, host_col, max_docs, min_distinct)
+    frequent = frequent_lines(docs, id_col, text_col, host_col, max_docs)
     d = base_statistics(_lines(docs, id_col, text_col, host_col), **base)
     d = d.withColumn("row", F.monotonically_increasing_id()).withColumn("row_key", F.xxhash64("doc_id", "host", "text"))
     stats = ["doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

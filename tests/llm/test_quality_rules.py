@@ -54,3 +54,15 @@ def test_clean_removes_lines_and_documents(spark):
     assert text[110].startswith("copied first") and 300 not in text and 200 not in text
     assert out.filter("doc_id = 205").count() == 2
     assert assess(docs.limit(0)).count() == 0
+
+
+def test_documents_that_share_several_template_lines_count_each(spark):
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(15))
+    rows = [(i, f"site header line\n{own(i)}\nsite footer line\nabout us contact", "a") for i in range(30)]  # one own line, three template lines
+    rows += [(100 + i, f"{own(500)}\nlegal notice line\n{own(501)}", "b") for i in range(1000)]  # a template document copied 1000 times
+    rows += [(2000 + i, f"{own(600 + i)}\nlegal notice line", "b") for i in range(11)]
+    rows += [(3000 + i, "only a lonely line", "c") for i in range(40)]  # copies of one line
+    got = {r.doc_id: r for r in assess(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].removed == [0, 2, 3] and got[i].kept for i in range(30))
+    assert all(got[100 + i].removed == [1] for i in range(1000)) and all(got[2000 + i].removed == [1] for i in range(11))
+    assert all(got[3000 + i].removed == [] for i in range(40))
