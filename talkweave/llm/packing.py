@@ -38,13 +38,15 @@ class ByteBpe:
     """Ids of a byte-level BPE file of the tokenizers library.
 
     Texts of Latin letters go through tiktoken with the ranks of the same file, which gives the
-    same ids several times faster; all other texts go through tokenizers itself."""
+    same ids several times faster; all other texts go through tokenizers itself, and so do those that hold
+    the content of an added token (<|endoftext|>), which stands for its own id there."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.added = [x["content"] for x in json.load(f)["added_tokens"]]
         self.fast = self._ranked(path)
 
     @staticmethod
@@ -72,7 +74,7 @@ class ByteBpe:
         out: list = [None] * len(texts)
         rest = []
         for i, t in enumerate(texts):
-            if self.fast is not None and (t.isascii() or max(t) < chr(PLAIN_BELOW)):
+            if self.fast is not None and (t.isascii() or max(t) < chr(PLAIN_BELOW)) and not any(a in t for a in self.added):
                 out[i] = np.asarray(self.fast.encode_ordinary(t), dtype="<u4")
             else:
                 rest.append(i)

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from talkweave.llm.packing import PLAIN_BELOW, ByteBpe, pack, plan_packs
 
@@ -73,3 +74,11 @@ def test_empty_table(spark):
 def test_one_length(n):
     rows = plan_packs({n: 5}, 2048)
     assert rows[:, 2].sum() == 5
+
+
+def test_added_tokens_in_texts_keep_their_id():
+    plain, bpe = Tokenizer.from_file(PATH), ByteBpe(PATH)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "é<|endoftext|>", "你好 <|endoftext|>", "<|endoftext|", "plain"]
+    got = [x.tolist() for x in bpe.encode(texts)]
+    assert got == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    assert plain.token_to_id("<|endoftext|>") in got[0] and len(got[0]) == 3
