@@ -1,0 +1,120 @@
+"""Near copies by the Jaccard similarity of word shingles: candidates by MinHash bands, then an exact check.
+
+A document is the set of the XXH64 hashes of its shingles of five words. Equal sets are one row.
+Each set has `BANDS` keys of `ROWS` minima; sets that share a key are candidates, which a pair of
+similarity 0.8 is with probability 0.9995. Keys with the same members are compared once. Inside a
+key, each set in turn meets all others through their common shingles, until all are in one group;
+so a large group of near copies takes few turns, and edges never outnumber the members.
+
+Defined results: a null or empty text has the empty set, equal to all empty sets alone; texts of
+fewer words than a shingle have their whole sequence as the only shingle; an empty table gives an
+empty result. The sets that share one key are one task's work.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from talkweave.llm.common import connected_components, durable, settled, spread_join
+
+SEED = 42
+BANDS, ROWS = 25, 6
+_draw = np.random.default_rng(SEED)
+FLIPS = _draw.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+FACTORS = _draw.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of the shingles of a UTF-8 text, ascending."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()  # of bytes: lower-cases A-Z alone and splits at the six ASCII spaces
+    if not words:
+        return np.zeros(0, dtype="<u8")
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), dtype="<u8", count=n))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed long for each band, different between bands."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return []
+    low = np.array([((hashes ^ f) * m).min() for f, m in zip(FLIPS, FACTORS, strict=True)], dtype="<u8").reshape(BANDS, ROWS)
+    return np.array([xxh64_intdigest(x.tobytes(), k) for k, x in enumerate(low)], dtype=np.uint64).view(np.int64).tolist()
+
+
+def jaccard_forest(sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges that join what the pairs of sets with a similarity of at least `least` join."""
+    m = len(sets)
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    _, spot = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(spot, kind="stable")
+    owners = np.repeat(np.arange(m), sizes)[order]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(spot))])
+    root, edges = np.arange(m), []
+    for i in range(m):
+        own = spot[ends[i] - sizes[i] : ends[i]]
+        n = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        common = np.bincount(owners[at], minlength=m)
+        near = common >= least * (sizes[i] + sizes - common) - 1e-9
+        for r in np.unique(root[near]):
+            if r != root[i]:
+                edges.append((i, int(np.nonzero(near & (root == r))[0][0])))
+        root[np.isin(root, root[near])] = root[i]
+        if len(edges) == m - 1:
+            break
+    return edges
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """doc_id, key (of the set), component_id (smallest id of the group): one row for each row of docs."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("key", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                sets = [shingle_set(t.as_py() or b"", shingle) for t in b.column(1).cast(pa.binary())]
+                keys = np.array([xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=schema.names)
+        settled(None)
+
+    sets = durable(docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema))
+    dealt = durable(sets.select("key", F.explode("bands").alias("band")).distinct())
+    shared = dealt.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("members")).filter("n > 1")
+    once = shared.groupBy("n", "members").agg(F.min("band").alias("band")).select("band")
+    pairs = durable(spread_join(dealt, once, "band", "inner"))
+    held = spread_join(sets.select("key", "hashes"), pairs.select("key").distinct(), "key", "inner").groupBy("key").agg(F.first("hashes").alias("hashes"))
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys = table.column("key").to_numpy()
+        found = np.array(jaccard_forest([np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes")], least), dtype=np.int64).reshape(-1, 2)
+        return settled(pa.table({"a": pa.array(keys[found[:, 0]]), "b": pa.array(keys[found[:, 1]])}))
+
+    edges = pairs.join(held.hint("merge"), "key").select("band", "key", "hashes").groupBy("band").applyInArrow(compare, "a long, b long")
+    joined = connected_components(edges).withColumnRenamed("node", "key")
+    distinct = sets.groupBy("key").agg(F.min("doc_id").alias("low"))
+    groups = durable(distinct.join(joined, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    smallest = groups.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = spread_join(groups.select("key", "component"), smallest, "component", "inner").select("key", "component_id")
+    return spread_join(sets.select("doc_id", "key"), named, "key", "inner").select("doc_id", "key", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs whose id is the smallest of their group; of rows that repeat an id, those stay that carry it.
+
+    Rows with a null id stay: nothing says which of a group they are."""
+    ids = near_copies(docs, id_col, **how).filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(ids, docs[id_col] == ids["__gone"], "left_anti")

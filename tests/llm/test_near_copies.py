@@ -1,0 +1,46 @@
+import random
+
+import corpus_pipeline
+
+from talkweave.llm.near_copies import near_copies
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def groups(rows, least=0.8):
+    sets, low = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if (a == b) if not a or not b else len(a & b) >= least * len(a | b) - 1e-9:
+                x, y = low[i], low[j]
+                low = [min(x, y) if v in (x, y) else v for v in low]
+    return [min(i for (i, _), v in zip(rows, low) if v == own and i is not None) for own in low]
+
+
+def fixture():
+    rng, rows = random.Random(5), []
+    word = lambda: "w%d" % rng.randrange(5000)
+    for g in range(40):
+        words = [word() for _ in range(rng.choice([30, 100, 400]))]
+        for k in range(4):
+            own = list(words)
+            for _ in range(k * len(words) // 80):  # similarities from 1 down to below 0.8
+                own[rng.randrange(len(own))] = word()
+            rows.append((len(rows), " ".join(own)))
+    rows += [(900, None), (901, ""), (902, "only two"), (903, "Only  two"), (904, rows[0][1]), (905, rows[0][1])]
+    return rows
+
+
+def test_groups_equal_brute_force(spark):
+    rows = fixture()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies(docs).collect()}
+    want = {i: low for (i, _), low in zip(rows, groups(rows))}
+    assert got == want and 40 < len(set(want.values())) < 120
+    kept = {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()}
+    assert kept == {i for i, low in want.items() if i == low}
+    assert near_copies(docs.limit(0)).count() == 0
