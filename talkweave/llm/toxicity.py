@@ -10,16 +10,15 @@ only what is more common in one class tells the classes apart.
 
 A text's main feature is the difference of its log-likelihoods under the two models, divided by its
 length; as an insult is a small part of a long text, the shares of its words with a high difference
-are features too. A logistic regression, fitted on sampled rows that the models were not counted
-from, turns them into a score.
+are features too. A logistic regression turns them into a score. It is fitted on all sampled rows,
+each measured by models counted from the other folds (cross-fitting); the final models count all.
 
 The log-likelihood difference is a function of five symbols, so the finished model is a table that
 scores with two look-ups a byte: at most 2**20 rows of 32 half-precision numbers (64 MB), which is
 the bound of what is sent to the executors.
 
 Defined results: null and empty texts score by the prior alone; without labelled rows of both
-classes every score is one half; with under `least_rows` rows of a class to fit the regression on,
-every score is the share of toxic rows among them; rows that repeat get equal scores; a null id is scored and is held
+classes every score is one half; rows that repeat get equal scores; a null id is scored and is held
 out; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
@@ -31,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from talkweave.llm.common import durable, settled, shuffle_partitions
 from talkweave.llm.labelled import bounded_sample
@@ -166,6 +166,13 @@ def class_counts(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[order], counts[order]
 
 
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of several samples as those of one."""
+    grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    counts = np.concatenate([c for _, c in parts])
+    return grams, np.stack([np.bincount(at, weights=counts[:, k], minlength=len(grams)) for k in (0, 1)], axis=1).astype("<i8")
+
+
 class Difference:
     """Log-likelihood difference (toxic less ordinary) of every symbol after four others: row[context], cell[row, symbol]; row 0 is zero."""
 
@@ -231,30 +238,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", rows_per_class: int = 4000, least_rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Callable[[list[bytes]], np.ndarray]:
-    """A function from texts to scores. Of the sampled rows, at most 2 * rows_per_class, two thirds count into the models and one fits the regression."""
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", rows_per_class: int = 4000, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Callable[[list[bytes]], np.ndarray]:
+    """A function from texts to scores. The sampled rows, at most 2 * rows_per_class, all count into the models and, fold by fold, fit the regression."""
     spark = docs.sparkSession
     sample = durable(bounded_sample(docs, labels, label_col, usable, rows_per_class, id_col, text_col).repartition(min(16, shuffle_partitions(spark))))
-    third = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("third")), F.lit(3)) == 0
-    grams, counts = class_counts(sample.filter(~third))
+    # Ranks deal each class evenly, however few its rows; rows of one id stay together.
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), "doc_id"))
+    dealt = sample.select("doc_id", "label").distinct().select("doc_id", F.pmod(rank, F.lit(folds)).alias("fold"))  # as bounded as the sample
+    sample = durable(sample.join(F.broadcast(dealt), "doc_id"))
+    parts = [class_counts(sample.filter(F.col("fold") == k)) for k in range(folds)]
+    grams, counts = summed(parts)
     if not len(grams) or not counts.sum(0).all():
         return lambda texts: np.full(len(texts), 0.5)
-    model = Difference(grams, counts, shared_backoff(corpus_four_grams(docs, text_col)))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            labels_ = b.column(1).to_pylist()
-            for at, texts in batches_of(b, 0):
-                f = model.features(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(labels_[at : at + len(texts)], pa.int64()), pa.array(list(f), pa.list_(pa.float64()))], names=["label", "f"])
-
-    rows = sample.filter(third).select("data", "label").mapInArrow(measure, "label long, f array<double>").collect()
+    shared = shared_backoff(corpus_four_grams(docs, text_col))
+
+    def measured(model: Difference, rows: DataFrame) -> list:
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                labels_ = b.column(1).to_pylist()
+                for at, texts in batches_of(b, 0):
+                    f = model.features(texts)
+                    yield pa.RecordBatch.from_arrays([pa.array(labels_[at : at + len(texts)], pa.int64()), pa.array(list(f), pa.list_(pa.float64()))], names=["label", "f"])
+
+        return rows.select("data", "label").mapInArrow(measure, "label long, f array<double>").collect()
+
+    rows = []
+    for k in range(folds):
+        others = summed([p for i, p in enumerate(parts) if i != k])
+        rows += measured(Difference(*others, shared), sample.filter(F.col("fold") == k))
+    model = Difference(grams, counts, shared)
     y = np.array([r["label"] for r in rows], dtype=np.float64)
     x = np.array([r["f"] for r in rows], dtype=np.float64).reshape(-1, FEATURES)
-    if not 0 < y.sum() < len(y):
-        return lambda texts: np.full(len(texts), 0.5)
-    if min(y.sum(), len(y) - y.sum()) < least_rows:
-        return lambda texts: np.full(len(texts), y.mean())
     order = np.lexsort((*x.T, y))  # rows come in any order; sums should not
     weights = logistic(shaped(x[order]), y[order])
 

@@ -72,3 +72,17 @@ def test_sample_is_bounded_and_clean(spark):
     got = bounded_sample(docs, lab, "toxic", fold_of("doc_id", 3) != 1, 9).collect()
     assert [sum(r.label == c for r in got) for c in (0, 1)] == [9, 9]
     assert 1 not in {r.doc_id for r in got} and all(zlib.crc32(str(r.doc_id).encode()) % 3 != 1 for r in got)
+
+
+def test_few_labels_still_rank_and_predict(spark):
+    rows, _ = corpus(seed=2, n=200)
+    rows = [(i, t + " lozan lozer lozst lozing" * (1 + len(t) // 200) if i % 4 == 0 else t, x) for i, t, x in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    usable = [i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    few = [i for i in usable if i % 4 == 0][:6] + [i for i in usable if i % 4][:36]
+    lab = spark.createDataFrame([(i, int(i % 4 == 0)) for i in few], "doc_id long, toxic int")
+    got = score(docs, fit(docs, lab, fold_of("doc_id", 3) != 1)).collect()
+    toxic, clean = ([r for r in got if (r.doc_id % 4 == 0) == t and r.doc_id not in few] for t in (True, False))
+    assert sum(a.score > b.score for a in toxic for b in clean) >= 0.9 * len(toxic) * len(clean)
+    assert sum(r.predicted for r in toxic) >= 0.5 * len(toxic)
+    assert sum(r.predicted for r in clean) <= 0.1 * len(clean)
