@@ -71,9 +71,9 @@ def half_counts(fp: Column) -> tuple[Column, Column]:
     return F.bit_count(F.shiftrightunsigned(fp, 32)).cast("int"), F.bit_count(fp.bitwiseAND(F.lit(0xFFFFFFFF))).cast("int")
 
 
-def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Edges (member, root) that join what the pairs (a, b) of numbers under n join."""
-    root = np.arange(n)
+def hooked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, for each row the smallest of its group, after the pairs (a, b) have been joined."""
+    root = root.copy()
     while len(a):  # every round hooks each root to the smallest it is linked to, then halves paths
         low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
         live = low != high
@@ -84,6 +84,12 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
             if (up == root).all():
                 break
             root = up
+    return root
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Edges (member, root) that join what the pairs (a, b) of numbers under n join."""
+    root = hooked(np.arange(n), a, b)
     return [(int(i), int(root[i])) for i in np.nonzero(root != np.arange(n))[0]]
 
 
@@ -203,10 +209,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = spread_join(groups.select("fp", "component"), least, "component", "inner").select("fp", "component_id")
     return spread_join(fps, named, "fp", "inner").select("doc_id", "fp", "component_id")
 
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs whose id is the smallest of their group; of rows that repeat an id, those stay that carry it.
-
-    Rows with a null id stay: nothing says which of a group they are."""
-    ids = near_duplicates(docs, id_col, **how).filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(ids, docs[id_col] == ids["__gone"], "left_anti")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from talkweave.llm.simhash import fingerprint, forest, keep_one, links, near_duplicates
+from talkweave.llm.simhash import fingerprint, forest, links, near_duplicates
 
 
 def slow_fingerprint(text, k=3):
@@ -70,8 +70,6 @@ def test_groups_equal_brute_force(spark, tile_rows):
     key = lambda x: tuple((v is None, v or 0) for v in x)
     assert sorted([(r.doc_id, r.fp % 2**64, r.component_id) for r in got], key=key) == sorted([(i, f, low[f]) for (i, _), f in zip(rows, fps)], key=key)
     assert len(set(low.values())) < len(rows) - 20
-    kept = {r.doc_id for r in keep_one(docs, tile_rows=tile_rows).collect()}
-    assert kept == {i for (i, _), f in zip(rows, fps) if i is None or i == low[f]}
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
