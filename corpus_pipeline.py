@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talkweave.llm import near_copies, packing, quality_rules, suffix_dedup, toxicity
+from talkweave.llm import packing, quality_rules, similar_texts, suffix_dedup, toxicity
 from talkweave.llm.common import durable
 from talkweave.llm.labelled import fold_of
 from talkweave.session import ship
@@ -38,7 +38,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group whose five-word shingles have a similarity of 0.8 or more."""
     ship(spark)
-    return near_copies.keep_one(docs)
+    return similar_texts.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality rules", keep_quality),
-    ("MinHash near-dedup", one_of_each),
+    ("SimHash near-dedup", one_of_each),
     ("suffix-array dedup", cut_repeats),
     ("packing", pack),
 ]
