@@ -6,7 +6,7 @@ import ctypes
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,12 @@ def fresh(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def record_key(*columns: Column) -> Column:
+    """128 bits of the columns' texts; nulls are told from empty texts."""
+    part = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(*map(part, columns)).cast("binary")))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

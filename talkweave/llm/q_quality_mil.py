@@ -12,7 +12,7 @@ from talkweave.llm.toxicity import score
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     scorer = fit(docs, labels, fold_of("doc_id", 5) != 0)
-    return score(docs, scorer, 0.3, extra={"held_out": fold_of("doc_id", 5).isin(0, -1)}).select("doc_id", "held_out", "score", "predicted")
+    return score(docs, scorer, 0.3, held_out=fold_of("doc_id", 5).isin(0, -1)).select("doc_id", "held_out", "score", "predicted")
 
 
 QUERIES = {"op4_quality_classifier": op4_quality_classifier}

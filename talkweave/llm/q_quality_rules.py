@@ -34,14 +34,10 @@ WITH d AS (
   FROM each
 ), uniq AS (
   SELECT DISTINCT r, k FROM line
-), rank AS (
-  SELECT r, k, row_number() OVER (PARTITION BY r ORDER BY k) AS o FROM uniq
-), two AS (
-  SELECT r, min(k) AS k0, max(CASE WHEN o = 2 THEN k END) AS k1 FROM rank GROUP BY r
+), doc AS (
+  SELECT r, md5(string_agg(k::VARCHAR, ',' ORDER BY pos)) AS f FROM line GROUP BY r
 ), freq AS (
-  SELECT k FROM (
-    SELECT u.k, coalesce(CASE WHEN u.k = k0 THEN k1 ELSE k0 END, -1) AS c FROM uniq u JOIN two USING (r)
-  ) GROUP BY k HAVING count(DISTINCT c) > 10 AND count(DISTINCT c) >= 0.5 * count(*)
+  SELECT k FROM uniq JOIN doc USING (r) GROUP BY k HAVING count(DISTINCT f) > 10
 ), gone AS (
   SELECT r, count(*) AS n_lines, sum(n)::BIGINT AS n_words FROM line WHERE k IN (SELECT k FROM freq) GROUP BY r
 ), base AS (

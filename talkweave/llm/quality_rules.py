@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.common import spread_join
+from talkweave.llm.common import fresh, record_key, spread_join
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 A_WORD = "[^\\x20\\x09-\\x0D]"
@@ -76,11 +76,11 @@ def frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 10, min_left_words: int = 10, min_left_percent: int = 30, **base) -> DataFrame:
-    """One row for each row of docs: doc_id, row_key (a hash of id, host and text), the base statistics,
+    """One row for each row of docs: doc_id, row_key (128 bits of id, host and text), the base statistics,
     n_removed_lines, n_removed_words, removed (positions among the lines with a word, ascending), kept."""
     frequent = frequent_lines(docs, id_col, text_col, host_col, max_docs)
     d = base_statistics(_lines(docs, id_col, text_col, host_col), **base)
-    d = d.withColumn("row", F.monotonically_increasing_id()).withColumn("row_key", F.xxhash64("doc_id", "host", "text"))
+    d = d.withColumn("row", F.monotonically_increasing_id()).withColumn("row_key", record_key(F.col("doc_id"), F.col("host"), F.col("text")))
     stats = ["doc_id", "row_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     d = d.select("row", F.struct(*stats).alias("base"), F.arrays_zip("keys", F.transform("lines", lambda x: F.size(words_of(x))).alias("n")).alias("each"))
     # The statistics travel with a document's first line only; one without lines gets a key that no line has.
@@ -100,13 +100,16 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """The rows of docs that are kept, without the lines above the limits; other columns as they were."""
-    verdicts = assess(docs, id_col, text_col, host_col, **limits).filter("kept").groupBy(F.col("row_key").alias("__row")).agg(F.first("removed").alias("__removed"))
-    key = F.xxhash64(F.col(id_col), F.col(host_col).cast("string"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    d = docs.withColumn("__row", key).join(verdicts.hint("merge"), "__row").withColumn("__split", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"))
+    """The rows of docs that are kept, without the lines above the limits; other columns as they were.
+
+    Rows that repeat id, host and text get one verdict; rows that repeat an id alone are told apart by the others."""
+    key, cut, lines, spots, text = (fresh(c, docs) for c in ("__row", "__removed", "__lines", "__spots", "__text"))
+    verdicts = assess(docs, id_col, text_col, host_col, **limits).filter("kept").groupBy(F.col("row_key").alias(key)).agg(F.first("removed").alias(cut))
+    d = docs.withColumn(text, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    d = d.withColumn(key, record_key(F.col(id_col), F.col(host_col), F.col(text))).join(verdicts.hint("merge"), key).withColumn(lines, F.split(F.col(text), "\n"))
     # Positions count the lines with a word; blank lines stay.
-    d = d.withColumn("__with", F.filter(F.transform("__split", lambda x, i: F.when(x.rlike(A_WORD), i)), lambda i: i.isNotNull()))
-    d = d.withColumn("__out", F.transform("__removed", lambda p: F.get("__with", p)))
-    text = F.array_join(F.filter("__split", lambda x, i: ~F.array_contains("__out", i)), "\n")
-    d = d.withColumn(text_col, F.when(F.size("__removed") > 0, text).otherwise(F.col(text_col)))
-    return d.select(*docs.columns)
+    d = d.withColumn(spots, F.filter(F.transform(F.col(lines), lambda x, i: F.when(x.rlike(A_WORD), i)), lambda i: i.isNotNull()))
+    gone = F.transform(F.col(cut), lambda p: F.get(F.col(spots), p))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
+    return d.withColumn(text_col, F.when(F.size(cut) > 0, left).otherwise(F.col(text_col))).select(*docs.columns)

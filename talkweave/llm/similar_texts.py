@@ -1,6 +1,6 @@
 """SimHash near-duplicates whose word shingles have a Jaccard similarity of at least `least`.
 
-A document is the set of XXH64 hashes of its shingles of five words; equal sets are one node. Each node has
+A document is the set of 64-bit hashes of its shingles of five words; equal sets are one node. Each node has
 a SimHash fingerprint of 256 bits (the bitwise majority of four hashes derived from each shingle's), as a
 similarity of 0.8 must be told from chance among any number of documents: such a pair differs in about 39
 bits, unlike texts in 128, and the radius is 64. Fingerprints are compared by tiles, as in simhash.py: tiles
@@ -45,17 +45,27 @@ U = np.uint64
 #: How many of the first 64 bits of a candidate pair may differ.
 FIRST = 20
 LEADERS = 32
+FACTOR = U(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
-    """Distinct hashes of the shingles of a UTF-8 text, ascending."""
+    """Distinct hashes of the shingles of a UTF-8 text, ascending: the words' XXH64, summed with a power of a factor for each place."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # of bytes: lower-cases A-Z alone and splits at the six ASCII spaces
     if not words:
         return np.zeros(0, dtype="<u8")
-    n = max(1, len(words) - shingle + 1)
-    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), dtype="<u8", count=n))
+    h = np.fromiter((xxh64_intdigest(w, SEED) for w in words), dtype=U, count=len(words))
+    size = min(shingle, len(words))
+    n = len(words) - size + 1
+    out = h[:n].copy()
+    for k in range(1, size):
+        out *= FACTOR
+        out += h[k : k + n]
+    out ^= out >> U(31)
+    out *= U(0xBF58476D1CE4E5B9)
+    out ^= out >> U(29)
+    return np.unique(out)
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
@@ -83,12 +93,20 @@ def candidate_roots(x: np.ndarray, y: np.ndarray | None, radius: int, first: int
     root = np.arange(len(every))
     lead, cols = np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(other[:, 0])
     held_a, held_b, held = [], [], 0
-    for at in range(0, len(x), 64):
-        mine = lead[at : at + 64, None]
-        for c in range(at if own else 0, len(cols), 8192):
-            part = cols[None, c : c + 8192]
-            d = np.bitwise_count(mine ^ part).ravel()
-            hit = np.flatnonzero(d <= first)
+    rows, width = 16, 8192
+    differ, count, close = (np.empty(rows * width, dtype=t) for t in (U, np.uint8, bool))
+    for at in range(0, len(x), rows):
+        mine = lead[at : at + rows, None]
+        for c in range(at if own else 0, len(cols), width):
+            part = cols[None, c : c + width]
+            shape, n = (len(mine), part.shape[1]), len(mine) * part.shape[1]
+            np.bitwise_xor(mine, part, out=differ[:n].reshape(shape))
+            d = np.bitwise_count(differ[:n], out=count[:n])
+            np.less_equal(d, first, out=close[:n])
+            close[n : n + -n % 8] = False
+            some = np.flatnonzero(close[: n + -n % 8].view(U))  # eight pairs at a time, as few are close
+            hit = np.flatnonzero(close[: n + -n % 8].reshape(-1, 8)[some])
+            hit = some[hit >> 3] * 8 + (hit & 7)
             if not len(hit):
                 continue
             a, b = at + hit // part.shape[1], base + c + hit % part.shape[1]

@@ -8,12 +8,10 @@ Three passes over blocks of documents, dealt by a hash of their content:
    fourteen is an anchor. Blocks send hashes of their anchors to buckets, which answer with one bit
    each: does it occur in another document as well? Windows whose anchor does not are unique.
 2. Suffix order. The anchors that are left are sent, with the bytes around them that their windows
-   can reach, to buckets that hold ranges of the leading eight bytes. Sampled splitters bound the
-   ranges. A bucket sorts its suffixes by multikey quicksort, eight bytes a step within runs of equal
+   can reach, to buckets that hold ranges of anchors. Sampled splitters bound the ranges. A bucket sorts its suffixes by multikey quicksort, eight bytes a step within runs of equal
    bytes, once rightwards and once leftwards, so that lengths of common prefixes are known on both
    sides. For each way a window can lie around its anchor, the smallest id in the window's class tells
-   which suffixes have it in an earlier document. Suffixes with the same leading bytes are always in
-   one bucket, so that no class crosses a boundary; a block sends a context once with its smallest id,
+   which suffixes have it in an earlier document. Equal anchors are always in one bucket, so that no class crosses a boundary; a block sends a context once with its smallest id,
    which keeps hot passages small: a bucket gets each at most once a block.
 3. Blocks turn the answers into removed intervals and cut their texts.
 
@@ -27,17 +25,18 @@ extra columns are ignored, whatever their names; an empty table gives an empty r
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.llm.common import settled, shuffle_partitions
+from talkweave.llm.common import fresh, record_key, settled, shuffle_partitions
 
 U = np.uint64
 NO_ID = np.iinfo(np.int64).max
@@ -303,13 +302,30 @@ def _of_distinct(ctx: np.ndarray, sides: np.ndarray, ids: np.ndarray, span: int,
     return bits
 
 
-def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes], splitters: np.ndarray, shares: int = 1) -> list[list[tuple[int, int]]]:
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The spans widened to the ends of the UTF-8 characters that they cut."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        while s > 0 and text[s] & 0xC0 == 0x80:
+            s -= 1
+        while e < len(text) and text[e] & 0xC0 == 0x80:
+            e += 1
+        out.append((max(s, out[-1][1]) if out else s, e))
+    return out
+
+
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    edges = [0, *(x for se in spans for x in se), len(text)]
+    return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+
+
+def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes], splitters: list[bytes]) -> list[list[tuple[int, int]]]:
     """Maximal removed intervals (within each document), in the block's order of documents."""
     ctx, _, low, run = block.contexts(anchors)
     out: list[list[tuple[int, int]]] = [[] for _ in block.texts]
     if len(ctx):
         reach = block.span - block.gram
-        own = bucket_of(ctx, reach, splitters, block.gram, shares)
+        own = bucket_of(ctx, reach, splitters, block.gram)
         bits = np.zeros(len(ctx), dtype=U)
         for b, packed in answers.items():
             where = np.nonzero(own == b)[0]
@@ -338,36 +354,34 @@ def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes],
     return out
 
 
-def bucket_of(ctx: np.ndarray, reach: int, splitters: np.ndarray, gram: int, shares: int = 1) -> np.ndarray:
-    """The range of an anchor's leading eight bytes, times its share by the hash of the whole anchor where ranges are shared out."""
-    lead = np.ascontiguousarray(ctx[:, reach : reach + 8]).view(">u8")[:, 0].astype(U)
-    at = np.searchsorted(splitters, lead, side="right")
-    if shares > 1:
-        h = np.zeros(len(ctx), dtype=U)
-        for k in range(gram):
-            h = (h ^ ctx[:, reach + k]) * U(0x9E3779B97F4A7C15)
-            h ^= h >> U(29)
-        at = at * shares + (h % U(shares)).astype(np.int64)
+def bucket_of(ctx: np.ndarray, reach: int, splitters: list[bytes], gram: int) -> np.ndarray:
+    """The range that a context's whole anchor is in: by its leading eight bytes, and where those are a splitter's by all of them."""
+    leads = np.array([int.from_bytes(s[:8], "big") for s in splitters], dtype=U)
+    own = np.ascontiguousarray(ctx[:, reach : reach + 8]).view(">u8")[:, 0].astype(U)
+    at, end = (np.searchsorted(leads, own, side=x).astype(np.int64) for x in ("left", "right"))
+    for i in np.nonzero(at < end)[0].tolist():
+        at[i] = bisect.bisect_right(splitters, ctx[i, reach : reach + gram].tobytes(), int(at[i]), int(end[i]))
     return at
 
 
-def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int = 24, block_bytes: int = 5 << 20, bucket_rows: int = 1 << 20, outputs: tuple[str, ...] = ("spans", "kept"), key_col: str | None = None, most_splitters: int = 1 << 14) -> DataFrame:
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 50, gram: int = 24, block_bytes: int = 5 << 20, bucket_rows: int = 1 << 20, outputs: tuple[str, ...] = ("spans", "kept"), key: Column | None = None, most_splitters: int = 1 << 18, most_partitions: int = 1 << 15) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the outputs, one row for each row of docs.
 
-    outputs: any of spans (array of removed [start, end) byte intervals), kept (the remaining bytes), kept_sha256.
-    key_col: a long column that is carried through as row_key."""
+    outputs: any of spans (array of removed [start, end) byte intervals), kept (the remaining bytes), kept_text (the same
+    without the rest of characters that were cut in part), kept_sha256. key: a binary that is carried through as row_key.
+    most_splitters bounds the ranges, which hold more suffixes beyond it; most_partitions the tasks, which hold more blocks."""
     if span - gram + 1 > 32 or gram < 16:
         raise ValueError("gram must be at least 16, and span - gram less than 32")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError("ids must be integers, as the smaller id keeps its bytes")
     spark = docs.sparkSession
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"), (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("row_key"))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"), (F.lit(None) if key is None else key).cast("binary").alias("row_key"))
     total = d.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
     blocks = max(shuffle_partitions(spark), math.ceil(total / block_bytes))
     expected = 2 * total // (span - gram + 2)  # anchors
     buckets = max(1, math.ceil(expected / bucket_rows))
-    wanted = max(12 * buckets, shuffle_partitions(spark))
-    shares = -(-wanted // most_splitters)
-    splitters = sample_splitters(d, span, gram, total, min(wanted, most_splitters))
-    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "data"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
+    splitters = sample_splitters(d, span, gram, total, min(max(12 * buckets, shuffle_partitions(spark)), most_splitters))
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id", "data"), F.lit(blocks)).cast("long")).repartition(min(blocks, most_partitions), "block")
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         bucket, sent, _ = Block(table, span, gram).sent_hashes(buckets)
@@ -390,7 +404,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         block = Block(table, span, gram)
         anchors = block.repeated(dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True)), buckets)
         ctx, sides, low, _ = block.contexts(anchors)
-        own = bucket_of(ctx, span - gram, splitters, gram, shares)
+        own = bucket_of(ctx, span - gram, splitters, gram)
         names = np.unique(own)
         blobs = []
         for b in names:
@@ -410,29 +424,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         ends = np.cumsum(sizes)
         return settled(pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "earlier": pa.array([bits[e - n : e].tobytes() for n, e in zip(sizes, ends, strict=True)], pa.binary())}))
 
-    types = {"spans": pa.list_(pa.list_(pa.int64())), "kept": pa.binary(), "kept_sha256": pa.string()}
-    kinds = {"spans": T.ArrayType(T.ArrayType(T.LongType())), "kept": T.BinaryType(), "kept_sha256": T.StringType()}
-    schema = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "row_key", "n_bytes", "n_removed", "n_spans")), *(T.StructField(c, kinds[c]) for c in outputs)])
+    types = {"spans": pa.list_(pa.list_(pa.int64())), "kept": pa.binary(), "kept_text": pa.binary(), "kept_sha256": pa.string()}
+    kinds = {"spans": T.ArrayType(T.ArrayType(T.LongType())), "kept": T.BinaryType(), "kept_text": T.BinaryType(), "kept_sha256": T.StringType()}
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("row_key", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), *(T.StructField(c, kinds[c]) for c in outputs)])
 
     def cut(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         block = Block(table, span, gram)
         rows = told.to_pylist()
         anchors = block.repeated({r["bucket"]: r["data"] for r in rows if r["kind"] == 0}, buckets)
-        spans = removed_spans(block, anchors, {r["bucket"]: r["data"] for r in rows if r["kind"] == 1}, splitters, shares)
+        spans = removed_spans(block, anchors, {r["bucket"]: r["data"] for r in rows if r["kind"] == 1}, splitters)
         keys = table.column("row_key").to_pylist()
-        kept = []
-        if "kept" in outputs or "kept_sha256" in outputs:
-            for t, own in zip(block.texts, spans, strict=True):
-                edges = [0, *(x for se in own for x in se), len(t)]
-                kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+        kept = [without(t, own) for t, own in zip(block.texts, spans, strict=True)] if "kept" in outputs or "kept_sha256" in outputs else []
         cols = {
             "doc_id": pa.array([block.row_ids[i] for i in block.order], pa.int64()),
-            "row_key": pa.array([keys[i] for i in block.order], pa.int64()),
+            "row_key": pa.array([keys[i] for i in block.order], pa.binary()),
             "n_bytes": pa.array([len(t) for t in block.texts], pa.int64()),
             "n_removed": pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()),
             "n_spans": pa.array([len(x) for x in spans], pa.int64()),
         }
-        made = {"spans": lambda: [[list(x) for x in own] for own in spans], "kept": lambda: kept, "kept_sha256": lambda: [hashlib.sha256(x).hexdigest() for x in kept]}
+        made = {"spans": lambda: [[list(x) for x in own] for own in spans], "kept": lambda: kept, "kept_text": lambda: [without(t, whole_characters(t, own)) for t, own in zip(block.texts, spans, strict=True)], "kept_sha256": lambda: [hashlib.sha256(x).hexdigest() for x in kept]}
         return settled(pa.table(cols | {c: pa.array(made[c](), types[c]) for c in outputs}))
 
     by_block = d.groupBy("block")
@@ -443,12 +453,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return by_block.cogroup(told.groupBy("block")).applyInArrow(cut, schema)
 
 
-def sample_splitters(d: DataFrame, span: int, gram: int, total: int, buckets: int, per_bucket: int = 16, sample_bytes: int = 4 << 20) -> np.ndarray:
-    """Bounds of the buckets: quantiles of the leading eight bytes of a sample of anchors.
+def sample_splitters(d: DataFrame, span: int, gram: int, total: int, buckets: int, per_bucket: int = 4, sample_bytes: int = 4 << 20) -> list[bytes]:
+    """Bounds of the buckets: quantiles of a sample of anchors, each of `gram` bytes.
 
-    They only set how evenly suffixes are dealt, never the result. About buckets * per_bucket keys reach the driver,
-    twice as many at most."""
-    most = buckets * per_bucket
+    They only set how evenly suffixes are dealt, never the result. About max(2**16, buckets * per_bucket) anchors reach
+    the driver, twice as many at most."""
+    most = max(1 << 16, buckets * per_bucket)
+    sample_bytes = max(sample_bytes, most * (span - gram + 2))
     found = min(total, sample_bytes) * 2 // (span - gram + 2) + 1
     kept = min(2**32, most * 2**32 // found)
 
@@ -457,23 +468,22 @@ def sample_splitters(d: DataFrame, span: int, gram: int, total: int, buckets: in
             block = Block(pa.Table.from_batches([b]), span, gram)
             at = block.at[(block.grams & U(0xFFFFFFFF)) < U(kept)]
             if len(at):
-                lead = np.lib.stride_tricks.sliding_window_view(block.bytes, 8)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(lead).view(">u8")[:, 0].astype(U).view(np.int64))], names=["lead"])
+                lead = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(block.bytes, gram)[at]).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([lead[k : k + gram] for k in range(0, len(lead), gram)], pa.binary())], names=["lead"])
 
-    keys = d.select("doc_id", "data").sample(min(1.0, sample_bytes / max(1, total)), seed=7).mapInArrow(leads, "lead long").limit(2 * most).collect()
-    lead = np.sort(np.array([r["lead"] for r in keys], dtype=np.int64).view(U))
-    if not len(lead):
-        return lead
-    return np.unique(lead[np.arange(1, buckets) * len(lead) // buckets])
+    keys = d.select("doc_id", "data").sample(min(1.0, sample_bytes / max(1, total)), seed=7).mapInArrow(leads, "lead binary").limit(2 * most).toArrow()
+    lead = sorted(keys.column("lead").to_pylist())
+    return sorted({lead[k * len(lead) // buckets] for k in range(1, buckets)}) if lead else []
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with the repeated bytes cut from their texts; other columns as they were.
 
-    A character that is cut in part goes as a whole, so that texts stay valid UTF-8. Null texts stay null."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    d = docs.withColumn("__row", key)
-    kept = repeated_passages(d, id_col, text_col, outputs=("kept",), key_col="__row", **how).filter("n_removed > 0")
-    kept = kept.groupBy(F.col("row_key").alias("__row")).agg(F.first("kept").alias("__kept"))
-    text = F.when(F.col("__kept").isNotNull(), F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "�", "")).otherwise(F.col(text_col))
-    return d.join(kept.hint("merge"), "__row", "left").withColumn(text_col, text).select(*docs.columns)
+    A character that is cut in part goes as a whole, so that texts stay valid UTF-8; all others stay, U+FFFD too. Null
+    texts stay null; rows that repeat an id alone are told apart by their texts."""
+    key, kept = fresh("__row", docs), fresh("__kept", docs)
+    own = record_key(F.col(id_col), F.col(text_col))
+    cut = repeated_passages(docs, id_col, text_col, outputs=("kept_text",), key=own, **how).filter("n_removed > 0")
+    cut = cut.groupBy(F.col("row_key").alias(key)).agg(F.first("kept_text").cast("string").alias(kept))
+    d = docs.withColumn(key, own).join(cut.hint("merge"), key, "left")
+    return d.withColumn(text_col, F.coalesce(F.col(kept), F.col(text_col))).select(*docs.columns)

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from talkweave.llm.common import durable, settled, shuffle_partitions
@@ -279,12 +280,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "to
     return score
 
 
-def score(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
-    """doc_id, extra columns, score, predicted: one row for each row of docs."""
-    extra = extra or {}
-    d = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in extra.items()), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in d.schema[:-1])
-    names = [*d.columns[:-1], "score", "predicted"]
+def _scored(d: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], threshold: float) -> DataFrame:
+    """d without its last column, data, but with score and predicted."""
+    schema = T.StructType([*d.schema[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,4 +293,21 @@ def score(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], threshol
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], names=names)
         settled(None)
 
-    return d.mapInArrow(run, f"{kinds}, score double, predicted int")
+    return d.mapInArrow(run, schema)
+
+
+def _data(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data")
+
+
+def score(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
+    """doc_id, held_out if it is given, score, predicted: one row for each row of docs."""
+    extra = [] if held_out is None else [held_out.alias("held_out")]
+    return _scored(docs.select(F.col(id_col).alias("doc_id"), *extra, _data(text_col)), scorer, threshold)
+
+
+def harmless(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not predicted toxic, with their columns as they were, whatever their names."""
+    named = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    left = _scored(docs.select(*named, _data(text_col)), scorer, threshold).filter("predicted = 0")
+    return left.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

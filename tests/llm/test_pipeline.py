@@ -10,7 +10,6 @@ import public_tokenizers
 import corpus_pipeline
 
 from talkweave.llm.packing import ByteBpe
-from talkweave.llm.simhash import fingerprint
 
 SIZE = 2048
 
@@ -42,13 +41,12 @@ def fixture():
 def quality(rows):
     lines = lambda t: [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     key = lambda h, x: int(hashlib.md5(f"h{h}\n{' '.join(x.lower().split())}".encode()).hexdigest()[:15], 16)
-    company, docs = defaultdict(set), Counter()
+    docs = defaultdict(set)
     for _, t, _, h, _ in rows:
-        ks = sorted({key(h, x) for x in lines(t)})
+        ks = tuple(key(h, x) for x in lines(t))
         for k in ks:
-            company[k].add(next((x for x in ks if x != k), -1))
-            docs[k] += 1
-    gone = {k for k, c in company.items() if len(c) > 10 and len(c) >= 0.5 * docs[k]}
+            docs[k].add(ks)  # copies of one text are one document
+    gone = {k for k, own in docs.items() if len(own) > 10}
     out = []
     for i, t, lang, h, _ in rows:
         w = (t or "").split()
@@ -64,18 +62,21 @@ def quality(rows):
 
 
 def nearest(rows):
-    fps = {r[0]: fingerprint(r[1].encode()) for r in rows}
-    out = []
-    for r in rows:
-        seen, todo = {r[0]}, [r[0]]
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, out = [shingles(t) for _, t, *_ in rows], []
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    for r in range(len(rows)):
+        seen, todo = {r}, [r]
         while todo:
             a = todo.pop()
-            for b in fps:
-                if b not in seen and (fps[a] ^ fps[b]).bit_count() <= 3:
-                    seen.add(b)
-                    todo.append(b)
-        if r[0] == min(seen):
-            out.append(r)
+            new = [b for b in range(len(rows)) if b not in seen and near(sets[a], sets[b])]
+            seen.update(new)
+            todo += new
+        if rows[r][0] == min(rows[b][0] for b in seen):
+            out.append(rows[r])
     return out
 
 
@@ -126,3 +127,40 @@ def test_equals_brute_force(spark, tmp_path):
     for parts in fill.values():
         parts.sort()
         assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= SIZE
+
+
+CLASH = ("score", "predicted", "data", "id", "c0", "__row", "__removed", "__kept", "__lines", "__rid", "rid", "text_key", "key", "host", "row", "words", "component_id")
+
+
+def test_hard_rows_and_clashing_names(spark, tmp_path):
+    """Nulls in any column, repeated ids, genuine U+FFFD, long texts and columns named like the stages' own."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    shared, long = say(30), say(60_000)
+    rows = [(1, say(40)), (1, say(41)), (2, None), (None, say(30)), (None, None), (3, ""), (4, long), (5, "\ufffd genuine " + shared), (6, say(12) + " \ufffd " + shared + " \ufffd é"), (7, say(30)), (8, "é" * 300)]
+    rows.append((9, rows[9][1]))  # a copy of 7
+    rows.append((8, rows[9][1]))  # and one that shares its id with another text
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    full = [(i, t, None, None if k % 2 else "h", None if t is None else len(t), *(f"{c}{k}" for c in CLASH)) for k, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(full, kind).repartition(2)
+    spark.createDataFrame([(1, 1), (7, 0), (9, None), (None, 1), (9, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    own = {r[0:2] + r[5:]: r for r in full}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = [tuple(r) for r in out.collect()]
+        assert all(r[5:] in {x[5:] for x in full} for r in got) and len({r[5:] for r in got}) == len(got)
+        if stage is corpus_pipeline.drop_toxic:
+            assert got and all(r in full for r in got)
+        if stage is corpus_pipeline.keep_quality:
+            assert {r[5] for r in got} == {f"score{k}" for k in (0, 1, 3, 6, 7, 8, 9, 11, 12)} and all(r[:2] + r[5:] in own for r in got)
+        if stage is corpus_pipeline.one_of_each:
+            assert {r[5] for r in got} == {f"score{k}" for k in (0, 1, 2, 3, 6, 7, 8, 9, 10)}
+        if stage is corpus_pipeline.cut_repeats:
+            text = {r[5]: r[1] for r in got}
+            assert len(got) == len(rows) and text["score2"] is None and text["score7"] == rows[7][1]
+            assert text["score8"].count("\ufffd") == 2 and shared not in text["score8"] and text["score8"].endswith("\ufffd é")
+            assert text["score11"] == "" and text["score10"] == rows[10][1]
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= len(rows)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0

@@ -48,7 +48,7 @@ def test_held_out_accuracy_and_edges(spark):
     odd = [(None, "a b", 0.1), (1000, None, 0.1), (1001, "", 0.1), (1002, rows[0][1] * 40, 0.1), (1002, rows[0][1] * 40, 0.1)]
     docs = spark.createDataFrame([*rows, *odd], "doc_id long, text string, score double").repartition(3)
     lab = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, quality int")
-    got = score(docs, fit(docs, lab, fold_of("doc_id", 5) != 0), 0.3, extra={"held_out": fold_of("doc_id", 5).isin(0, -1)}).collect()
+    got = score(docs, fit(docs, lab, fold_of("doc_id", 5) != 0), 0.3, held_out=fold_of("doc_id", 5).isin(0, -1)).collect()
     assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     held = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 400]
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)

@@ -54,7 +54,7 @@ def test_held_out_accuracy_and_edges(spark):
     docs = spark.createDataFrame([*rows, *odd], "doc_id long, text string, score string").repartition(4)
     lab = spark.createDataFrame([*labels, (3, None), (None, 1), (1, 1)], "doc_id long, toxic int")
     usable = fold_of("doc_id", 3) != 1
-    got = score(docs, fit(docs, lab, usable), extra={"held_out": fold_of("doc_id", 3).isin(1, -1)}).collect()
+    got = score(docs, fit(docs, lab, usable), held_out=fold_of("doc_id", 3).isin(1, -1)).collect()
     assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     truth = {i: i % 4 == 0 for i, _, _ in rows}
     held = [r for r in got if r.held_out and r.doc_id in truth]
