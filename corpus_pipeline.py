@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the
 last return the columns of documents. run() writes each stage's rows and reads them again for the next.
+
+Defined results: null texts are empty ones (not toxic by words, rejected by the quality rules for having too few
+words, one group in the near-dedup, nothing to cut, one end token in the packing); rows that repeat an id are told
+apart by their texts; a null id is carried through; extra columns, whatever their names, come out as they were;
+long texts are worked on whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,16 +22,15 @@ from talkweave.session import ship
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """docs with n_chars as the length of the text."""
-    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """docs with n_chars, if there is one, as the length of the text."""
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic; the model learns from the labels that op3 may learn from."""
     ship(spark)
     scorer = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold_of("doc_id", 3) != 1)
-    carried = {c: F.col(c) for c in docs.columns if c != "doc_id"}
-    return toxicity.score(docs, scorer, 0.7, extra=carried).filter("predicted = 0").select(*docs.columns)
+    return toxicity.harmless(docs, scorer, 0.7)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
