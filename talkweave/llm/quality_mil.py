@@ -7,9 +7,9 @@ softmax(w . (tanh(V h) * sigmoid(U h))), and the document's score comes from the
 its passages. Encoder, attention and output are learned together from document labels alone, by Adam
 on a bounded sample of labelled rows; the classes count alike. Every passage of every text is scored.
 
-The fit is a few thousand small numbers, learned in the driver from at most 2 * rows_per_class bags
-of at most `bag` passages each (longer documents are represented by passages spread evenly; scoring
-uses all).
+The fit is a few thousand small numbers, learned in the driver from the whole bags of labelled rows, at most
+rows_per_class and bytes_per_class of text a class. A passage of 40 words is 50 numbers, so that these are
+about 0.8 times the sample's bytes, and 2.5 times where a text's words are single letters.
 
 Defined results: a null or empty text is one passage without words; without labelled rows of both
 classes every score is one half; rows that repeat get equal scores; a null id is scored and is held
@@ -167,9 +167,9 @@ class Attention:
         return self.forward(x.astype(np.float64), np.searchsorted(bag, np.arange(len(texts))))["y"]
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", rows_per_class: int = 1500, bag: int = 40, id_col: str = "doc_id", text_col: str = "text") -> Callable[[list[bytes]], np.ndarray]:
-    """A function from texts to scores, learned from at most 2 * rows_per_class labelled rows."""
-    sample = bounded_sample(docs, labels, label_col, usable, rows_per_class, id_col, text_col)
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", rows_per_class: int = 1500, bytes_per_class: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text") -> Callable[[list[bytes]], np.ndarray]:
+    """A function from texts to scores, learned from all passages of the sampled rows."""
+    sample = bounded_sample(docs, labels, label_col, usable, rows_per_class, bytes_per_class, id_col, text_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -177,13 +177,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "qu
             for at, texts in batches_of(b, 1):
                 x, own = passages(texts)
                 starts = np.searchsorted(own, np.arange(len(texts) + 1))
-                rows = []
-                for s, e in zip(starts[:-1], starts[1:], strict=True):
-                    rows.append(x[np.unique(np.linspace(s, e - 1, bag).astype(np.int64))].astype("<f4").tobytes())
+                rows = [x[s:e].astype("<f4").tobytes() for s, e in zip(starts[:-1], starts[1:], strict=True)]
                 part = slice(at, at + len(texts))
                 yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids[part]]), pa.array(ys[part], pa.int64()), pa.array(rows, pa.binary())], names=["id", "label", "bag"])
 
-    rows = sample.mapInArrow(encode, "id string, label long, bag binary").collect()  # at most 2 * rows_per_class * bag * WIDTH numbers
+    rows = sample.mapInArrow(encode, "id string, label long, bag binary").collect()
     rows = sorted((r["id"], r["label"], bytes(r["bag"])) for r in rows)
     y = np.array([r[1] for r in rows], dtype=np.float64)
     if not 0 < y.sum() < len(y):

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -33,6 +34,24 @@ def test_gradients():
         assert abs((up - down) / 2e-5 - grad[k][i]) < 1e-5
 
 
+def test_scores_equal_a_loop_over_passages():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["ab", "C,", "d9", "###", "é"]) for _ in range(n)).encode() for n in (0, 3, 41, 500)]
+    m = Attention(seed=2)
+    m.mean, m.scale = np.random.default_rng(1).normal(size=(2, WIDTH)) ** 2 + 0.1
+    got = m.score(texts)
+    for text, score_ in zip(texts, got, strict=True):
+        weights, encoded = [], []
+        for row in passages([text])[0]:
+            z = [max(-6.0, min(6.0, (float(v) - mean) / scale)) for v, mean, scale in zip(row, m.mean, m.scale, strict=True)]
+            h = [math.tanh(sum(z[i] * m.p["E"][i][j] for i in range(WIDTH)) + m.p["e"][j]) for j in range(len(m.p["e"]))]
+            gate = [math.tanh(sum(h[i] * m.p["V"][i][j] for i in range(len(h)))) / (1 + math.exp(-sum(h[i] * m.p["U"][i][j] for i in range(len(h))))) for j in range(len(m.p["w"]))]
+            weights.append(math.exp(sum(a * b for a, b in zip(gate, m.p["w"], strict=True))))
+            encoded.append(h)
+        mean = [sum(w * h[j] for w, h in zip(weights, encoded, strict=True)) / sum(weights) for j in range(len(encoded[0]))]
+        assert abs(score_ - 1 / (1 + math.exp(-(sum(a * b for a, b in zip(mean, m.p["c"], strict=True)) + m.p["b"][0])))) < 1e-9
+
+
 def test_held_out_accuracy_and_edges(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice(["an", "the", "on", "er", "ti"]) for _ in range(rng.randrange(1, 4)))
