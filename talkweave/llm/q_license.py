@@ -1,7 +1,7 @@
 """op7: licences of all documents, and their SQL.
 
-The documents have no paths, so the query gives each a place in a tree: the source, then two levels
-of id ranges. The first document of a range is its directory's licence file."""
+The documents have no paths, so the query gives each a place in a tree: the source, then two levels of id
+ranges. A document that speaks of a licence is its directory's licence file."""
 
 from __future__ import annotations
 
@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from talkweave.llm.license_scan import TEMPLATES, scan
 
-PATH = """
-CASE WHEN doc_id % 10000 = 0 THEN concat('/', source, '/LICENSE')
-     WHEN doc_id % 1000 = 0 THEN concat('/', source, '/', floor(doc_id / 1000), '/LICENSE')
-     WHEN doc_id % 100 = 0 THEN concat('/', source, '/', floor(doc_id / 1000), '/', floor(doc_id / 100), '/LICENSE')
-     ELSE concat('/', source, '/', floor(doc_id / 1000), '/', floor(doc_id / 100), '/', doc_id, '.txt') END
+SPEAKS = "(?i)(licensed|released) under"
+PATH = f"""
+concat('/', source, '/', floor(doc_id / 1000), '/', floor(doc_id / 100), '/', CASE WHEN text RLIKE '{SPEAKS}' THEN 'LICENSE' ELSE concat(doc_id, '.txt') END)
 """
 
 
@@ -30,38 +28,39 @@ _LITERALS = ",\n".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enume
 SQL = rf"""
 WITH tpl(k, name, body) AS (VALUES {_LITERALS}),
 tok AS (
-  SELECT DISTINCT k, name, w FROM (SELECT k, name, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS w FROM tpl) WHERE w <> ''
+  SELECT k, w, count(*) AS tf FROM (SELECT k, unnest(regexp_split_to_array(lower(body), '[^a-z0-9]+')) AS w FROM tpl) WHERE w <> '' GROUP BY k, w
 ), vocab AS (
-  SELECT DISTINCT w FROM tok
+  SELECT list(DISTINCT w) AS words FROM tok
 ), d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t,
-    CASE WHEN doc_id % 10000 = 0 THEN '/' || source || '/LICENSE'
-         WHEN doc_id % 1000 = 0 THEN '/' || source || '/' || (doc_id // 1000) || '/LICENSE'
-         WHEN doc_id % 100 = 0 THEN '/' || source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/LICENSE'
-         ELSE '/' || source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || doc_id || '.txt' END AS path
+    '/' || source || '/' || (doc_id // 1000) || '/' || (doc_id // 100) || '/' || CASE WHEN regexp_matches(text, '{SPEAKS}') THEN 'LICENSE' ELSE doc_id || '.txt' END AS path
   FROM documents
 ), s AS (
-  SELECT r, unnest(string_split(t, chr(10))) AS line, true AS is_line FROM d
-  UNION ALL SELECT r, t, false FROM d WHERE path LIKE '%/LICENSE'
+  SELECT r, unnest(range(1, len(l) + 1)) AS i, l FROM (SELECT r, string_split(t, chr(10)) AS l FROM d)
+), full_line AS (
+  SELECT r, i, x FROM (SELECT r, i, list_filter(regexp_split_to_array(lower(l[i]), '[^a-z0-9]+'), lambda x: x <> '') AS x FROM s) WHERE len(x) > 0
+), line AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY i) AS spot, x, 2 * len(list_intersect(list_distinct(x), words)) >= len(list_distinct(x)) AS near FROM full_line, vocab
 ), seg AS (
-  SELECT row_number() OVER () AS g, r, is_line, list_distinct(list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '')) AS x FROM s
-), flat AS (
-  SELECT g, r, is_line, len(x) AS n, unnest(x) AS w FROM seg
+  SELECT r, 0 AS kind, spot, x FROM line WHERE near
+  UNION ALL SELECT r, 1, spot - row_number() OVER (PARTITION BY r ORDER BY spot), x FROM line WHERE near
+  UNION ALL SELECT line.r, 2, 0, x FROM line JOIN d ON d.r = line.r WHERE path LIKE '%/LICENSE'
+), tf AS (
+  SELECT r, kind, spot, w, count(*) AS tf FROM (SELECT r, kind, spot, unnest(x) AS w FROM seg) GROUP BY ALL
 ), total AS (
-  SELECT count(*) AS lines FROM seg WHERE is_line AND len(x) > 0
+  SELECT count(*) AS lines FROM line
 ), q AS (
-  SELECT vocab.w, power(ln((lines + 1) / (coalesce(df, 0) + 1)) + 1, 2) AS q
-  FROM vocab CROSS JOIN total LEFT JOIN (SELECT w, count(*) AS df FROM flat WHERE is_line GROUP BY w) f ON f.w = vocab.w
+  SELECT v.w, power(ln((lines + 1) / (coalesce(df, 0) + 1)) + 1, 2) AS q
+  FROM (SELECT unnest(words) AS w FROM vocab) v CROSS JOIN total LEFT JOIN (SELECT w, count(*) AS df FROM (SELECT unnest(list_distinct(x)) AS w FROM line) GROUP BY w) f ON f.w = v.w
 ), norm AS (
-  SELECT k, sqrt(sum(q)) AS norm FROM tok JOIN q USING (w) GROUP BY k
+  SELECT k, sqrt(sum(q * tf * tf)) AS norm FROM tok JOIN q USING (w) GROUP BY k
 ), own AS (
-  SELECT g, r, n, sqrt(sum(q) + (n - count(*)) * (SELECT power(ln(lines + 1.0) + 1, 2) FROM total)) AS size
-  FROM flat JOIN q USING (w) GROUP BY g, r, n HAVING count(*) >= 0.36 * n - 1e-9
+  SELECT r, kind, spot, sqrt(sum(tf * tf * coalesce(q, power(ln(lines + 1.0) + 1, 2)))) AS size FROM tf CROSS JOIN total LEFT JOIN q USING (w) GROUP BY r, kind, spot
 ), cosine AS (
-  SELECT r, tok.k, round(sum(q) / (size * norm), 4) AS score
-  FROM own JOIN flat USING (g, r) JOIN tok USING (w) JOIN q USING (w) JOIN norm ON norm.k = tok.k GROUP BY own.g, r, tok.k, size, norm
+  SELECT own.r, own.kind, own.spot, tok.k, round(sum(tf.tf * tok.tf * q) / (size * norm), 4) AS score
+  FROM own JOIN tf USING (r, kind, spot) JOIN tok USING (w) JOIN q USING (w) JOIN norm ON norm.k = tok.k GROUP BY own.r, own.kind, own.spot, tok.k, size, norm
 ), best AS (
-  SELECT r, k, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, k) AS o FROM cosine WHERE score >= 0.6) WHERE o = 1
+  SELECT r, k, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY kind DESC, score DESC, k) AS o FROM cosine WHERE score >= 0.6) WHERE o = 1
 ), f AS (
   SELECT d.r, doc_id, path, k, score, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM d LEFT JOIN best ON best.r = d.r
 ), holder AS (

@@ -1,5 +1,7 @@
 import math
 import re
+import textwrap
+from collections import Counter
 
 import duckdb
 
@@ -8,31 +10,40 @@ from talkweave.llm.q_license import SQL, place
 
 
 def words(t):
-    return set(re.split("[^a-z0-9]+", t.lower())) - {""}
+    return [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
 
 
 def brute(rows, least=0.6):
     names = sorted(TEMPLATES)
-    sets = [words(t) for _, t in names]
-    lines = [words(x) for _, _, t in rows for x in (t or "").split("\n")]
-    lines = [x for x in lines if x]
+    counts = [Counter(words(t)) for _, t in names]
+    known = set().union(*counts)
+    lines = [w for _, _, t in rows for x in (t or "").split("\n") if (w := words(x))]
     q = lambda w: (math.log((len(lines) + 1) / (sum(w in x for x in lines) + 1)) + 1) ** 2
-    weight = {w: q(w) for s in sets for w in s}
+    weight = {w: q(w) for w in known}
     most = (math.log(len(lines) + 1) + 1) ** 2
     own = []
     for _, path, t in rows:
-        segments = [words(x) for x in (t or "").split("\n")]
+        mine = [w for x in (t or "").split("\n") if (w := words(x))]
+        near = [2 * len(set(x) & known) >= len(set(x)) for x in mine]
+        segments, run = [(0, x) for x, n in zip(mine, near) if n], []
+        for x, n in zip([*mine, []], [*near, False]):
+            if n:
+                run += x
+            elif run:
+                segments.append((1, run))
+                run = []
         named = path is not None and bool(re.match(r"(?i)(licen[sc]e|copying|notice|unlicense)([.-].*)?$", path.rsplit("/", 1)[-1]))
-        if named:
-            segments.append(words(t or ""))
-        best = (0.0, 0)
-        for x in segments:
-            size = math.sqrt(sum(weight.get(w, most) for w in x))
-            for k, s in enumerate(sets):
-                if x & s:
-                    c = round(sum(weight[w] for w in x & s) / (size * math.sqrt(sum(weight[w] for w in s))), 4)
-                    best = max(best, (c, -k))
-        own.append((named, best if best[0] >= least else None))
+        if named and mine:
+            segments.append((2, [w for x in mine for w in x]))
+        best = None
+        for kind, x in segments:
+            x = Counter(x)
+            size = math.sqrt(sum(weight.get(w, most) * n * n for w, n in x.items()))
+            for k, s in enumerate(counts):
+                c = round(sum(weight[w] * n * x[w] for w, n in s.items()) / (size * math.sqrt(sum(weight[w] * n * n for w, n in s.items()))), 4)
+                if c >= least:
+                    best = max(best or (kind, c, -k), (kind, c, -k))
+        own.append((named, best and best[1:]))
     out = []
     for (i, path, _), (_, b) in zip(rows, own, strict=True):
         name, origin = (names[-b[1]][0], None) if b else (None, None)
@@ -65,6 +76,23 @@ ROWS = [
     (None, "/a/b/notes", "the the the"),
 ]
 
+full = {n: max((t for m, t in TEMPLATES if m == n), key=len) for n, _ in TEMPLATES}
+wrapped = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, 60))
+ROWS += [
+    (20, "/w/a.py", "#!/usr/bin/env python\n" + wrapped(full["Apache-2.0"], "# ") + "\n\nimport os\nprint(os.getcwd(), flush=True)"),
+    (21, "/w/LICENSE", "Copyright (c) 2020, Some Body\nAll rights reserved.\n\n" + wrapped(full["BSD-3-Clause"]).replace(" 3. ", "\n\n3. ")),
+    (22, "/w/b.c", wrapped(full["GPL-3.0"], " * ") + "\nint main(void) { return 0; }"),
+    (23, "/w/v/c.c", "int f(void);"),
+    (24, "/m/license.md", "MIT License\n\nCopyright (c) 2021 Any One\n\n" + wrapped(full["MIT"])),
+]
+
+
+def test_full_texts_and_wrapped_headers(spark):
+    files = spark.createDataFrame(ROWS, "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in scan(files).collect()}
+    assert [got[i].license for i in range(20, 25)] == ["Apache-2.0", "BSD-3-Clause", "GPL-3.0", "BSD-3-Clause", "MIT"]
+    assert got[23].inherited_from == "/w" and all(0.8 < got[i].own_score < 1 for i in (21, 24))
+
 
 def test_equals_brute_force(spark):
     files = spark.createDataFrame([(*r, 0.5) for r in ROWS], "doc_id long, path string, text string, score double").repartition(3)
