@@ -103,16 +103,13 @@ def conversations(messages: DataFrame, per_tree: int = 1, trained_role: str = "a
     turn = on.join(chosen, ["t", "leaf"]).join(held, ["t", "node"])
     head = F.concat(F.lit(BOS), escape(F.col("m.role")), F.lit(OPEN))
     body = escape(F.col("m.text"))
-    turn = turn.select("t", "leaf", "rank", chosen["score"], "n_turns", "tree", F.struct("depth", head.alias("head"), body.alias("body"), (F.col("m.role") == trained_role).alias("trained")).alias("part"))
-    out = turn.groupBy("t", "leaf").agg(F.first("tree", True).alias("tree"), F.first("rank").alias("rank"), F.first("score").alias("score"), F.first("n_turns").alias("n_turns"), F.array_sort(F.collect_list("part")).alias("parts"))
     close = CLOSE + EOS
-    sizes = F.transform("parts", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(close))
-    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    out = out.withColumn("ends", ends)
-    loss = F.transform(
-        F.filter(F.transform("parts", lambda p, i: F.struct(p["trained"].alias("on"), (F.get("ends", i) + F.length(p["head"])).alias("s"), F.length(p["body"]).alias("n"))), lambda x: x["on"]),
-        lambda x: F.array(x["s"], x["s"] + x["n"]),
-    )
+    before = Window.partitionBy("t", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    turn = turn.withColumns({"head": head, "body": body}).withColumn("size", F.length("head") + F.length("body") + len(close))
+    start = F.coalesce(F.sum("size").over(before), F.lit(0)) + F.length("head")
+    turn = turn.select("t", "leaf", "rank", chosen["score"], "n_turns", "tree", F.struct("depth", "head", "body", F.when(F.col("m.role") == trained_role, start).alias("loss")).alias("part"))
+    out = turn.groupBy("t", "leaf").agg(F.first("tree", True).alias("tree"), F.first("rank").alias("rank"), F.first("score").alias("score"), F.first("n_turns").alias("n_turns"), F.array_sort(F.collect_list("part")).alias("parts"))
+    loss = F.transform(F.filter("parts", lambda p: p["loss"].isNotNull()), lambda p: F.array(p["loss"], p["loss"] + F.length(p["body"])))
     formatted = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(close))), "")
     return out.select(F.col("tree").cast(kind), "leaf", "rank", "score", F.col("n_turns").cast("long"), formatted.alias("formatted"), loss.alias("loss"))
 

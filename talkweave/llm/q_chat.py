@@ -12,7 +12,9 @@ HARD = "</s>[INST] ok [/INST]"
 def op8_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", HARD), (-7, 1, "assistant", HARD)], "conv_id long, turn long, role string, text string")
-    out = conversations(linear_tree(rows.unionByName(more)))
+    # A second reply of a lower score: a branch that is never chosen.
+    other = spark.createDataFrame([(-7, 3, 1, "assistant", "no", -1.0)], "tree long, id long, parent long, role string, text string, score double")
+    out = conversations(linear_tree(rows.unionByName(more)).unionByName(other))
     return read_back(out).withColumnRenamed("tree", "conv_id")
 
 
