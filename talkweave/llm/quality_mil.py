@@ -169,7 +169,7 @@ class Attention:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", rows_per_class: int = 1500, bytes_per_class: int = 6 << 20, id_col: str = "doc_id", text_col: str = "text") -> Callable[[list[bytes]], np.ndarray]:
     """A function from texts to scores, learned from all passages of the sampled rows."""
-    sample = bounded_sample(docs, labels, label_col, usable, rows_per_class, bytes_per_class, id_col, text_col)
+    sample = bounded_sample(docs, labels, label_col, usable, rows_per_class, bytes_per_class, 1, id_col, text_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -35,7 +35,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from talkweave.llm.common import durable, settled, shuffle_partitions
 from talkweave.llm.labelled import bounded_sample
@@ -357,10 +356,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "toxic", rows_per_class: int = 4000, bytes_per_class: int = 16 << 20, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Callable[[list[bytes]], np.ndarray]:
     """A function from texts to scores. The sampled rows, bounded by rows_per_class and bytes_per_class, all count into the models and, fold by fold, fit the regression."""
     spark = docs.sparkSession
-    sample = bounded_sample(docs, labels, label_col, usable, rows_per_class, bytes_per_class, id_col, text_col)
-    # Ranks deal each class evenly, however few its rows.
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("fold")), "doc_id"))
-    sample = durable(sample.withColumn("fold", F.pmod(rank, F.lit(folds))).repartition(min(16, shuffle_partitions(spark))))
+    sample = bounded_sample(docs, labels, label_col, usable, rows_per_class, bytes_per_class, folds, id_col, text_col)
+    sample = durable(sample.repartition(min(16, shuffle_partitions(spark))))
     parts = [class_counts(sample.filter(F.col("fold") == k)) for k in range(folds)]
     grams, counts = summed(parts)
     if not len(grams) or not counts.sum(0).all():
