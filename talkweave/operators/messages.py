@@ -135,9 +135,9 @@ def around_many(messages: DataFrame, pivots: DataFrame, context: int) -> DataFra
     return ranked.join(each, ["talker", "__rank"]).drop("__rank")
 
 
-def count_messages(messages: DataFrame, q: MessageQuery) -> DataFrame:
-    """One row: total, of a talker under the time range and type (a keyword does not count)."""
-    return filtered(messages, q.with_(keyword=None)).agg(F.count("*").alias("total"))
+def count_messages(messages: DataFrame, q: MessageQuery, with_keyword: bool = False) -> DataFrame:
+    """One row: total, of a talker under the time range and type, and under the keyword if it is to count."""
+    return filtered(messages, q if with_keyword else q.with_(keyword=None)).agg(F.count("*").alias("total"))
 
 
 def max_seq(messages: DataFrame, sessions: DataFrame) -> DataFrame:

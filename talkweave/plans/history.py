@@ -83,12 +83,10 @@ def after_seq(spark: SparkSession, root: str) -> DataFrame:
     return M.page(A.events(spark, root), M.MessageQuery(talker="u7", after_sort_seq=1704300000000, msg_type=3, limit=15)).select(*EVT_COLUMNS)
 
 
-@query(f"""WITH {EVT}, p AS (SELECT DISTINCT talker, sort_seq AS pivot_seq FROM evt WHERE msg_type = 10002),
-j AS (SELECT evt.talker, p.pivot_seq, evt.sort_seq, evt.create_time, evt.server_id FROM evt JOIN p ON p.talker = evt.talker),
-b AS (SELECT *, row_number() OVER (PARTITION BY talker, pivot_seq ORDER BY sort_seq DESC, create_time DESC, server_id DESC) AS o FROM j WHERE sort_seq < pivot_seq),
-a AS (SELECT *, row_number() OVER (PARTITION BY talker, pivot_seq ORDER BY sort_seq, create_time, server_id) AS o FROM j WHERE sort_seq > pivot_seq)
-SELECT talker, pivot_seq, sort_seq, create_time, server_id FROM b WHERE o <= 2 UNION ALL SELECT talker, pivot_seq, sort_seq, create_time, server_id FROM a WHERE o <= 2
-UNION ALL SELECT talker, pivot_seq, sort_seq, create_time, server_id FROM j WHERE sort_seq = pivot_seq""")
+@query(f"""WITH {EVT}, r AS (SELECT *, row_number() OVER (PARTITION BY talker ORDER BY sort_seq, create_time, server_id) AS o FROM evt),
+p AS (SELECT talker, sort_seq AS pivot_seq, min(o) AS first, max(o) AS last FROM r GROUP BY talker, sort_seq HAVING count_if(msg_type = 10002) > 0),
+w AS (SELECT talker, pivot_seq, unnest(range(first - 2, last + 3)) AS o FROM p)
+SELECT talker, pivot_seq, sort_seq, create_time, server_id FROM w JOIN r USING (talker, o)""")
 def around_bulk(spark: SparkSession, root: str) -> DataFrame:
     d = A.events(spark, root)
     pivots = d.filter("msg_type = 10002").select("talker", F.col("sort_seq").alias("pivot_seq"))

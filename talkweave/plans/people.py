@@ -64,18 +64,11 @@ def sender_enrich(spark: SparkSession, root: str) -> DataFrame:
     return P.with_name(d, "sender", P.names(A.contacts(spark, root)), "sender_display_name")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(s_name, '') AS sender FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey AND s_suppkey % 4 <> 0")
-def name_dictionary_join(spark: SparkSession, root: str) -> DataFrame:
-    ids = A.table(spark, root, "supplier").filter("s_suppkey % 4 != 0").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
-    d = A.table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return d.join(ids, "l_suppkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("s_name", F.lit("")).alias("sender"))
-
-
-@query("""WITH ids AS (SELECT s_suppkey AS id, s_name AS username FROM supplier WHERE s_suppkey % 3 <> 0)
+@query("""WITH ids AS (SELECT s_suppkey AS id, s_name AS username FROM supplier)
 SELECT l_orderkey AS server_id, coalesce(a.username, 'unknown:' || l_suppkey) AS talker, coalesce(b.username, 'unknown:' || l_partkey) AS sender
 FROM lineitem LEFT JOIN ids a ON a.id = l_suppkey LEFT JOIN ids b ON b.id = l_partkey""")
 def hit_names(spark: SparkSession, root: str) -> DataFrame:
-    ids = A.table(spark, root, "supplier").filter("s_suppkey % 3 != 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"))
+    ids = A.table(spark, root, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"))
     hits = A.table(spark, root, "lineitem").select(F.col("l_orderkey").alias("server_id"), F.col("l_suppkey").alias("session_id"), F.col("l_partkey").alias("sender_id"))
     return P.name_hits(hits, ids).select("server_id", "talker", "sender")
 
@@ -171,10 +164,3 @@ def html_fields(spark: SparkSession, root: str) -> DataFrame:
 def safe_names(spark: SparkSession, root: str) -> DataFrame:
     d = A.table(spark, root, "pages")
     return d.select("page_id", text.safe_filename(F.col("url")).alias("name"), text.is_account_like(F.split_part("url", F.lit("/"), F.lit(4))).alias("account_like"))
-
-
-@query("SELECT 'sessions' AS name, count(DISTINCT conv_id) AS n FROM conversations UNION ALL SELECT 'contacts', count(*) FROM customer UNION ALL SELECT 'chatrooms', count(DISTINCT conv_id) FROM conversations WHERE conv_id % 3 = 0")
-def table_counts(spark: SparkSession, root: str) -> DataFrame:
-    s = A.conversations(spark, root).select("talker").distinct()
-    one = lambda d, name: d.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-    return one(s, "sessions").union(one(A.contacts(spark, root), "contacts")).union(one(s.filter(text.is_group(F.col("talker"))), "chatrooms"))

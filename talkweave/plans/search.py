@@ -39,8 +39,8 @@ def search_index(spark: SparkSession, root: str) -> DataFrame:
     return S.index_page(S.indexed_search(docs, postings, "of-the and", EXACT), 40, 3).select("talker", "sender", "create_time", "sort_seq", "server_id")
 
 
-@query(f"WITH {TOK} SELECT x AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(w) AS x FROM tok) GROUP BY x HAVING count(*) >= 50")
+@query(f"WITH {TOK} SELECT x AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(w) AS x FROM tok) GROUP BY x")
 def token_counts(spark: SparkSession, root: str) -> DataFrame:
     d = A.documents(spark, root).select("server_id", tokens(F.col("content.text"), EXACT).alias("t"))
     each = d.select("server_id", F.explode(F.flatten("t")).alias("token")).groupBy("token", "server_id").agg(F.count("*").alias("k"))
-    return each.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs")).filter("n >= 50")
+    return each.groupBy("token").agg(F.sum("k").alias("n"), F.count("*").alias("docs"))

@@ -133,14 +133,15 @@ class ChatStore:
         after_sort_seq: int | None = None,
         context: int = S.DEFAULT_CONTEXT,
         show_hidden: bool = False,
+        count_filtered: bool = False,
     ) -> Page:
-        """Messages of a conversation. total counts all of them in range, hidden senders too."""
+        """Messages of a conversation. total counts all of them in range, hidden senders too; with count_filtered those with the keyword."""
         q = messages.MessageQuery(None, since, until, labels.parse_msg_type(type), keyword, limit, offset, ascending(order), around_sort_seq, around_server_id, after_sort_seq, context).validate()
         q = q.with_(talker=self._talker(contact, shown(show_hidden)))
         d = people.enrich_messages(messages.page(self.messages, q), self.resolver, self.own)
         d = d if shown(show_hidden) else privacy.project_messages(d, self.hidden())
         up = ascending(order) or any(a is not None for a in (around_sort_seq, around_server_id, after_sort_seq))
-        total = messages.count_messages(self.messages, q).first()["total"]
+        total = messages.count_messages(self.messages, q, count_filtered).first()["total"]
         return Page(d.orderBy(*messages.ordered(up)), effective_limit(limit), offset, total, total, self.skipped, self.warnings)
 
     def timeline(self, since: int, until: int, limit: int = DEFAULTS["other"], offset: int = 0, type: str | None = None, order: str | None = None, show_hidden: bool = False) -> Page:  # noqa: A002
