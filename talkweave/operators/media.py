@@ -5,6 +5,8 @@ File listings are DataFrames (path), read by Spark's file sources, so every look
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,14 +34,13 @@ def classify(messages: DataFrame) -> DataFrame:
 def with_canonical(tasks: DataFrame, order: tuple[str, ...] = ("sort_seq", "create_time", "server_id")) -> DataFrame:
     """Adds canonical (order key of the first task of the same key) and is_dup.
 
-    The first task is an aggregate by key with map-side combining, so a much-forwarded file is no hot window."""
+    The first task is an aggregate by key with map-side combining, and both sides of the join with it are dealt anew,
+    so that adaptive execution can split a much-forwarded file; only tasks of equal order keys meet in a window."""
     own = F.struct(*order)
-    first = tasks.groupBy("task_key").agg(F.min(own).alias("canonical"), F.count("*").alias("__n"))
-    d = tasks.join(first, "task_key")
+    first = tasks.groupBy("task_key").agg(F.min(own).alias("canonical")).withColumn("__h", F.xxhash64("task_key"))
     again = Window.partitionBy("task_key", *order).orderBy("task_key")
-    tied = d.filter((own == F.col("canonical")) & (F.col("__n") > 1)).withColumn("is_dup", F.row_number().over(again) > 1)  # equal order keys
-    rest = d.filter(~((own == F.col("canonical")) & (F.col("__n") > 1))).withColumn("is_dup", own != F.col("canonical"))
-    return tied.unionByName(rest).drop("__n")
+    d = tasks.withColumns({"__r": F.row_number().over(again), "__h": F.xxhash64("task_key")}).join(first.hint("merge"), ["__h", "task_key"])
+    return d.withColumn("is_dup", (own != F.col("canonical")) | (F.col("__r") > 1)).drop("__h", "__r")
 
 
 def image_files(tasks: DataFrame, files: DataFrame) -> DataFrame:
@@ -133,6 +134,20 @@ def one_per_filename(resolved: DataFrame) -> DataFrame:
     return resolved.filter("filename is not null").groupBy("filename").agg(F.min("path").alias("path"))
 
 
+def located(tasks: DataFrame, files: DataFrame, links: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Tasks with path, filename and voice_data, by their kinds: of images the file's own name, of voices <server id>.silk."""
+    base = F.element_at(F.split("path", "/"), -1)
+    none = lambda *names: {c: F.lit(None).cast("binary" if c == "voice_data" else "string") for c in names}
+    parts = [
+        image_files(tasks, files).withColumn("filename", base).withColumns(none("voice_data")),
+        video_files(tasks, links, files).withColumns(none("voice_data")),
+        plain_files(tasks, links, files).withColumns(none("voice_data")),
+        voices(tasks, blobs).withColumns(none("path")).withColumn("filename", F.when(F.col("voice_data").isNotNull(), F.concat(F.col("server_id").cast("string"), F.lit(".silk")))),
+    ]
+    columns = [*tasks.columns, "path", "filename", "voice_data"]
+    return reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
+
+
 def media_of(messages: DataFrame, talker: str, server_id: int) -> DataFrame:
     """The media task of one message."""
     return classify(messages.filter((F.col("talker") == talker) & (F.col("server_id") == server_id)))

@@ -20,6 +20,11 @@ def hidden_ids(contacts: DataFrame, ignore_contacts: list[str], ignore_tags: lis
     return own.union(tagged.select(F.col("user_name").alias("id"))).distinct()
 
 
+def small(d: DataFrame, most: int = 100_000) -> DataFrame:
+    """d as a side to broadcast if it has at most so many rows, which is counted; else as it is."""
+    return F.broadcast(d) if d.limit(most + 1).count() <= most else d
+
+
 def visible(d: DataFrame, hidden: DataFrame, id_col: str = "talker") -> DataFrame:
     """Rows whose talker is not hidden."""
     return d.join(hidden.select(F.col("id").alias(id_col)), id_col, "left_anti")
@@ -35,10 +40,15 @@ def _hidden_in_group(sender_flag: str) -> Column:
     return text.is_group(F.col("talker")) & ~F.col("__talker") & F.col(sender_flag)
 
 
+def drop_hidden_senders(messages: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Messages but those of hidden senders in visible groups."""
+    d = _flag(_flag(messages, hidden, "talker", "__talker"), hidden, "sender", "__sender")
+    return d.filter(~_hidden_in_group("__sender")).select(*messages.columns)
+
+
 def project_messages(messages: DataFrame, hidden: DataFrame) -> DataFrame:
     """Drops messages of hidden senders in visible groups, and what quotes there tell of hidden senders (the snippet too, if there is one)."""
-    d = _flag(_flag(messages, hidden, "talker", "__talker"), hidden, "sender", "__sender")
-    d = d.filter(~_hidden_in_group("__sender"))
+    d = _flag(drop_hidden_senders(messages, hidden), hidden, "talker", "__talker")
     d = d.withColumn("__from", F.when(F.col("content_kind") == "Quote", xmltext.quote_sender(F.col("content.raw_xml"))))
     d = _flag(d, hidden, "__from", "__quoted")
     clear = _hidden_in_group("__quoted")

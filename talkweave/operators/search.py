@@ -6,6 +6,7 @@ with map-side combining. With an index a query reads its tokens' postings only."
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,11 +40,16 @@ def phrase_in(position_tokens: Column, phrase: list[list[str]]) -> Column:
     return F.when(F.size(position_tokens) >= n, F.exists(F.sequence(F.lit(1), F.size(position_tokens) - (n - 1)), at)).otherwise(False)
 
 
-def phrase_search(rows: DataFrame, keyword: str, tokens_col: str = "tokens", options: Options = Options()) -> DataFrame:
-    """Rows that hold every word of the keyword as a phrase. No words, or a word without tokens, match nothing."""
+def phrase_search(rows: DataFrame, keyword: str, tokens_col: str = "tokens", options: Options = Options(), text: Column | None = None) -> DataFrame:
+    """Rows that hold every word of the keyword as a phrase. No words, or a word without tokens, match nothing.
+
+    text: what the tokens are of; where words are not stemmed, texts that lack one are left out before they are cut."""
     wanted = phrases(keyword, options)
     if not wanted or not all(wanted):
         return rows.limit(0)
+    if text is not None and not options.stemming:
+        low = F.lower(text)
+        rows = rows.filter(reduce(lambda a, b: a & b, [low.contains(own[0]) for p in wanted for own in p]))
     # The lambda's variable holds the tokens: pushed below a projection, their expression is still evaluated once a row.
     return rows.filter(F.exists(F.array(F.col(tokens_col)), lambda t: reduce(lambda a, b: a & b, [phrase_in(t, p) for p in wanted])))
 
@@ -80,13 +86,25 @@ def write_index(docs: DataFrame, postings: DataFrame, root: str, version: str) -
     return version
 
 
+def stored_index(messages: DataFrame, root: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
+    """The index of just these messages below root: read if it is there, else built, written and read.
+
+    A version is named by the messages' number, latest keys and a sum over their ids, and by the options; postings are
+    clustered by token, so that a query reads the row groups of its own."""
+    seen = messages.agg(F.count("*"), F.max("sort_seq"), F.max("create_time"), F.sum(F.xxhash64("talker", *KEY).cast("decimal(38,0)"))).first()
+    version = hashlib.md5(repr((tuple(seen), options)).encode()).hexdigest()
+    if (found := read_index(messages.sparkSession, root, version)) is None:
+        write_index(*build_index(messages, options), root, version)
+        found = read_index(messages.sparkSession, root, version)
+    return found
+
+
 def read_index(spark, root: str, version: str | None = None) -> tuple[DataFrame, DataFrame] | None:
     """(documents, postings) of a version, the latest by name if none is given; None if there is none."""
     from pyspark.errors import AnalysisException
 
     try:
-        found = spark.read.parquet(f"{root}/current/*").agg(F.max("version")).first()[0]
-        v = version or found
+        v = spark.read.parquet(f"{root}/current/{version or '*'}").agg(F.max("version")).first()[0]
         return spark.read.parquet(f"{root}/{v}/docs"), spark.read.parquet(f"{root}/{v}/postings")
     except AnalysisException:
         return None

@@ -1,4 +1,7 @@
-"""Messages of all visible conversations in one order of time."""
+"""Messages of all visible conversations in one order of time.
+
+What is hidden is dropped by ids alone; a page is cut before anything is named or rendered, so that only
+its rows meet the names, and totals need neither."""
 
 from __future__ import annotations
 
@@ -7,29 +10,33 @@ from pyspark.sql import functions as F
 
 from talkweave.operators.messages import ordered
 from talkweave.operators.people import enrich_messages, with_name
-from talkweave.operators.privacy import project_messages, visible
+from talkweave.operators.privacy import drop_hidden_senders, project_messages, small, visible
 from talkweave.page import effective_limit
 
 KEY = ("create_time", "sort_seq", "server_id")
 COLUMNS = ("talker", "talker_display_name", "sender", "sender_display_name", "direction", "create_time", "sort_seq", "server_id", "msg_type", "sub_type", "snippet")
 
 
-def timeline(messages: DataFrame, sessions: DataFrame, resolver: DataFrame, own: str, since: int, until: int, msg_type: int | None = None, hidden: DataFrame | None = None) -> DataFrame:
-    """All rows of known, visible conversations in [since, until], enriched and without bodies, in no order."""
+def timeline(messages: DataFrame, sessions: DataFrame, since: int, until: int, msg_type: int | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """All messages of known, visible conversations in [since, until], in no order. Sessions and hidden ids are broadcast where they are few."""
     if since > until:
         raise ValueError("since must not be after until")
     d = messages.filter(F.col("create_time").between(since, until))
     if msg_type is not None:
         d = d.filter(F.col("msg_type") == msg_type)
-    d = d.join(sessions.select(F.col("username").alias("talker")), "talker", "left_semi")
-    d = d if hidden is None else visible(d, hidden)
-    d = enrich_messages(d, resolver, own)
-    d = d if hidden is None else project_messages(d, hidden)
-    return with_name(d, "talker", resolver, "talker_display_name").select(*COLUMNS)
+    d = d.join(small(sessions.select(F.col("username").alias("talker"))), "talker", "left_semi")
+    if hidden is None:
+        return d
+    hidden = small(hidden)
+    return drop_hidden_senders(visible(d, hidden), hidden)
 
 
-def timeline_page(rows: DataFrame, limit: int = 0, offset: int = 0, ascending: bool = False) -> DataFrame:
-    return rows.orderBy(*ordered(ascending, KEY)).offset(offset).limit(effective_limit(limit))
+def timeline_page(rows: DataFrame, resolver: DataFrame, own: str, hidden: DataFrame | None = None, limit: int = 0, offset: int = 0, ascending: bool = False) -> DataFrame:
+    """A page of timeline(), enriched and without bodies, in order."""
+    page = rows.orderBy(*ordered(ascending, KEY)).offset(offset).limit(effective_limit(limit))
+    d = enrich_messages(page, resolver, own)
+    d = d if hidden is None else project_messages(d, hidden)
+    return with_name(d, "talker", resolver, "talker_display_name").select(*COLUMNS).orderBy(*ordered(ascending, KEY))
 
 
 def totals(rows: DataFrame) -> DataFrame:

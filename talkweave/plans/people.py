@@ -121,12 +121,12 @@ LINE = f"""{EVT}, {SES}, {CON}, {HID}, line AS (
 
 def _timeline(spark: SparkSession, root: str) -> DataFrame:
     d = A.events(spark, root)
-    return T.timeline(d, A.sessions_of(d), P.names(A.contacts(spark, root)), OWN, 1704100000, 1706000000, hidden=hidden(spark, root))
+    return T.timeline(d, A.sessions_of(d), 1704100000, 1706000000, hidden=hidden(spark, root))
 
 
 @query(f"WITH {LINE} SELECT * FROM line ORDER BY create_time DESC, sort_seq DESC, server_id DESC LIMIT 50 OFFSET 20")
 def timeline_page(spark: SparkSession, root: str) -> DataFrame:
-    return T.timeline_page(_timeline(spark, root), 50, 20)
+    return T.timeline_page(_timeline(spark, root), P.names(A.contacts(spark, root)), OWN, hidden(spark, root), 50, 20)
 
 
 @query(f"WITH {LINE} SELECT count(*) AS total, count(DISTINCT talker) AS conversations FROM line")

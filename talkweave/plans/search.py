@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from talkweave.functions.tokens import Options, tokens
 from talkweave.operators import search as S
 from talkweave.plans.catalog import query
+from talkweave.session import shared
 from talkweave.sources import adapters as A
 
+#: Where the indexes of this session are, by the folder of their tables.
+INDEXES: dict[str, str] = {}
 #: Words without stems, which SQL can do too.
 EXACT = Options(stemming=False)
 TOK = """tok AS (SELECT doc_id, source, lang, text, list_transform(regexp_extract_all(text, '[A-Za-z]+|[^\\x00-\\x7f\\x{2000}-\\x{206f}\\x{2e00}-\\x{2e7f}\\x{3000}-\\x{303f}]'),
@@ -30,12 +33,14 @@ def search_scan(spark: SparkSession, root: str) -> DataFrame:
 @query(f"WITH {TOK} SELECT {COLUMNS} FROM tok WHERE {_phrase(['of', 'the'])} AND {_phrase(['and'])}")
 def search_phrase(spark: SparkSession, root: str) -> DataFrame:
     d = A.documents(spark, root).withColumn("tokens", tokens(F.col("content.text"), EXACT))
-    return S.phrase_search(d, "of-the and", options=EXACT).select("talker", "sender", "create_time", "sort_seq", "server_id")
+    return S.phrase_search(d, "of-the and", options=EXACT, text=F.col("content.text")).select("talker", "sender", "create_time", "sort_seq", "server_id")
 
 
 @query(f"WITH {TOK} SELECT {COLUMNS} FROM tok WHERE {_phrase(['of', 'the'])} AND {_phrase(['and'])} ORDER BY create_time DESC, sort_seq DESC, server_id DESC LIMIT 40 OFFSET 3")
 def search_index(spark: SparkSession, root: str) -> DataFrame:
-    docs, postings = S.build_index(A.documents(spark, root), EXACT)
+    # The first search of a session writes the index; later ones read it.
+    at = INDEXES.setdefault(root, f"{shared(spark)}/index")
+    docs, postings = S.stored_index(A.documents(spark, root), at, EXACT)
     return S.index_page(S.indexed_search(docs, postings, "of-the and", EXACT), 40, 3).select("talker", "sender", "create_time", "sort_seq", "server_id")
 
 

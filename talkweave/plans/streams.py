@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.plans.catalog import query
 from talkweave.plans.views import EVT
+from talkweave.session import shared
 from talkweave.sources import adapters as A
 from talkweave.streaming import changes as C
 
@@ -26,12 +24,6 @@ def snapshots(events: DataFrame) -> DataFrame:
     return d.groupBy("snapshot", "username").agg((F.max("create_time") - F.when(F.col("snapshot") % 3 == 0, 2000000).otherwise(0)).alias("sort_timestamp"))
 
 
-def shared(spark: SparkSession) -> str:
-    """A folder that driver and executors share; a local one only where the session names none."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{(own or tempfile.mkdtemp(prefix='talkweave-')).rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 def replay(spark: SparkSession, d: DataFrame, change) -> DataFrame:
     """The rows that change(stream) emits for d, written as a stream's source and run to its end."""
     at = shared(spark)

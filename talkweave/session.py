@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,6 +27,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
     )
 
 
+def shared(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir. A local session that names none gets a local one; a cluster must name one."""
+    sc = spark.sparkContext
+    own = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not own and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{(own or tempfile.mkdtemp(prefix='talkweave-')).rstrip('/')}/talkweave/{uuid.uuid4().hex}"
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for a context, unless their path has it already."""
     sc = spark.sparkContext

@@ -49,8 +49,8 @@ class ChatStore:
     skipped: int = 0
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, own: str = "", settings: Settings | None = None) -> ChatStore:
-        """From the SQLite files below root. Contacts and sessions must be there; message shards need not."""
+    def open(cls, spark: SparkSession, root: str, own: str = "", settings: Settings | None = None, core: bool = False) -> ChatStore:
+        """From the SQLite files below root. Contacts and sessions must be there; message shards need not, and core leaves them unread."""
         from pyspark.errors import AnalysisException
 
         def one(name: str, table: str, columns: dict) -> DataFrame:
@@ -67,6 +67,8 @@ class ChatStore:
         found = Q.files(spark, root, "contact.db")
         names = people.label_names(Q.good(Q.table(found, "contact_label", Q.LABEL_COLUMNS)))
         rooms = people.decode_chatrooms(Q.good(Q.table(found, "chat_room", Q.ROOM_COLUMNS)))
+        if core:
+            return cls(spark.createDataFrame([], S.MESSAGE), sessions.filter("decoded").drop("decoded"), people.decode_contacts(Q.good(raw), names), rooms, own, settings or Settings())
         shards = Q.shards(spark, root)
         stored, dictionary = Q.raw_messages(shards), Q.sender_names(shards)
         told = [f"{r.path}: {r.warning}" for r in Q.warnings(stored).collect()]  # one row for each bad file
@@ -146,11 +148,12 @@ class ChatStore:
 
     def timeline(self, since: int, until: int, limit: int = DEFAULTS["other"], offset: int = 0, type: str | None = None, order: str | None = None, show_hidden: bool = False) -> Page:  # noqa: A002
         hidden = None if shown(show_hidden) else self.hidden()
-        rows = timeline.timeline(self.messages, self.sessions, self.resolver, self.own, since, until, labels.parse_msg_type(type), hidden)
-        return Page(timeline.timeline_page(rows, limit, offset, ascending(order)), effective_limit(limit), offset, rows.count())
+        rows = timeline.timeline(self.messages, self.sessions, since, until, labels.parse_msg_type(type), hidden)
+        return Page(timeline.timeline_page(rows, self.resolver, self.own, hidden, limit, offset, ascending(order)), effective_limit(limit), offset, rows.count())
 
-    def build_index(self, options: Options = Options()) -> ChatStore:
-        self.index = search.build_index(self.messages, options)
+    def build_index(self, options: Options = Options(), root: str | None = None) -> ChatStore:
+        """Searches use the index from now on. root: where it is stored, and read again as long as the messages are the same."""
+        self.index = search.build_index(self.messages, options) if root is None else search.stored_index(self.messages, root, options)
         return self
 
     def search(self, q: str, limit: int = DEFAULTS["other"], offset: int = 0, mode: str | None = None, hide: bool = False, options: Options = Options()) -> Page:
@@ -179,6 +182,10 @@ class ChatStore:
             own = privacy.media_allowed(own, self.hidden()).filter("media_allowed").drop("media_allowed")
         return media.classify(own)
 
+    def media_file(self, talker: str, server_id: int, files: DataFrame, links: DataFrame, blobs: DataFrame, show_hidden: bool = False) -> DataFrame:
+        """The media task of a message with the path, or for voices the bytes, that it means."""
+        return media.located(self.media(talker, server_id, show_hidden), files, links, blobs)
+
     def export(self, contact: str, since: int = 0, until: int = S.MAX_LONG, limit: int = DEFAULTS["export"], offset: int = 0, order: str | None = "asc", everything: bool = False, show_hidden: bool = False) -> DataFrame:
         """Enriched messages to export; everything is the whole conversation without a page."""
         talker = self._talker(contact, shown(show_hidden))
@@ -187,9 +194,15 @@ class ChatStore:
         d = people.enrich_messages(d, self.resolver, self.own)
         return d if shown(show_hidden) else privacy.project_messages(d, self.hidden())
 
-    def export_text(self, contact: str, exported_at: str, **how) -> str:
+    def export_text(self, contact: str, exported_at: str, located: DataFrame | None = None, **how) -> str:
+        """The conversation as text. located: media.located() of its messages; those with a file are numbered and listed at the end."""
         talker = self._talker(contact, shown(how.get("show_hidden")))
-        d = self.export(contact, **how).withColumns({"media_kind": F.lit(None).cast("string"), "filename": F.lit(None).cast("string")})
+        d = self.export(contact, **how)
+        if located is None:
+            d = d.withColumns({"media_kind": F.lit(None).cast("string"), "filename": F.lit(None).cast("string")})
+        else:
+            own = located.filter("filename is not null").select("talker", *messages.KEY, "media_kind", "filename").distinct()
+            d = d.join(own, ["talker", *messages.KEY], "left")
         names = {r.user_name: r.display_name for r in self.resolver.filter(F.col("user_name").isin(talker, self.own)).collect()}
         return export.txt(d, names.get(talker, talker), names.get(self.own, self.own), talker.endswith(S.GROUP_SUFFIX), exported_at)
 

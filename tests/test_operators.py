@@ -157,7 +157,7 @@ def test_timeline(spark):
     assert [r.server_id for r in s.timeline(t, t + 100, limit=2).items.collect()] == [16, 15]
     assert s.timeline(t, t + 100, type="nonsense").total == 4
     with pytest.raises(ValueError, match="since"):
-        timeline.timeline(s.messages, s.sessions, s.resolver, "me", 5, 4)
+        timeline.timeline(s.messages, s.sessions, 5, 4)
 
 
 def test_search_modes(spark):
@@ -194,6 +194,38 @@ def test_index_files(spark, tmp_path):
     assert search.indexed_search(*search.read_index(spark, str(tmp_path)), "find").count() == 1
 
 
+def test_stored_index_follows_the_messages(spark, tmp_path):
+    d = messages(spark, [text_row(1, 1, 1, body="find me")])
+    find = lambda d: search.indexed_search(*search.stored_index(d, str(tmp_path)), "find").count()
+    assert find(d) == 1 and find(d) == 1
+    assert len([x for x in tmp_path.iterdir() if x.name != "current"]) == 1
+    assert find(d.union(messages(spark, [text_row(2, 2, 2, body="find me, too")]))) == 2
+    assert len([x for x in tmp_path.iterdir() if x.name != "current"]) == 2
+
+
+def test_history_counts_the_keyword(spark):
+    s = store(spark)
+    assert s.history("alice", keyword="no such word").total == 1
+    assert s.history("alice", keyword="no such word", count_filtered=True).total == 0
+
+
+def test_exports_and_files_of_media(spark):
+    s = store(spark)
+    own = s.messages.filter("talker = 'alice'")
+    located = own.select("talker", "sort_seq", "create_time", "server_id").withColumns({"media_kind": F.lit("image"), "filename": F.lit("a.dat")})
+    out = s.export_text("alice", "now", located)
+    assert "图片1（可在附件中查看）" in out and out.endswith("\n附件：\n\n[图片1] media/a.dat\n")
+    m = "%032x" % 1
+    rows = [("image", m, 1), ("voice", None, 2), ("video", "%032x" % 2, 3), ("file", "%032x" % 3, 4)]
+    tasks = spark.createDataFrame([(i, i, 1704240000, "t", k, h, "a.pdf", f"{k}:{i}") for k, h, i in rows], "sort_seq long, server_id long, create_time long, talker string, media_kind string, md5 string, title string, task_key string")
+    owner = __import__("hashlib").md5(b"t").hexdigest()
+    files = spark.createDataFrame([(f"/m/{owner}/2024-01/Img/{m}.dat",), (f"/v/2024-01/{2:032x}.mp4",), ("/f/2024-01/a.pdf",)], "path string")
+    links = spark.createDataFrame([], "md5 string, file_name string, dir1 string, dir2 string")
+    blobs = spark.createDataFrame([("2", b"abc", "db")], "svr_id string, voice_data binary, db string")
+    got = {r.server_id: (r.path, r.filename, r.voice_data and bytes(r.voice_data)) for r in media.located(tasks, files, links, blobs).collect()}
+    assert got == {1: (f"/m/{owner}/2024-01/Img/{m}.dat", f"{m}.dat", None), 2: (None, "2.silk", b"abc"), 3: (f"/v/2024-01/{2:032x}.mp4", f"{2:032x}.mp4", None), 4: ("/f/2024-01/a.pdf", "a.pdf", None)}
+
+
 def test_export(spark):
     s = store(spark)
     out = s.export_text("alice", "2024-01-01 00:00:00")
