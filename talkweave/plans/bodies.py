@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from talkweave.functions import content, text, wire
 from talkweave.operators import people
@@ -16,7 +17,7 @@ from talkweave.plans.views import CONV
 from talkweave.sources import adapters as A
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())  # a type, not its name, as that needs a session
 def zipped(s: pd.Series) -> pd.Series:
     import zstandard
 
