@@ -12,12 +12,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talkweave.functions import labels
 from talkweave.functions.content import index_text, matches, searchable
 from talkweave.functions.tokens import Options, phrases, tokens
 from talkweave.operators.messages import KEY, ordered
+from talkweave.operators.people import name_hits
 from talkweave.page import effective_limit
 
 INDEX_ORDER = ("create_time", "sort_seq", "server_id")
+#: Index files know a row of their own, not the message's id.
+FILE_ORDER = ("create_time", "sort_seq", "message_local_id")
 
 
 def scan_search(messages: DataFrame, keyword: str) -> DataFrame:
@@ -54,6 +58,20 @@ def phrase_search(rows: DataFrame, keyword: str, tokens_col: str = "tokens", opt
     return rows.filter(F.exists(F.array(F.col(tokens_col)), lambda t: reduce(lambda a, b: a & b, [phrase_in(t, p) for p in wanted])))
 
 
+def file_search(rows: DataFrame, names: DataFrame, keyword: str, options: Options = Options()) -> DataFrame:
+    """Hits among the rows of index files, with codes and names; unknown:<id> where the dictionary lacks one."""
+    hits = phrase_search(rows.withColumn("__tokens", tokens(F.col("acontent"), options)), keyword, "__tokens", options, F.col("acontent"))
+    hits = hits.select(
+        F.col("acontent").alias("snippet"), "message_local_id", "sort_seq", "create_time", "session_id", "sender_id",
+        labels.msg_type(F.col("local_type")).alias("msg_type"), labels.sub_type(F.col("local_type")).alias("sub_type"), F.lit(0).cast("long").alias("server_id"),
+    )
+    return name_hits(hits, names).drop("session_id", "sender_id")
+
+
+def file_page(hits: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
+    return hits.orderBy(*ordered(False, FILE_ORDER)).offset(offset).limit(effective_limit(limit))
+
+
 def build_index(messages: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """(documents, postings). documents: doc, talker, sender, the order keys, codes and raw_text of messages with a text."""
     d = messages.withColumn("raw_text", index_text(F.col("content_kind"), F.col("content"))).filter("raw_text is not null")

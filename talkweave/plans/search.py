@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,21 @@ def search_index(spark: SparkSession, root: str) -> DataFrame:
     return S.index_page(S.indexed_search(docs, postings, "of-the and", EXACT), 40, 3).select("talker", "sender", "create_time", "sort_seq", "server_id")
 
 
+@query(f"""WITH {TOK}, hit AS (SELECT * FROM tok WHERE {_phrase(['of', 'the'])} ORDER BY doc_id % 1000 DESC, doc_id // 7 DESC, doc_id DESC LIMIT 60 OFFSET 2)
+SELECT doc_id AS message_local_id, text AS snippet, coalesce(a.s_name, 'unknown:' || doc_id % 150) AS talker, coalesce(b.s_name, 'unknown:' || doc_id % 90) AS sender, 49::BIGINT AS msg_type, (doc_id % 60)::BIGINT AS sub_type
+FROM hit LEFT JOIN supplier a ON a.s_suppkey = doc_id % 150 LEFT JOIN supplier b ON b.s_suppkey = doc_id % 90""")
+def search_files(spark: SparkSession, root: str) -> DataFrame:
+    k = F.col("doc_id")
+    d = A.table(spark, root, "documents").select(
+        F.col("text").alias("acontent"), k.alias("message_local_id"), F.floor(k / 7).alias("sort_seq"), (k % 1000 + 1700000000).alias("create_time"),
+        (k % 150).alias("session_id"), (k % 90).alias("sender_id"), ((k % 60) * 4294967296 + 49).alias("local_type"),
+    )
+    shards = [d.filter(F.col("message_local_id") % 4 == i) for i in range(4)]
+    names = A.table(spark, root, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("username"))
+    page = S.file_page(S.file_search(reduce(DataFrame.unionByName, shards), names, "of-the", EXACT), 60, 2)
+    return page.select("message_local_id", "snippet", "talker", "sender", "msg_type", "sub_type")
+
+
 @query(f"WITH {TOK} SELECT x AS token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(w) AS x FROM tok) GROUP BY x")
 def token_counts(spark: SparkSession, root: str) -> DataFrame:
     d = A.documents(spark, root).select("server_id", tokens(F.col("content.text"), EXACT).alias("t"))

@@ -24,15 +24,16 @@ def snapshots(events: DataFrame) -> DataFrame:
     return d.groupBy("snapshot", "username").agg((F.max("create_time") - F.when(F.col("snapshot") % 3 == 0, 2000000).otherwise(0)).alias("sort_timestamp"))
 
 
-def replay(spark: SparkSession, d: DataFrame, change) -> DataFrame:
-    """The rows that change(stream) emits for d, written as a stream's source and run to its end."""
-    at = shared(spark)
-    d.write.parquet(f"{at}/in")
+def replay(spark: SparkSession, batches: DataFrame | list[DataFrame], change) -> DataFrame:
+    """The rows that change(stream) emits for the batches, each written to the stream's source and run to its end; state is taken up from the checkpoint."""
+    at, batches = shared(spark), batches if isinstance(batches, list) else [batches]
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", C.STORE)
     try:
-        out = change(spark.readStream.schema(d.schema).parquet(f"{at}/in"))
-        out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+        for d in batches:
+            d.write.mode("append").parquet(f"{at}/in")
+            out = change(spark.readStream.schema(d.schema).parquet(f"{at}/in"))
+            out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.schema(out.schema).parquet(f"{at}/out")
@@ -45,7 +46,30 @@ def session_diff_replay(spark: SparkSession, root: str) -> DataFrame:
 
 @query(DIFF)
 def session_diff_stream(spark: SparkSession, root: str) -> DataFrame:
-    return replay(spark, snapshots(A.events(spark, root)), C.session_events)
+    return replay(spark, listings(snapshots(A.events(spark, root))), C.session_events)
+
+
+def listings(d: DataFrame) -> list[DataFrame]:
+    """One micro-batch for each listing; there are as many as fortnights."""
+    return [d.filter(F.col("snapshot") == r.snapshot) for r in d.select("snapshot").distinct().orderBy("snapshot").collect()]
+
+
+@query(f"WITH {SNAP} SELECT snapshot, username, sort_timestamp FROM (SELECT *, lag(sort_timestamp) OVER (PARTITION BY username ORDER BY snapshot) AS b FROM snap) WHERE (b IS NULL OR sort_timestamp > b) AND snapshot > (SELECT min(snapshot) FROM snap)")
+def session_baseline_stream(spark: SparkSession, root: str) -> DataFrame:
+    known, *later = listings(snapshots(A.events(spark, root)))
+    return replay(spark, later, lambda s: C.session_events(s, known.select("username", "sort_timestamp")))
+
+
+BATCH = "CASE WHEN create_time < 1705000000 AND server_id % 5 <> 0 THEN 1 WHEN create_time >= 1705000000 AND talker NOT LIKE '%@chatroom' THEN 2 ELSE 3 END"
+
+
+@query(f"""WITH {EVT}, b AS (SELECT *, {BATCH} AS k FROM evt), top AS (SELECT talker, k, max(sort_seq) AS s FROM b GROUP BY ALL),
+c AS (SELECT talker, k, max(s) OVER (PARTITION BY talker ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s FROM top)
+SELECT b.talker, sort_seq, create_time, server_id FROM b JOIN c ON c.talker = b.talker AND c.k = b.k WHERE sort_seq > coalesce(s, 0)""")
+def late_message_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Three micro-batches; what the last one has at or before its conversation's cursor never comes."""
+    d = A.events(spark, root).select("talker", "sort_seq", "create_time", "server_id")
+    return replay(spark, [d.filter(F.expr(BATCH) == k) for k in (1, 2, 3)], C.new_messages)
 
 
 @query(f"WITH {EVT}, c AS (SELECT talker, max(sort_seq) AS s FROM evt WHERE create_time < 1705000000 AND talker NOT LIKE '%@chatroom' GROUP BY talker) SELECT evt.talker, sort_seq, create_time, server_id FROM evt LEFT JOIN c USING (talker) WHERE sort_seq > coalesce(s, 1704600000000)")

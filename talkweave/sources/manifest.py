@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,15 +62,15 @@ def after_ingest(files: DataFrame, seen: DataFrame, failed: DataFrame) -> DataFr
 
 
 def write_ranges(ranges: DataFrame, path: str) -> None:
-    """Shard ranges (shard_id, start_time, end_time) beside the data; the new table replaces the old one as a whole."""
-    ranges.coalesce(1).write.mode("overwrite").json(path)
+    """Shard ranges (shard_id, start_time, end_time) beside the data, as a version of their own: readers take the latest that is whole."""
+    ranges.withColumn("version", F.lit(time.time_ns())).coalesce(1).write.mode("append").json(path)  # one row for each shard
 
 
 def read_ranges(spark: SparkSession, path: str) -> DataFrame | None:
     """Shard ranges, None if they are missing or damaged."""
     try:
-        d = spark.read.schema("shard_id long, start_time long, end_time long").option("mode", "FAILFAST").json(path)
-        d.count()
+        d = spark.read.schema("shard_id long, start_time long, end_time long, version long").option("mode", "FAILFAST").json(path)
+        d = d.filter(F.col("version") == d.agg(F.max("version")).first()[0]).drop("version")
     except Exception:  # noqa: BLE001  any error means that there are none
         return None
     return d

@@ -157,6 +157,9 @@ VOICE_COLUMNS = {"svr_id": _TEXT, "voice_data": _BLOB, "chat_name_id": _LONG}
 LINK_COLUMNS = {"md5": _TEXT, "file_name": _TEXT, "file_size": _LONG, "modify_time": _LONG, "dir1": _LONG, "dir2": _LONG}
 INDEX_COLUMNS = {"acontent": _TEXT, **dict.fromkeys(("message_local_id", "sort_seq", "local_type", "session_id", "sender_id", "create_time"), _LONG)}
 
+# The tables of an index file.
+INDEX_SHARDS = ("message_fts_v4_0", "message_fts_v4_1", "message_fts_v4_2", "message_fts_v4_3")
+
 
 def link_table(found: DataFrame, kind: str) -> DataFrame:
     """Link entries of image, video or file: of the v3 table where a file has one, else of v4."""
@@ -170,5 +173,33 @@ def link_table(found: DataFrame, kind: str) -> DataFrame:
     return read(found, T.StructType([T.StructField(c, t) for c, t in LINK_COLUMNS.items()]), rows)
 
 
+def _declared(db: sqlite3.Connection, name: str) -> list[str]:
+    """Columns of an index table in the order in which they were declared; its tokenizer need not be there."""
+    row = db.execute("SELECT sql FROM sqlite_master WHERE name = ?", (name,)).fetchone()
+    parts = row[0][row[0].index("(") + 1 : row[0].rindex(")")].split(",") if row else []
+    return [p.split()[0].strip("\"'") for p in parts if p.strip() and "=" not in p]
+
+
+def index_rows(found: DataFrame) -> DataFrame:
+    """Rows of the four shards of every index file, with path and warning: all that was indexed, whatever the tokenizer was."""
+
+    def rows(db: sqlite3.Connection, _: str) -> Iterator[tuple]:
+        for name in INDEX_SHARDS:
+            kept, declared = f"{name}_content", _declared(db, name)
+            if not columns_of(db, kept):
+                yield from rows_of(db, name, list(INDEX_COLUMNS))
+                continue
+            place = {c: f"c{k}" for k, c in enumerate(declared)}
+            yield from rows_of(db, kept, [place.get(c, "") for c in INDEX_COLUMNS])
+
+    return read(found, T.StructType([T.StructField(c, t) for c, t in INDEX_COLUMNS.items()]), rows)
+
+
+def index_names(found: DataFrame) -> DataFrame:
+    """(id, username) of the index files' dictionary, with path and warning."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("username", T.StringType())])
+    return read(found, schema, lambda db, _: rows_of(db, "name2id", ["rowid", "username"]))
+
+
 def is_voice_file(path: str) -> bool:
     return bool(re.search(r"(^|/)media(_[0-9]+)?\.db$", path))

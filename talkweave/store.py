@@ -175,6 +175,16 @@ class ChatStore:
         keys = search.INDEX_ORDER if paged is search.index_page else messages.KEY
         return Page(d.orderBy(*messages.ordered(False, keys)), effective_limit(limit), offset, total, total if scanned is None else scanned)
 
+    def search_files(self, rows: DataFrame, names: DataFrame, q: str, limit: int = DEFAULTS["other"], offset: int = 0, hide: bool = False, options: Options = Options()) -> Page:
+        """Search in the account's own index files (index_rows, index_names), latest first."""
+        hits = search.file_search(rows, names, q, options)
+        if hide:
+            hits = privacy.visible(hits, self.hidden())
+        total = hits.count()
+        d = people.with_name(search.file_page(hits, limit, offset), "sender", self.resolver, "sender_display_name")
+        d = people.with_name(d, "talker", self.resolver, "talker_display_name").withColumn("hit_type", F.lit("message"))
+        return Page(d.orderBy(*messages.ordered(False, search.FILE_ORDER)), effective_limit(limit), offset, total, total)
+
     def media(self, talker: str, server_id: int, show_hidden: bool = False) -> DataFrame:
         """The media task of a message; none if its sender is hidden in the group."""
         own = self.messages.filter((F.col("talker") == talker) & (F.col("server_id") == server_id))

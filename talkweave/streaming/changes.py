@@ -1,7 +1,7 @@
 """Change streams: which sessions moved, and which messages are new, with state by conversation.
 
-State is one long for each key in the state store. Rows of a micro-batch come in any order, so every
-processor sorts its key's rows first."""
+State is one long for each key in the state store. Rows of a micro-batch come in any order: listings of
+a session are sorted first; messages only need the cursor from before the batch, and their order is in their keys."""
 
 from __future__ import annotations
 
@@ -50,12 +50,14 @@ class NewMessages(StatefulProcessor):
         self.cursor = handle.getValueState("cursor", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        d = pd.concat(list(rows)).sort_values(["sort_seq", "create_time", "server_id"], kind="stable")
-        cursor = self.cursor.get()[0] if self.cursor.exists() else self.baseline
-        new = d[d["sort_seq"] > cursor]
-        if len(new):
-            self.cursor.update((int(new["sort_seq"].max()),))
-            yield new
+        last = cursor = self.cursor.get()[0] if self.cursor.exists() else self.baseline
+        for d in rows:  # a busy conversation comes in parts, and is never held whole
+            new = d[d["sort_seq"] > cursor]
+            if len(new):
+                last = max(last, int(new["sort_seq"].max()))
+                yield new
+        if last > cursor:
+            self.cursor.update((last,))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
         self.cursor.update((int(initialState["max_seq"].max()),))

@@ -334,6 +334,25 @@ def test_open_store(spark, account, tmp_path):
         ChatStore.open(spark, str(account / "message"))
 
 
+def test_index_files(spark, tmp_path):
+    declared = "acontent, message_local_id, sort_seq, local_type, session_id, sender_id, create_time"
+    row = lambda k, t: (t, k, k, 5 << 32 | 49, 1, 2 + k % 2, 100)
+    own = [("CREATE TABLE name2id (username TEXT)", None), ("INSERT INTO name2id VALUES (?)", [("alice",), ("me",)])]
+    for k in range(3):
+        own += [(f"CREATE VIRTUAL TABLE message_fts_v4_{k} USING fts5({declared}, tokenize='ascii')", None), (f"INSERT INTO message_fts_v4_{k} VALUES (?,?,?,?,?,?,?)", [row(k, "running late"), row(9 - k, "late running")])]
+    own += [(f"CREATE TABLE message_fts_v4_3 ({declared})", None), ("INSERT INTO message_fts_v4_3 VALUES (?,?,?,?,?,?,?)", [row(20, "run late"), (None, *row(21, "")[1:])])]
+    database(tmp_path / "message/message_fts.db", own)
+    (tmp_path / "message/bad_fts.db").write_bytes(b"no database")
+    found = Q.files(spark, str(tmp_path), "*_fts.db")
+    rows, names = Q.index_rows(found), Q.index_names(found)
+    assert Q.good(rows).count() == 8 and [r.path.rsplit("/", 1)[1] for r in Q.warnings(rows).collect()] == ["bad_fts.db"]
+    page = store(spark).search_files(Q.good(rows), Q.good(names), "Running-late", 2, 1)
+    got = [(r.message_local_id, r.talker, r.sender, r.msg_type, r.sub_type, r.snippet) for r in page.items.collect()]
+    assert page.total == 4
+    assert got == [(2, "alice", "me", 49, 5, "running late"), (1, "alice", "unknown:3", 49, 5, "running late")]
+    assert store(spark).search_files(Q.good(rows), Q.good(names), "").total == 0
+
+
 def test_manifest(spark, account):
     files = manifest.listing(Q.files(spark, str(account), "*.db"))
     assert {r.category for r in files.collect()} == {"contact", "session", "message", "resource"}
@@ -385,5 +404,7 @@ def test_routing(spark, tmp_path):
     assert manifest.read_ranges(spark, f"{tmp_path}/r") is None
     manifest.write_ranges(ranges, f"{tmp_path}/r")
     kept = manifest.read_ranges(spark, f"{tmp_path}/r")
+    manifest.write_ranges(ranges.filter("shard_id < 2"), f"{tmp_path}/r")
+    assert kept.count() == 3 and manifest.read_ranges(spark, f"{tmp_path}/r").count() == 2
     assert manifest.routed(kept, 150, 250, None) == [0, 1] and manifest.routed(kept, 250, None, 260) == [1]
     assert manifest.routed(kept, None, None, 5) is None and manifest.routed(kept, 0, 999, None) is None and manifest.routed(None, 1, 2, 3) is None

@@ -29,6 +29,13 @@ def test_cursors(spark):
     assert sorted(r.payload for r in got) == ['{"talker":"a","sort_seq":6,"create_time":6,"server_id":6}', '{"talker":"a","sort_seq":7,"create_time":7,"server_id":7}', '{"talker":"new","sort_seq":9,"create_time":9,"server_id":9}']
 
 
+def test_cursors_over_batches(spark):
+    d = spark.createDataFrame([("a", k, k, k) for k in (5, 6, 4, 7, 6, 8)] + [("b", 1, 1, 1)], "talker string, sort_seq long, create_time long, server_id long")
+    batches = [d.filter("sort_seq in (5, 6)"), d.filter("sort_seq = 4"), d.filter("sort_seq in (1, 6, 7, 8)")]
+    got = replay(spark, batches, C.new_messages).collect()
+    assert sorted((r.talker, r.sort_seq) for r in got) == [("a", 5), ("a", 6), ("a", 6), ("a", 7), ("a", 8), ("b", 1)]
+
+
 def test_store_events_and_watch(spark, tmp_path):
     s, t = store(spark), 1700000000
     assert s.health() == {"messages": 7, "sessions": 4, "contacts": 4}
