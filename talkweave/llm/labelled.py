@@ -19,10 +19,12 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label_col: str, usable: C
     and as many as have whole texts of at most bytes_per_class in total. fold: their ranks in the class modulo folds.
 
     usable says which ids (column doc_id) may be learnt from. Ids whose labels differ, and labels that are null or
-    neither 0 nor 1, are left out; of documents that repeat an id the least text counts. The ids are few, so the join
-    with the documents is a broadcast, and the driver ranks them: 2 * rows_per_class ids and sizes at most."""
+    neither 0 nor 1, are left out; so are labels without a document, before the bound is applied; of documents that
+    repeat an id the least text counts. The ids are few then, so the join with the texts is a broadcast, and the
+    driver ranks them: 2 * rows_per_class ids and sizes at most."""
     own = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1))
     own = own.filter(usable).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most")).filter("label = most").drop("most")
+    own = durable(own.join(docs.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi"))
     order = (F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.col("doc_id"))
     picked = own.filter("label = 0").orderBy(*order).limit(rows_per_class).union(own.filter("label = 1").orderBy(*order).limit(rows_per_class))
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("data"))

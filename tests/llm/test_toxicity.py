@@ -146,3 +146,16 @@ def test_few_labels_still_rank_and_predict(spark):
     assert sum(a.score > b.score for a in toxic for b in clean) >= 0.9 * len(toxic) * len(clean)
     assert sum(r.predicted for r in toxic) >= 0.5 * len(toxic)
     assert sum(r.predicted for r in clean) <= 0.1 * len(clean)
+
+
+def test_labels_of_absent_documents_take_no_room(spark):
+    """Many labels of other ids beside those of the documents at hand: the sample and its bound are of these."""
+    rows, labels = corpus(n=80)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    own = spark.createDataFrame(labels, "doc_id long, toxic int")
+    more = own.unionByName(spark.range(1000, 40000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic"))
+    usable = fold_of("doc_id", 3) != 1
+    few = {tuple(r) for r in bounded_sample(docs, own, "toxic", usable, 12, 1 << 20).collect()}
+    assert {tuple(r) for r in bounded_sample(docs, more, "toxic", usable, 12, 1 << 20).collect()} == few and len(few) > 16
+    texts = [t.encode() for _, t, _ in rows]
+    assert len(set(np.round(fit(docs, more, usable)(texts), 6))) > 40
