@@ -7,8 +7,9 @@ a whole too. A segment's vector has one entry for each token, its number there t
 frequency over all lines of the corpus; tokens that no template has weigh as much as one seen never. Only
 licence-like lines and licence files are exploded into tokens.
 
-A whole file's template counts before a run's, and a run's before a single line's: a licence text whose
-second line is "All rights reserved." is what the whole says.
+The long licences are told, with their versions, by their titles: the first line of a licence file, and its first two, are
+compared with the titles alone, at a higher limit. A title counts before a whole file's template, that before a run's,
+and a run's before a single line's: a licence text whose second line is "All rights reserved." is what the whole says.
 
 A file without a licence of its own takes that of the nearest directory above it that holds a licence
 file, by a join on the directories of its path. Directories near the root are hot keys: that join
@@ -74,10 +75,37 @@ TEMPLATES = [
     ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     ("proprietary", "All rights reserved."),
 ]
+# The titles of licence texts, as they open them.
+TITLES = [
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC-BY-4.0", "Attribution 4.0 International"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EUPL-1.2", "European Union Public Licence v. 1.2"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+]
 LICENCE_FILE = "^(?i)(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 
 
-LINE, RUN, WHOLE = 0, 1, 2
+LINE, RUN, WHOLE, TITLE = 0, 1, 2, 3
 
 
 def tokens(text: Column) -> Column:
@@ -103,9 +131,10 @@ def vocabulary(words: set[str]) -> Column:
     return F.array(*(F.lit(w) for w in sorted(words)))
 
 
-def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.6) -> DataFrame:
+def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, least: float = 0.6, titles: list[tuple[str, str]] = TITLES, least_title: float = 0.9) -> DataFrame:
     """doc_id, path, own_license, own_score (4 decimals), license, inherited_from (a directory): one row for each row of files."""
-    spark, templates = files.sparkSession, sorted(templates)
+    spark, whole = files.sparkSession, len(templates)
+    templates = [*sorted(templates), *sorted(titles)]
     d = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     squares, other, counts = corpus_weights(d.select(F.explode(F.split("text", "\n")).alias("line")).select(tokens(F.col("line")).alias("x")), templates)
     norms = [math.sqrt(sum(squares[w] * n * n for w, n in t.items())) for t in counts]
@@ -113,14 +142,14 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
 
     named = F.coalesce(F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_FILE), F.lit(False))
     d = d.withColumn("lines", F.filter(F.transform(F.split("text", "\n"), tokens), lambda x: F.size(x) > 0))
-    like = lambda x: 2 * F.size(F.array_intersect(vocabulary(set(squares)), x)) >= F.size(F.array_distinct(x))
+    like = lambda x: 2 * F.size(F.array_intersect(vocabulary(set().union(*counts[:whole])), x)) >= F.size(F.array_distinct(x))
     d = d.withColumn("near", F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("at"), F.when(like(x), x).alias("x"))), lambda s: s["x"].isNotNull()))
     part = lambda kind, at, x: F.struct(F.lit(kind).alias("kind"), at.alias("at"), x.alias("x"))
     # Licence-like lines that follow one another have the same distance to their rank.
     segments = F.concat(
         F.transform("near", lambda s: part(LINE, s["at"], s["x"])),
         F.transform("near", lambda s, i: part(RUN, s["at"] - i, s["x"])),
-        F.when(named & (F.size("lines") > 0), F.array(part(WHOLE, F.lit(0), F.flatten("lines")))).otherwise(F.array().cast("array<struct<kind: int, at: int, x: array<string>>>")),
+        F.when(named & (F.size("lines") > 0), F.array(part(WHOLE, F.lit(0), F.flatten("lines")), *(part(TITLE, F.lit(n), F.flatten(F.slice("lines", 1, n))) for n in (1, 2)))).otherwise(F.array().cast("array<struct<kind: int, at: int, x: array<string>>>")),
     )
     d = d.select(F.monotonically_increasing_id().alias("row"), F.struct("doc_id", "path", named.alias("named")).alias("file"), segments.alias("segments"))
     d = d.select("row", "file", F.explode_outer("segments").alias("s")).select("row", "file", "s.kind", "s.at", F.explode_outer("s.x").alias("w")).groupBy("row", "kind", "at", "w").agg(F.first("file").alias("file"), F.count("*").alias("tf"))
@@ -128,8 +157,9 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     dots = [F.sum(F.col("tf") * F.col("q") * F.col("has")[k]).alias(f"dot{k}") for k in range(len(templates))]
     per = d.groupBy("row", "kind", "at").agg(F.first("file").alias("file"), F.sum(F.col("tf") * F.col("tf") * F.coalesce("q", F.lit(other))).alias("own"), *dots)
     each = [F.struct(F.round(F.coalesce(F.col(f"dot{k}") / (F.sqrt("own") * norms[k]), F.lit(0.0)), 4).alias("score"), F.lit(-k).alias("k")) for k in range(len(templates))]
-    per = per.withColumn("best", F.array_max(F.array(*each)))
-    best = F.max(F.when((F.col("best.score") >= least) & F.col("kind").isNotNull(), F.struct("kind", "best.score", "best.k"))).alias("best")
+    title = F.col("kind") == TITLE
+    per = per.withColumn("best", F.when(title, F.array_max(F.array(*each[whole:]))).otherwise(F.array_max(F.array(*each[:whole]))) if titles else F.array_max(F.array(*each)))
+    best = F.max(F.when((F.col("best.score") >= F.when(title, least_title).otherwise(least)) & F.col("kind").isNotNull(), F.struct("kind", "best.score", "best.k"))).alias("best")
     own = per.groupBy("row").agg(F.first("file").alias("file"), best)
     own = durable(own.select("row", "file.*", F.col("best.score").alias("score"), F.col("best.k").alias("k"), F.split(F.regexp_extract("file.path", "^(.*)/[^/]*$", 1), "/").alias("parts")))
 

@@ -1,11 +1,13 @@
 import math
+import os
 import re
 import textwrap
 from collections import Counter
 
 import duckdb
+import pytest
 
-from talkweave.llm.license_scan import TEMPLATES, scan
+from talkweave.llm.license_scan import TEMPLATES, TITLES, scan
 from talkweave.llm.q_license import SQL, place
 
 
@@ -14,9 +16,9 @@ def words(t):
 
 
 def brute(rows, least=0.6):
-    names = sorted(TEMPLATES)
+    names = sorted(TEMPLATES) + sorted(TITLES)
     counts = [Counter(words(t)) for _, t in names]
-    known = set().union(*counts)
+    known, spoken = set().union(*counts), set().union(*counts[: len(TEMPLATES)])
     lines = [w for _, _, t in rows for x in (t or "").split("\n") if (w := words(x))]
     q = lambda w: (math.log((len(lines) + 1) / (sum(w in x for x in lines) + 1)) + 1) ** 2
     weight = {w: q(w) for w in known}
@@ -24,7 +26,7 @@ def brute(rows, least=0.6):
     own = []
     for _, path, t in rows:
         mine = [w for x in (t or "").split("\n") if (w := words(x))]
-        near = [2 * len(set(x) & known) >= len(set(x)) for x in mine]
+        near = [2 * len(set(x) & spoken) >= len(set(x)) for x in mine]
         segments, run = [(0, x) for x, n in zip(mine, near) if n], []
         for x, n in zip([*mine, []], [*near, False]):
             if n:
@@ -34,14 +36,14 @@ def brute(rows, least=0.6):
                 run = []
         named = path is not None and bool(re.match(r"(?i)(licen[sc]e|copying|notice|unlicense)([.-].*)?$", path.rsplit("/", 1)[-1]))
         if named and mine:
-            segments.append((2, [w for x in mine for w in x]))
+            segments += [(2, [w for x in mine for w in x]), (3, mine[0]), (3, [w for x in mine[:2] for w in x])]
         best = None
         for kind, x in segments:
             x = Counter(x)
             size = math.sqrt(sum(weight.get(w, most) * n * n for w, n in x.items()))
             for k, s in enumerate(counts):
                 c = round(sum(weight[w] * n * x[w] for w, n in s.items()) / (size * math.sqrt(sum(weight[w] * n * n for w, n in s.items()))), 4)
-                if c >= least:
+                if (kind == 3) == (k >= len(TEMPLATES)) and c >= (0.9 if kind == 3 else least):
                     best = max(best or (kind, c, -k), (kind, c, -k))
         own.append((named, best and best[1:]))
     out = []
@@ -94,6 +96,35 @@ def test_full_texts_and_wrapped_headers(spark):
     assert got[23].inherited_from == "/w" and all(0.8 < got[i].own_score < 1 for i in (21, 24))
 
 
+ROWS += [
+    (30, "/t/LICENSE", "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 2.1, February 1999\n\nCopyright (C) 1991, 1999 Free Software Foundation, Inc.\n" + wrapped(full["LGPL-3.0"])),
+    (31, "/t/a.c", "int g(void);"),
+    (32, "/u/COPYING", "CC0 1.0 Universal\n\nStatement of Purpose\n" + "the laws of most jurisdictions confer exclusive rights\n" * 30),
+]
+
+
+def test_titles_tell_the_versions(spark):
+    """Files that open like the long licences, their bodies made of words that several of them share."""
+    body = wrapped(" ".join(full[n] for n in ("GPL-3.0", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "Apache-2.0")))
+    rows = [(k, f"/{k}/LICENSE", t.replace(" Version", "\n  Version") + "\n\n" + body) for k, (_, t) in enumerate(TITLES)]
+    rows += [(100 + k, f"/{k}/src/x.c", "int f(void);") for k in range(len(TITLES))]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for k, (name, _) in enumerate(TITLES):
+        assert (got[k].own_license, got[100 + k].license) == (name, name) and got[k].own_score > 0.9
+
+
+COMMON = "/usr/share/common-licenses"
+TEXTS = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir(COMMON), reason="the system has no licence texts")
+def test_whole_licence_texts_of_the_system(spark):
+    found = {f: n for f, n in TEXTS.items() if os.path.isfile(f"{COMMON}/{f}")}
+    rows = [(k, f"/{f}/LICENSE", open(f"{COMMON}/{f}", encoding="utf-8", errors="replace").read()) for k, f in enumerate(found)]
+    got = {r.doc_id: (r.own_license, r.own_score > 0.9) for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {k: (n, True) for k, n in enumerate(found.values())}
+
+
 def test_equals_brute_force(spark):
     files = spark.createDataFrame([(*r, 0.5) for r in ROWS], "doc_id long, path string, text string, score double").repartition(3)
     key = lambda r: tuple((x is None, x or 0) for x in r)
