@@ -44,7 +44,7 @@ def unit(blobs: list[bytes], kind: str) -> np.ndarray:
 
 def as_bytes(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, str]:
     """(vec_id, label, vec) with vec the components' bytes, null where nothing can link; numpy type of the components."""
-    wide = isinstance(vectors.schema[vector_col].dataType.elementType, T.DoubleType)
+    wide = not isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType)
     kind = "<f8" if wide else "<f4"
     schema = T.StructType([T.StructField("vec_id", vectors.schema[id_col].dataType), T.StructField("label", T.StringType()), T.StructField("vec", T.BinaryType())])
 

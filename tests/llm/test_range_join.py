@@ -44,3 +44,10 @@ def test_equals_brute_force(spark, cell_rows, tile_rows):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
     if tile_rows == 17:
         assert near_vectors(docs.limit(0)).count() == 0
+
+
+def test_whole_numbers_keep_their_digits(spark):
+    """Components of any type but float are compared in double precision: these two differ in the last digit of one."""
+    rows = [(1, [16777217, 16777216], 1), (2, [16777216, 16777216], 1), (3, [16777216, -16777216], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<long>, label int"), 1 - 1e-16).collect()}
+    assert got[1] == (0, 1) and got[3] == (0, 3)
