@@ -40,6 +40,11 @@ def fresh(name: str, *tables: DataFrame) -> str:
     return name
 
 
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of docs by name, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def record_key(*columns: Column) -> Column:
     """128 bits of the columns' texts; nulls are told from empty texts."""
     part = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))

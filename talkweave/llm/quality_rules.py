@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkweave.llm.common import fresh, record_key, spread_join
+from talkweave.llm.common import columns_of, fresh, record_key, spread_join
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 A_WORD = "[^\\x20\\x09-\\x0D]"
@@ -112,4 +112,4 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     gone = F.transform(F.col(cut), lambda p: F.get(F.col(spots), p))
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     left = F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n")
-    return d.withColumn(text_col, F.when(F.size(cut) > 0, left).otherwise(F.col(text_col))).select(*docs.columns)
+    return d.withColumn(text_col, F.when(F.size(cut) > 0, left).otherwise(F.col(text_col))).select(*columns_of(docs))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.llm.common import fresh, record_key, settled, shuffle_partitions
+from talkweave.llm.common import columns_of, fresh, record_key, settled, shuffle_partitions
 
 U = np.uint64
 NO_ID = np.iinfo(np.int64).max
@@ -327,9 +327,8 @@ def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes],
         reach = block.span - block.gram
         own = bucket_of(ctx, reach, splitters, block.gram)
         bits = np.zeros(len(ctx), dtype=U)
-        for b, packed in answers.items():
-            where = np.nonzero(own == b)[0]
-            bits[where] = np.frombuffer(packed, dtype="<u4")
+        order, cuts = by_range(own)
+        bits[order] = np.frombuffer(b"".join(answers[b] for b in own[order][cuts[:-1]].tolist()), dtype="<u4")
         at, doc = block.at[anchors], block.doc[anchors]
         mine = bits[run]
         # A later document of the block with the same context has all of its windows in the earlier one.
@@ -354,6 +353,13 @@ def removed_spans(block: Block, anchors: np.ndarray, answers: dict[int, bytes],
     return out
 
 
+def by_range(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order in which those of one range are together, as they were among themselves; where the ranges begin, and the end)."""
+    order = np.argsort(own, kind="stable")
+    begins = np.nonzero(np.diff(own[order]))[0] + 1
+    return order, np.concatenate([[0], begins, [len(own)]]) if len(own) else np.zeros(1, dtype=np.int64)
+
+
 def bucket_of(ctx: np.ndarray, reach: int, splitters: list[bytes], gram: int) -> np.ndarray:
     """The range that a context's whole anchor is in: by its leading eight bytes, and where those are a splitter's by all of them."""
     leads = np.array([int.from_bytes(s[:8], "big") for s in splitters], dtype=U)
@@ -405,11 +411,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         anchors = block.repeated(dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist(), strict=True)), buckets)
         ctx, sides, low, _ = block.contexts(anchors)
         own = bucket_of(ctx, span - gram, splitters, gram)
-        names = np.unique(own)
-        blobs = []
-        for b in names:
-            at = own == b
-            blobs.append(len(low[at]).to_bytes(8, "little") + low[at].astype("<i8").tobytes() + sides[at].astype(np.uint8).tobytes() + ctx[at].tobytes())
+        order, cuts = by_range(own)
+        low, sides, ctx = low[order].astype("<i8"), sides[order].astype(np.uint8), ctx[order]
+        blobs = [(e - s).to_bytes(8, "little") + low[s:e].tobytes() + sides[s:e].tobytes() + ctx[s:e].tobytes() for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        names = own[order][cuts[:-1]]
         return settled(pa.table({"bucket": pa.array(names, pa.int64()), "block": pa.array([key[0].as_py() if table.num_rows else 0] * len(names), pa.int64()), "data": pa.array(blobs, pa.binary())}))
 
     def sort(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -486,4 +491,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = repeated_passages(docs, id_col, text_col, outputs=("kept_text",), key=own, **how).filter("n_removed > 0")
     cut = cut.groupBy(F.col("row_key").alias(key)).agg(F.first("kept_text").cast("string").alias(kept))
     d = docs.withColumn(key, own).join(cut.hint("merge"), key, "left")
-    return d.withColumn(text_col, F.coalesce(F.col(kept), F.col(text_col))).select(*docs.columns)
+    return d.withColumn(text_col, F.coalesce(F.col(kept), F.col(text_col))).select(*columns_of(docs))

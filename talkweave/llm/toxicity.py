@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkweave.llm.common import durable, settled, shuffle_partitions
+from talkweave.llm.common import columns_of, durable, settled, shuffle_partitions
 from talkweave.llm.labelled import bounded_sample
 
 U = np.uint64
@@ -421,6 +421,6 @@ def score(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], threshol
 
 def harmless(docs: DataFrame, scorer: Callable[[list[bytes]], np.ndarray], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, with their columns as they were, whatever their names."""
-    named = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    named = [c.alias(f"c{k}") for k, c in enumerate(columns_of(docs))]
     left = _scored(docs.select(*named, _data(text_col)), scorer, threshold).filter("predicted = 0")
     return left.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

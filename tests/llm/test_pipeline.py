@@ -129,7 +129,7 @@ def test_equals_brute_force(spark, tmp_path):
         assert all(o == sum(n for _, n in parts[:k]) for k, (o, _) in enumerate(parts)) and sum(n for _, n in parts) <= SIZE
 
 
-CLASH = ("score", "predicted", "data", "id", "c0", "__row", "__removed", "__kept", "__lines", "__rid", "rid", "text_key", "key", "host", "row", "words", "component_id")
+CLASH = ("score", "predicted", "data", "id", "c0", "__row", "__removed", "__kept", "__lines", "__rid", "rid", "text_key", "key", "host", "row", "words", "component_id", "a.b", "q`t")
 
 
 def test_hard_rows_and_clashing_names(spark, tmp_path):
@@ -140,7 +140,7 @@ def test_hard_rows_and_clashing_names(spark, tmp_path):
     rows = [(1, say(40)), (1, say(41)), (2, None), (None, say(30)), (None, None), (3, ""), (4, long), (5, "\ufffd genuine " + shared), (6, say(12) + " \ufffd " + shared + " \ufffd é"), (7, say(30)), (8, "é" * 300)]
     rows.append((9, rows[9][1]))  # a copy of 7
     rows.append((8, rows[9][1]))  # and one that shares its id with another text
-    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASH)
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in CLASH)
     full = [(i, t, None, None if k % 2 else "h", None if t is None else len(t), *(f"{c}{k}" for c in CLASH)) for k, (i, t) in enumerate(rows)]
     docs = spark.createDataFrame(full, kind).repartition(2)
     spark.createDataFrame([(1, 1), (7, 0), (9, None), (None, 1), (9, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
