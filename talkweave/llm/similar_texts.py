@@ -4,10 +4,13 @@ A document is the set of 64-bit hashes of its shingles of five words; equal sets
 a SimHash fingerprint of 256 bits (the bitwise majority of four hashes derived from each shingle's), as a
 similarity of 0.8 must be told from chance among any number of documents: such a pair differs in about 39
 bits, unlike texts in 128, and the radius is 64. Fingerprints are compared by tiles, as in simhash.py: tiles
-hold ranges of population counts, pairs of tiles whose counts differ beyond the radius are skipped, the
-others are compared by exclusive-or and bit count in numpy. The first 64 bits go first and the rest only
-where these differ in at most 20, which a pair of similarity 0.8 does with probability 0.9999 (texts of
-under ten words: 0.997).
+hold ranges of shingle counts and of population counts. As a similarity of `least` bounds the ratio of two sets' sizes,
+only tiles of the same or the next range of shingle counts meet; of these, pairs whose population counts differ
+beyond the radius are skipped, and the others are compared by exclusive-or and bit count in numpy. The first 64
+bits go first and the rest only where these differ in at most `first`; first=64 leaves that out.
+
+Fingerprints of few shingles vary much, so sets of at most `few` shingles are joined exactly besides: two such sets that
+are similar enough have a part in common that is each of them without a few shingles, and meet at its hash.
 
 The exact check follows: the components of the candidate links are dealt to cells, and a cell joins the
 sets that are similar, each met by the others through their common shingles. Only sets outside the largest
@@ -16,8 +19,8 @@ group of near copies takes few steps, and edges never outnumber the rows. A comp
 or `cell_bytes` of text is many cells: 32 leaders are put into each of them, and what then still is outside
 the component's largest group meets all others in pairs of cells. So no group of any size is one task.
 
-The comparison of all fingerprints is quadratic with a small factor (about a nanosecond a pair); the rest
-grows in proportion.
+The comparison of fingerprints is quadratic within the ranges of shingle counts, with a small factor; the rest grows in
+proportion.
 
 Defined results: a null or empty text has the empty set, equal to all empty sets alone; texts of fewer
 words than a shingle have their whole sequence as the only shingle; rows that repeat an id and a text are
@@ -42,8 +45,6 @@ from talkweave.llm.simhash import SEED, hooked
 
 WORDS = 4
 U = np.uint64
-#: How many of the first 64 bits of a candidate pair may differ.
-FIRST = 20
 LEADERS = 32
 FACTOR = U(0x9E3779B97F4A7C15)
 
@@ -85,7 +86,7 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidate_roots(x: np.ndarray, y: np.ndarray | None, radius: int, first: int = FIRST) -> np.ndarray:
+def candidate_roots(x: np.ndarray, y: np.ndarray | None, radius: int, first: int = 20) -> np.ndarray:
     """For the rows of x, then of y (y None: of x alone), the smallest row that the links within radius lead to."""
     own = y is None
     every = x if own else np.concatenate([x, y])
@@ -123,31 +124,38 @@ def candidate_roots(x: np.ndarray, y: np.ndarray | None, radius: int, first: int
     return hooked(root, np.concatenate(held_a), np.concatenate(held_b)) if held else root
 
 
-def candidate_edges(nodes: DataFrame, radius: int = 64, most_rows: int = 131072) -> DataFrame:
-    """(a, b): edges between nodes (nid, w0 to w3) whose components are those of all fingerprints within radius."""
+def candidate_edges(nodes: DataFrame, radius: int = 64, least: float = 0.8, first: int = 20, most_rows: int = 131072) -> DataFrame:
+    """(a, b): edges between nodes (nid, shingles, w0 to w3) whose components are those of all fingerprints within radius,
+    of sets whose sizes allow a similarity of `least`."""
     pop = sum((F.bit_count(f"w{k}") for k in range(1, WORDS)), F.bit_count("w0"))
-    d = nodes.select("nid", *(f"w{k}" for k in range(WORDS)), pop.cast("int").alias("pop"))
-    counts = {r["pop"]: r["n"] for r in d.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # at most 257
+    # Counts whose ratio is at least `least` are in the same range or the next, as ranges are a little wider.
+    level = F.floor(F.log(F.greatest("shingles", F.lit(1)).cast("double")) / math.log(1 / least + 0.01)).cast("int")
+    d = nodes.select("nid", *(f"w{k}" for k in range(WORDS)), pop.cast("int").alias("pop"), level.alias("level"))
+    counts = {(r["level"], r["pop"]): r["n"] for r in d.groupBy("level", "pop").agg(F.count("*").alias("n")).collect()}  # at most 257 a level
+    levels = 1 + max((k for k, _ in counts), default=0)
     rows = min(most_rows, max(1024, -(-sum(counts.values()) // 8)))
-    # Tiles are ranges of population counts; a count of too many rows is several tiles of its own.
-    low, high, start, parts, filled = [], [], np.zeros(64 * WORDS + 1, dtype=np.int64), np.ones(64 * WORDS + 1, dtype=np.int64), 0
-    for p in sorted(counts):
-        n = -(-counts[p] // rows)
-        if n > 1 or not low or filled + counts[p] > rows:
-            start[p], parts[p], filled = len(low), n, counts[p] if n == 1 else rows
+    # Tiles are ranges of population counts of one level; a count of too many rows is several tiles of its own.
+    low, high, of, filled = [], [], [], 0
+    start, parts = np.zeros((levels, 64 * WORDS + 1), dtype=np.int64), np.ones((levels, 64 * WORDS + 1), dtype=np.int64)
+    for k, p in sorted(counts):
+        n = -(-counts[k, p] // rows)
+        if n > 1 or not of or of[-1] != k or filled + counts[k, p] > rows:
+            start[k, p], parts[k, p], filled = len(low), n, counts[k, p] if n == 1 else rows
             low += [p] * n
             high += [p] * n
+            of += [k] * n
         else:
-            start[p], filled, high[-1] = len(low) - 1, filled + counts[p], p
+            start[k, p], filled, high[-1] = len(low) - 1, filled + counts[k, p], p
     tiles = len(low)
-    near = [[u for u in range(tiles) if max(low[t] - high[u], low[u] - high[t]) <= radius] for t in range(tiles)]
+    at_level = [[u for u in range(tiles) if of[u] == k] for k in range(levels)]
+    near = [[u for k in range(max(0, of[t] - 1), min(levels, of[t] + 2)) for u in at_level[k] if max(low[t] - high[u], low[u] - high[t]) <= radius] for t in range(tiles)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packs the rows of each pair's side that a batch holds. A pair is named by its two tiles, the smaller first."""
         for b in batches:
             packed = np.stack([b.column(k).to_numpy() for k in range(WORDS + 1)], axis=1).astype("<i8")
-            p = b.column(WORDS + 1).to_numpy()
-            spot = start[p] + (packed[:, 1].view(U) * U(0x9E3779B97F4A7C15) >> U(40)).astype(np.int64) % parts[p]
+            p, k = (b.column(WORDS + j).to_numpy() for j in (1, 2))
+            spot = start[k, p] + (packed[:, 1].view(U) * U(0x9E3779B97F4A7C15) >> U(40)).astype(np.int64) % parts[k, p]
             order = np.argsort(spot, kind="stable")
             cuts = np.concatenate([[0], np.nonzero(np.diff(spot[order]))[0] + 1, [len(spot)]])
             pairs, sides, blobs = [], [], []
@@ -166,13 +174,25 @@ def candidate_edges(nodes: DataFrame, radius: int = 64, most_rows: int = 131072)
         every = np.concatenate([x, y])
         fps = np.ascontiguousarray(every[:, 1:]).view(U)
         own = key[0].as_py() // tiles == key[0].as_py() % tiles
-        root = candidate_roots(fps[: len(x)], None if own else fps[len(x) :], radius)
+        root = candidate_roots(fps[: len(x)], None if own else fps[len(x) :], radius, first)
         at = np.nonzero(root != np.arange(len(root)))[0]
         return settled(pa.table({"a": pa.array(every[at, 0]), "b": pa.array(every[root[at], 0])}))
 
     return d.mapInArrow(deal, "pair long, side int, rows binary").groupBy("pair").applyInArrow(compare, "a long, b long")
 
 
+def kept_subsets(hashes: np.ndarray, least: float) -> list[bytes]:
+    """Digests of the set, and of it without as many shingles as a similarity of `least` to another set allows."""
+    from itertools import combinations
+
+    from xxhash import xxh3_128_digest
+
+    n = len(hashes)
+    # What it has in common with the other is n - k shingles, of at least n in both.
+    most = max((k for k in range(n) if n - k >= least * n - 1e-9), default=-1)
+    return [xxh3_128_digest(np.delete(hashes, list(c)).tobytes()) for k in range(most + 1) for c in combinations(range(n), k)]
+
+
 def similar_roots(sets: list[np.ndarray], bags: np.ndarray, least: float, needed: np.ndarray | None = None) -> np.ndarray:
     """For each set, the smallest one that the pairs with a similarity of at least `least` lead to.
 
@@ -223,12 +243,12 @@ def row_key(id_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit(""))
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 64, cell_rows: int = 2000, cell_bytes: int = 16 << 20) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, radius: int = 64, first: int = 20, few: int = 10, cell_rows: int = 2000, cell_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, text_key, component_id (smallest id of the group): one row for each row of docs."""
     id_type = docs.schema[id_col].dataType
     own = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col).alias("rid"), text_key(F.col(text_col)).alias("text_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    longs = [T.StructField(c, T.LongType()) for c in ("size", *(f"w{k}" for k in range(WORDS)))]
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("rid", T.StringType()), T.StructField("text_key", T.BinaryType()), T.StructField("key", T.BinaryType()), *longs])
+    longs = [T.StructField(c, T.LongType()) for c in ("size", "shingles", *(f"w{k}" for k in range(WORDS)))]
+    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("rid", T.StringType()), T.StructField("text_key", T.BinaryType()), T.StructField("key", T.BinaryType()), *longs, T.StructField("subsets", T.ArrayType(T.BinaryType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
@@ -236,21 +256,26 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                keys, sizes, fps = [], [], np.zeros((b.num_rows, WORDS), dtype=U)
+                keys, sizes, counts, subsets, fps = [], [], [], [], np.zeros((b.num_rows, WORDS), dtype=U)
                 for i, t in enumerate(b.column(3).cast(pa.binary())):
                     text = t.as_py()
                     s = shingle_set(text, shingle)
                     keys.append(xxh3_128_digest(s.tobytes()))
                     sizes.append(len(text))
+                    counts.append(len(s))
+                    subsets.append(kept_subsets(s, least) if len(s) <= few else None)
                     fps[i] = wide_fingerprint(s)
-                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(WORDS))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), *(pa.array(np.ascontiguousarray(fps[:, k]).view(np.int64)) for k in range(WORDS)), pa.array(subsets, pa.list_(pa.binary()))], names=schema.names)
         settled(None)
 
     sets = durable(own.mapInArrow(run, schema))
     one = F.min(F.struct("rid", "text_key", "size")).alias("one")
-    nodes = sets.groupBy("key").agg(F.min("doc_id").alias("low"), one, *(F.first(f"w{k}").alias(f"w{k}") for k in range(WORDS)))
+    nodes = sets.groupBy("key").agg(F.min("doc_id").alias("low"), one, F.first("shingles").alias("shingles"), F.first("subsets").alias("subsets"), *(F.first(f"w{k}").alias(f"w{k}") for k in range(WORDS)))
     nodes = durable(nodes.withColumn("nid", F.monotonically_increasing_id()))
-    near = connected_components(candidate_edges(nodes, radius)).withColumnRenamed("node", "nid")
+    met = nodes.select("nid", F.explode("subsets").alias("subset"))
+    held = met.groupBy("subset").agg(F.min("nid").alias("b"), F.count("*").alias("n")).filter("n > 1")
+    met = spread_join(met, held, "subset", "inner").filter("nid != b").select(F.col("nid").alias("a"), "b")
+    near = connected_components(candidate_edges(nodes, radius, least, first).unionByName(met)).withColumnRenamed("node", "nid")
     held = nodes.select("nid", "one.*").join(near, "nid")
     per = held.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
     per = per.select("component", F.greatest(F.ceil(F.col("n") / cell_rows), F.ceil(F.col("b") / cell_bytes)).alias("cells"))

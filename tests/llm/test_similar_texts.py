@@ -51,6 +51,39 @@ def test_groups_equal_brute_force(spark, cells):
         assert similar_texts(docs.limit(0)).count() == 0
 
 
+def test_short_texts_equal_brute_force(spark):
+    """Thousands of texts of five to fourteen words, many with a similarity of just 0.8: none is missed."""
+    rng, rows = random.Random(9), []
+    for g in range(900):
+        words = [f"g{g}w{k}" for k in range(rng.randint(8, 14))]
+        rows.append((3 * g, " ".join(words)))
+        rows.append((3 * g + 1, " ".join(words[: len(words) - rng.randint(1, 2 if len(words) > 9 else 1)])))
+        rows.append((3 * g + 2, " ".join([*words, "more"][rng.randint(0, 1) :])))
+    want = {i: low for (i, _), low in zip(rows, grouped(rows))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in similar_texts(docs).collect()} == want
+    assert sum(i != low for i, low in want.items()) > 800
+
+
+def grouped(rows):
+    """groups() of rows whose ids are dealt in threes, so that only those need be compared."""
+    return [low for k in range(0, len(rows), 3) for low in groups(rows[k : k + 3])]
+
+
+def test_sizes_apart_are_not_compared_and_others_are(spark):
+    from talkweave.llm.similar_texts import candidate_edges
+
+    rows = [(n, n, 5, 6, 7, 8) for n in range(1, 400)]
+    nodes = spark.createDataFrame(rows, "nid long, shingles long, w0 long, w1 long, w2 long, w3 long")
+    linked = {(r.a, r.b) for r in candidate_edges(nodes, most_rows=64).collect()}
+    root = {n: n for n, *_ in rows}
+    for a, b in sorted(linked):
+        x, y = root[a], root[b]
+        root = {n: min(x, y) if v in (x, y) else v for n, v in root.items()}
+    assert set(root.values()) == {1, 2, 3}  # from 3 on neighbours chain
+    assert all(min(a, b) >= 0.6 * max(a, b) - 1 for a, b in linked)
+
+
 def test_rows_are_told_apart_by_their_texts(spark):
     a, b = "one text of more than five words", "quite another text of more than five words"
     rows = [(1, a, 1), (2, a, 2), (2, b, 3), (None, a, 4), (None, "a text of its own that has no id", 5), (7, None, 6), (8, "", 7), (9, b, 8), (9, b, 9)]
