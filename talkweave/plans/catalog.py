@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from talkweave.plans import bodies, history, people, search, streams, verbs  # noqa: F401
+    from talkweave.plans import bodies, files, history, people, search, streams, verbs  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

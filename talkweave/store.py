@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkweave import schema as S
 from talkweave.functions import labels
@@ -49,11 +50,21 @@ class ChatStore:
     skipped: int = 0
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, own: str = "", settings: Settings | None = None, core: bool = False) -> ChatStore:
-        """From the SQLite files below root. Contacts and sessions must be there; message shards need not, and core leaves them unread."""
+    def open(cls, spark: SparkSession, root: str, own: str = "", settings: Settings | None = None, core: bool = False, ingested: str | None = None) -> ChatStore:
+        """From the SQLite files below root, with what their logs have committed. Contacts and sessions must be there; message shards
+        need not, and core leaves them unread. ingested: a folder in which messages are kept; only new and changed shards are read then."""
         from pyspark.errors import AnalysisException
 
+        from talkweave.sources import ingest, sqlite_source
+
+        mounted = sqlite_source.reaches(root)
+
         def one(name: str, table: str, columns: dict) -> DataFrame:
+            if mounted:
+                if not any(p.rsplit("/", 1)[-1] == name for p, _ in sqlite_source.listed(root)):
+                    raise FileNotFoundError(f"no {name} below {root}")
+                schema = T.StructType([T.StructField(c, t) for c, t in columns.items()])
+                return sqlite_source.tables(spark, root, schema, table, glob=name).select(*columns, "path", "warning")
             try:
                 d = Q.table(Q.files(spark, root, name), table, columns)
                 if not Q.files(spark, root, name).limit(1).count():
@@ -64,13 +75,19 @@ class ChatStore:
 
         sessions = people.decode_sessions(Q.good(one("session.db", "SessionTable", Q.SESSION_COLUMNS)))
         raw = one("contact.db", "contact", Q.CONTACT_COLUMNS)
-        found = Q.files(spark, root, "contact.db")
-        names = people.label_names(Q.good(Q.table(found, "contact_label", Q.LABEL_COLUMNS)))
-        rooms = people.decode_chatrooms(Q.good(Q.table(found, "chat_room", Q.ROOM_COLUMNS)))
+        names = people.label_names(Q.good(one("contact.db", "contact_label", Q.LABEL_COLUMNS)))
+        rooms = people.decode_chatrooms(Q.good(one("contact.db", "chat_room", Q.ROOM_COLUMNS)))
         if core:
             return cls(spark.createDataFrame([], S.MESSAGE), sessions.filter("decoded").drop("decoded"), people.decode_contacts(Q.good(raw), names), rooms, own, settings or Settings())
-        shards = Q.shards(spark, root)
-        stored, dictionary = Q.raw_messages(shards), Q.sender_names(shards)
+        if ingested is not None:
+            ingest.step(spark, root, ingested)
+            none = F.lit(None).cast("string")
+            stored, dictionary = (d.withColumns({"path": none, "warning": none}) for d in (ingest.messages(spark, ingested), ingest.sender_names(spark, ingested)))
+        elif mounted:
+            stored, dictionary = sqlite_source.raw_messages(spark, root), sqlite_source.sender_names(spark, root)
+        else:
+            shards = Q.shards(spark, root)
+            stored, dictionary = Q.raw_messages(shards), Q.sender_names(shards)
         told = [f"{r.path}: {r.warning}" for r in Q.warnings(stored).collect()]  # one row for each bad file
         # Kept, as every verb reads it: bodies are decoded once, and plans over them stay small.
         decoded = decode(Q.good(stored), Q.good(dictionary), sessions.select(F.col("username").alias("talker"))).cache()
