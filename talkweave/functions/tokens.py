@@ -57,6 +57,16 @@ def phrases(keyword: str, options: Options = Options()) -> list[list[list[str]]]
     return [tokenize(w, options) for w in keyword.split()]
 
 
+def stems(words: Column) -> Column:
+    """Stems of lower-case words."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(stem)
+
+    return run(words)
+
+
 def tokens(text: Column, options: Options = Options()) -> Column:
     """array<array<string>> of a text's positions.
 

@@ -1,20 +1,23 @@
 """Full-text search: by scan, by tokens of each row, and by an inverted index.
 
-The index is two tables, documents and postings (token, doc, pos), dealt by token. A hot token is not
+The index is two tables, documents and postings (token, doc, pos), in segments by months. A hot token is not
 one task: postings of a query are few tokens' rows, and each phrase is an aggregate by (doc, pos - k)
 with map-side combining. With an index a query reads its tokens' postings only."""
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.functions import labels
 from talkweave.functions.content import index_text, matches, searchable
-from talkweave.functions.tokens import Options, phrases, tokens
+from talkweave.functions.tokens import Options, phrases, stems, tokens
 from talkweave.operators.messages import KEY, ordered
 from talkweave.operators.people import name_hits
 from talkweave.page import effective_limit
@@ -73,12 +76,23 @@ def file_page(hits: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
 
 
 def build_index(messages: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """(documents, postings). documents: doc, talker, sender, the order keys, codes and raw_text of messages with a text."""
+    """(documents, postings). documents: doc (128 bits of keys and text), talker, sender, the order keys, codes and raw_text of
+    messages with a text. Words are cut by built-in functions; their stems come from a table of the distinct words."""
     d = messages.withColumn("raw_text", index_text(F.col("content_kind"), F.col("content"))).filter("raw_text is not null")
-    d = d.withColumn("doc", F.xxhash64("talker", *KEY, "sender", "raw_text"))
-    docs = d.select("doc", "talker", "sender", "create_time", "sort_seq", "server_id", "msg_type", "sub_type", "raw_text")
-    per = docs.select("doc", F.posexplode(tokens(F.col("raw_text"), options)).alias("pos", "each"))
-    return docs, per.select(F.explode("each").alias("token"), "doc", "pos")
+    parts = (F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("talker", *KEY, "sender", "raw_text"))
+    docs = d.withColumn("doc", F.unhex(F.md5(F.concat_ws("\1", *parts).cast("binary"))))
+    docs = docs.select("doc", "talker", "sender", "create_time", "sort_seq", "server_id", "msg_type", "sub_type", "raw_text")
+    per = docs.select("doc", F.posexplode(tokens(F.col("raw_text"), replace(options, stemming=False))).alias("pos", "each")).select(F.col("each")[0].alias("token"), "doc", "pos")
+    return docs, with_stems(per) if options.stemming else per
+
+
+def with_stems(postings: DataFrame) -> DataFrame:
+    """postings with those of the words' stems beside them. Each distinct word is stemmed once, whatever the number of its postings."""
+    words = postings.filter(F.col("token").rlike("^[a-z]{3,}$")).select("token").distinct()
+    other = words.select("token", stems(F.col("token")).alias("stem")).filter("stem != token")
+    # The stem is found first, then both dealt: a frequent word's postings go to many tasks.
+    beside = postings.join(other, "token").select(F.col("stem").alias("token"), "doc", "pos")
+    return postings.unionByName(beside)
 
 
 def indexed_search(docs: DataFrame, postings: DataFrame, keyword: str, options: Options = Options()) -> DataFrame:
@@ -95,34 +109,87 @@ def indexed_search(docs: DataFrame, postings: DataFrame, keyword: str, options:
     return docs.join(found, "doc", "left_semi")
 
 
-def write_index(docs: DataFrame, postings: DataFrame, root: str, version: str) -> str:
-    """Writes an index beside earlier ones, then points to it; readers see the old or the new one, never a part."""
-    spark = docs.sparkSession
-    docs.write.mode("overwrite").parquet(f"{root}/{version}/docs")
-    postings.repartitionByRange("token").sortWithinPartitions("token", "doc", "pos").write.mode("overwrite").parquet(f"{root}/{version}/postings")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("append").parquet(f"{root}/current/{version}")
-    return version
+def _month() -> Column:
+    return F.coalesce(F.date_format(F.timestamp_seconds("create_time"), "yyyy-MM"), F.lit("none")).alias("month")
 
 
-def stored_index(messages: DataFrame, root: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
-    """The index of just these messages below root: read if it is there, else built, written and read.
+def write_segment(messages: DataFrame, root: str, options: Options) -> str:
+    """Writes a segment of the index, by months and with postings clustered by token; nothing refers to it yet. Its name."""
+    name = uuid.uuid4().hex
+    at, spark = f"{root}/segments/{name}", messages.sparkSession
+    docs, words = build_index(messages, replace(options, stemming=False))
+    docs.withColumn("month", _month()).write.partitionBy("month").parquet(f"{at}/docs")
+    words.write.parquet(f"{at}/words")  # texts are cut once
+    words = spark.read.schema("token string, doc binary, pos int").parquet(f"{at}/words")
+    months = spark.read.schema("doc binary, month string").parquet(f"{at}/docs").distinct()
+    _write_postings((with_stems(words) if options.stemming else words).join(months, "doc").select("month", "token", "doc", "pos"), f"{at}/postings")
+    return name
 
-    A version is named by the messages' number, latest keys and a sum over their ids, and by the options; postings are
-    clustered by token, so that a query reads the row groups of its own."""
-    seen = messages.agg(F.count("*"), F.max("sort_seq"), F.max("create_time"), F.sum(F.xxhash64("talker", *KEY).cast("decimal(38,0)"))).first()
-    version = hashlib.md5(repr((tuple(seen), options)).encode()).hexdigest()
-    if (found := read_index(messages.sparkSession, root, version)) is None:
-        write_index(*build_index(messages, options), root, version)
-        found = read_index(messages.sparkSession, root, version)
-    return found
 
+def _write_postings(postings: DataFrame, path: str) -> None:
+    postings.repartitionByRange("month", "token", "doc").sortWithinPartitions("month", "token", "doc", "pos").write.partitionBy("month").parquet(path)
 
-def read_index(spark, root: str, version: str | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """(documents, postings) of a version, the latest by name if none is given; None if there is none."""
-    from pyspark.errors import AnalysisException
 
+def manifest(spark: SparkSession, root: str) -> list[Row]:
+    """(month, digest, n, segment, version) of the latest version; one row a month, and one without a month."""
     try:
-        v = spark.read.parquet(f"{root}/current/{version or '*'}").agg(F.max("version")).first()[0]
-        return spark.read.parquet(f"{root}/{v}/docs"), spark.read.parquet(f"{root}/{v}/postings")
+        d = spark.read.parquet(f"{root}/manifest")
+        return d.filter(F.col("version") == d.agg(F.max("version")).first()[0]).collect()
     except AnalysisException:
-        return None
+        return []
+
+
+def month_digests(messages: DataFrame) -> dict[str, tuple[str, int]]:
+    """What each month's index is of: a digest of all its keys, senders and texts, and their number."""
+    d = messages.select(_month(), "talker", *KEY, "sender", index_text(F.col("content_kind"), F.col("content")).alias("t")).filter("t is not null")
+    own = lambda seed: F.sum(F.xxhash64(F.lit(seed), "talker", *KEY, "sender", "t").cast("decimal(38,0)")).cast("string")
+    rows = d.groupBy("month").agg(F.concat_ws("/", own(1), own(2)).alias("digest"), F.count("*").alias("n")).collect()
+    return {r.month: (r.digest, r.n) for r in rows}
+
+
+def stored_index(messages: DataFrame, root: str, options: Options = Options(), most_segments: int = 8) -> tuple[DataFrame, DataFrame]:
+    """The index of just these messages below root, brought up to date first.
+
+    Months whose keys or texts are not those that were indexed, by an edit, a recall or a new message, are indexed again
+    as one new segment; all others stay in theirs, and months that are gone are left out. Beyond most_segments the
+    segments are merged into one. A version is a manifest of months, written after its segments: readers see the old
+    or the new one, and a segment that was lost half-way is referred to by none."""
+    spark, root = messages.sparkSession, f"{root}/{hashlib.md5(repr(options).encode()).hexdigest()[:8]}"
+    found, now = manifest(spark, root), month_digests(messages)
+    old = {r.month: r for r in found if r.month is not None}
+    changed = [m for m, (digest, _) in now.items() if m not in old or old[m].digest != digest]
+    held = {m: (digest, n, old[m].segment if m in old else None) for m, (digest, n) in now.items()}
+    if changed:
+        name = write_segment(messages.filter(_month().isin(changed)), root, options)
+        held |= {m: (*now[m], name) for m in changed}
+    if len({s for *_, s in held.values()}) > most_segments:
+        name = uuid.uuid4().hex
+        docs, postings = _segments(spark, root, {m: s for m, (*_, s) in held.items()})
+        docs.write.partitionBy("month").parquet(f"{root}/segments/{name}/docs")
+        _write_postings(postings, f"{root}/segments/{name}/postings")
+        held = {m: (digest, n, name) for m, (digest, n, _) in held.items()}
+    if changed or held.keys() != old.keys():
+        version = 1 + max((r.version for r in found), default=0)
+        rows = [(None,) * 4, *((m, *h) for m, h in held.items())]
+        spark.createDataFrame(rows, "month string, digest string, n long, segment string").coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
+    return read_index(spark, root.rsplit("/", 1)[0], options) or build_index(messages.limit(0), options)
+
+
+def _segments(spark: SparkSession, root: str, places: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(documents, postings) of the months in their segments, with month."""
+
+    def part(kind: str, schema: str) -> DataFrame:
+        by = {}
+        for month, segment in places.items():
+            by.setdefault(segment, []).append(month)
+        return reduce(DataFrame.unionByName, [spark.read.schema(schema).parquet(f"{root}/segments/{s}/{kind}").filter(F.col("month").isin(m)) for s, m in sorted(by.items())])
+
+    docs = "doc binary, talker string, sender string, create_time long, sort_seq long, server_id long, msg_type long, sub_type long, raw_text string, month string"
+    return part("docs", docs), part("postings", "token string, doc binary, pos int, month string")
+
+
+def read_index(spark: SparkSession, root: str, options: Options = Options()) -> tuple[DataFrame, DataFrame] | None:
+    """(documents, postings) as of the latest version, which is not compared with the messages; None if there is none."""
+    root = f"{root}/{hashlib.md5(repr(options).encode()).hexdigest()[:8]}"
+    found = {r.month: r.segment for r in manifest(spark, root) if r.month is not None}
+    return tuple(d.drop("month") for d in _segments(spark, root, found)) if found else None

@@ -40,12 +40,45 @@ def search_phrase(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"WITH {TOK} SELECT {COLUMNS} FROM tok WHERE {_phrase(['of', 'the'])} AND {_phrase(['and'])} ORDER BY create_time DESC, sort_seq DESC, server_id DESC LIMIT 40 OFFSET 3")
 def search_index(spark: SparkSession, root: str) -> DataFrame:
-    # The first search of a session writes the index; later ones read it.
-    at = INDEXES.setdefault(root, f"{shared(spark)}/index")
-    docs, postings = S.stored_index(A.documents(spark, root), at, EXACT)
+    # The first search of a session writes the index; later ones read it, as the tables do not change.
+    if root not in INDEXES:
+        INDEXES[root] = f"{shared(spark)}/index"
+        S.stored_index(A.documents(spark, root), INDEXES[root], EXACT)
+    docs, postings = S.read_index(spark, INDEXES[root], EXACT) or S.build_index(A.documents(spark, root).limit(0), EXACT)
     return S.index_page(S.indexed_search(docs, postings, "of-the and", EXACT), 40, 3).select("talker", "sender", "create_time", "sort_seq", "server_id")
 
 
+@query(f"WITH {TOK} SELECT {COLUMNS.replace('doc_id % 1000', 'doc_id % 12 * 2629800')} FROM tok WHERE {_phrase(['of', 'the'])} AND doc_id % 24 <> 5")
+def index_refresh(spark: SparkSession, root: str) -> DataFrame:
+    """An index over twelve months that is brought up to date: one month's texts are edited, some rows of another recalled."""
+    at, k = f"{shared(spark)}/index", F.col("server_id")
+    now = A.documents(spark, root).withColumn("create_time", k % 12 * 2629800 + A.EPOCH)
+    edited = now.withColumn("content", F.when(k % 12 == 3, A.text_content(F.lit("an older text of the same message"))).otherwise(F.col("content")))
+    S.stored_index(edited, at, EXACT)
+    docs, postings = S.stored_index(now.filter(k % 24 != 5), at, EXACT)
+    return S.indexed_search(docs, postings, "of-the", EXACT).select("talker", "sender", "create_time", "sort_seq", "server_id")
+
+
+# The words of the corpus that a search for "tioning", for "ered" and for "eres" means: with its stem, or itself a stem.
+TIONING = "('tion', 'tioned', 'tionedly', 'tiones', 'tioning', 'tioningeation', 'tioninged', 'tioninger', 'tioningering', 'tioninges', 'tioninging', 'tioningly', 'tionly', 'tionlyed', 'tionlyedly', 'tionlying')"
+ERED = "('ere', 'ered', 'eredated', 'eredates', 'eredating', 'eredator', 'eredeable', 'eredeant', 'eredeation', 'ereded', 'erededly', 'ereder', 'eredered', 'eredering', 'erederly', 'eredes', 'ereding', 'eredingly', 'eredly', 'eredlyed', 'eredlying', 'eres', 'ering', 'eringly')"
+ERES = "('ere', 'ered', 'eredly', 'eres', 'eresated', 'eresates', 'eresating', 'eresator', 'ereseable', 'ereseant', 'ereseation', 'eresed', 'eresedly', 'ereser', 'eresered', 'eresering', 'ereserly', 'ereses', 'eresing', 'eresingly', 'ering', 'eringly')"
+
+
+@query(f"WITH {TOK} SELECT {COLUMNS} FROM tok WHERE len(list_filter(w, lambda x: x IN {TIONING})) > 0 AND len(list_filter(w, lambda x: x IN {ERED})) > 0")
+def search_stems(spark: SparkSession, root: str) -> DataFrame:
+    """With stems, by an index: all forms of both words are found."""
+    docs, postings = S.build_index(A.documents(spark, root))
+    return S.indexed_search(docs, postings, "tioning ered").select("talker", "sender", "create_time", "sort_seq", "server_id")
+
+
+@query(f"WITH {TOK} SELECT {COLUMNS} FROM tok WHERE len(list_filter(range(1, len(w) + 1), lambda i: w[i] = 'the' AND w[i + 1] IN {ERES})) > 0")
+def search_stem_phrase(spark: SparkSession, root: str) -> DataFrame:
+    """With stems, by the tokens of each row: a phrase of a word and any form of the next."""
+    d = A.documents(spark, root).withColumn("tokens", tokens(F.col("content.text")))
+    return S.phrase_search(d, "the-eres").select("talker", "sender", "create_time", "sort_seq", "server_id")
+
+
 @query(f"""WITH {TOK}, hit AS (SELECT * FROM tok WHERE {_phrase(['of', 'the'])} ORDER BY doc_id % 1000 DESC, doc_id // 7 DESC, doc_id DESC LIMIT 60 OFFSET 2)
 SELECT doc_id AS message_local_id, text AS snippet, coalesce(a.s_name, 'unknown:' || doc_id % 150) AS talker, coalesce(b.s_name, 'unknown:' || doc_id % 90) AS sender, 49::BIGINT AS msg_type, (doc_id % 60)::BIGINT AS sub_type
 FROM hit LEFT JOIN supplier a ON a.s_suppkey = doc_id % 150 LEFT JOIN supplier b ON b.s_suppkey = doc_id % 90""")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from talkweave import schema as S
 from talkweave.functions.content import with_content
-from talkweave.functions.tokens import Options, tokens
+from talkweave.functions.tokens import Options, tokenize, tokens
 from talkweave.operators import export, media, people, privacy, resolve, search, timeline
 from talkweave.operators import messages as M
 from talkweave.page import effective_limit
@@ -187,20 +187,33 @@ def test_index_equals_tokens_of_rows(spark):
         assert sorted(r.server_id for r in search.indexed_search(docs, postings, q).collect()) == want
 
 
-def test_index_files(spark, tmp_path):
-    docs, postings = search.build_index(messages(spark, [text_row(1, 1, 1, body="find me")]))
-    assert search.read_index(spark, str(tmp_path)) is None
-    search.write_index(docs, postings, str(tmp_path), "v1")
-    assert search.indexed_search(*search.read_index(spark, str(tmp_path)), "find").count() == 1
-
-
-def test_stored_index_follows_the_messages(spark, tmp_path):
-    d = messages(spark, [text_row(1, 1, 1, body="find me")])
-    find = lambda d: search.indexed_search(*search.stored_index(d, str(tmp_path)), "find").count()
-    assert find(d) == 1 and find(d) == 1
-    assert len([x for x in tmp_path.iterdir() if x.name != "current"]) == 1
-    assert find(d.union(messages(spark, [text_row(2, 2, 2, body="find me, too")]))) == 2
-    assert len([x for x in tmp_path.iterdir() if x.name != "current"]) == 2
+def test_index_segments_follow_edits_and_recalls(spark, tmp_path):
+    at, exact = str(tmp_path), Options(stemming=False)
+    row = lambda k, month, body: text_row(k, k, 1700000000 + month * 2629800, body=body)
+    rows = [row(k, k % 4, f"find me {k}") for k in range(1, 41)]
+    find = lambda rows, q="find", **how: search.indexed_search(*search.stored_index(messages(spark, rows), at, exact, **how), q, exact).count()
+    held = lambda: {r.month: r.segment for r in search.manifest(spark, f"{at}/{next(tmp_path.iterdir()).name}") if r.month}
+    assert search.read_index(spark, at, exact) is None
+    assert find(rows) == 40 and find(rows) == 40
+    first = held()
+    assert len(first) == 4 and len(set(first.values())) == 1
+    edited = [row(k, k % 4, "new words" if k % 4 == 1 else f"find me {k}") for k in range(1, 41)]  # same ids
+    assert find(edited) == 30 and find(edited, "new-words") == 10
+    second = held()
+    assert sum(first[m] != second[m] for m in first) == 1  # the other months were not indexed again
+    assert find(edited[:-1]) == 29 and sum(second[m] != s for m, s in held().items()) == 1  # a recall
+    assert find([*edited, row(99, 9, "find me, too")]) == 31 and len(held()) == 5
+    assert find([r for r in edited if not str(r[-1]).count("new")], "new") == 0 and find([]) == 0
+    assert find(rows) == 40 and find(edited, most_segments=1) == 30 and len(set(held().values())) == 1  # merged
+    assert search.indexed_search(*search.read_index(spark, at, exact), "new", exact).count() == 10
+
+
+def test_stems_come_from_a_table_of_words(spark):
+    d = messages(spark, [text_row(k, k, k, body=b) for k, b in enumerate(["running runs run", "the run", "runner", "跑 Running", "generous"], 1)])
+    docs, postings = search.build_index(d)
+    want = {(r.server_id, p, t) for r in d.collect() for p, own in enumerate(tokenize(r.content.text)) for t in own}
+    got = postings.join(docs.select("doc", "server_id"), "doc").select("server_id", "pos", "token").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def test_history_counts_the_keyword(spark):

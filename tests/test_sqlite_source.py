@@ -47,7 +47,7 @@ def rows(start, n, body="b"):
     return [(i, i, i, f"{body}{i}") for i in range(start, start + n)]
 
 
-def test_filters_reach_the_files(spark, tmp_path):
+def test_filters_reach_the_files(spark, tmp_path, capsys):
     root = str(tmp_path)
     shard(f"{root}/message/message_0.db", [*rows(0, 100), (7, "odd", None, "x"), (5.5, 200, 90.5, "fraction")])
     shard(f"{root}/message/message_1.db", rows(0, 50), table="Msg_other")
@@ -58,7 +58,8 @@ def test_filters_reach_the_files(spark, tmp_path):
         pushed = Q.raw_messages(spark, root, pushdown=True).filter(where)
         got, want = ([tuple(r) for r in d.orderBy("path", "table_name", "sort_seq", "server_id").collect()] for d in (x.filter("warning IS NULL") for x in (pushed, whole.filter(where))))
         assert got == want and len(got) > 0, where
-    plan = Q.conversation(spark, root, "alice", 10, 12)._jdf.queryExecution().toString()
+    Q.conversation(spark, root, "alice", 10, 12).explain("formatted")
+    plan = capsys.readouterr().out
     assert f"EqualTo(table_name,{T1})" in plan and "GreaterThanOrEqual(create_time,10)" in plan
     assert Q.conversation(spark, root, "alice", 10, 12).filter("warning is null").count() == 3
     # Without pushdown a relation may be used again with other filters.
