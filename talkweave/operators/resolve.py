@@ -5,11 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talkweave import schema as S
-from talkweave.operators.people import contact_matches, names
+from talkweave.operators.people import FIELDS, contact_matches, names
 
 
 class NotFound(LookupError):
@@ -58,3 +58,42 @@ def resolve(contacts: DataFrame, name: str, hidden: DataFrame | None = None, sho
     if len(found) > 1:
         raise Ambiguous(f'ambiguous contact "{name}": ' + ", ".join(f"{r.display_name} ({r.user_name})" for r in found[:most]))
     return Resolved(*found[0])
+
+
+def grams(text: Column, most: int = 3) -> Column:
+    """The distinct substrings of up to three characters."""
+    each = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*map(each, range(1, most + 1)))))
+
+
+def resolve_all(contacts: DataFrame, asked: DataFrame, hidden: DataFrame | None = None, show_hidden: bool = False) -> DataFrame:
+    """asked, outcome (found, not found or ambiguous), user_name, display_name, n (contacts that are visible and match): what
+    resolve() says of every distinct name of asked (a column of that name), in one plan.
+
+    Names that do not speak for themselves meet contacts by postings of three characters of their fields (shorter names by
+    themselves), each name by that of its substrings that the fewest contacts have; the whole name is compared then."""
+    own = names(contacts).groupBy("user_name").agg(F.first("display_name").alias("display_name"))
+    passes = F.col("asked").startswith(S.PASS_THROUGH_PREFIX) | F.col("asked").endswith(S.GROUP_SUFFIX) | F.col("asked").isin(*S.PASS_THROUGH_IDS)
+    d = asked.select("asked").filter("asked is not null").distinct().join(own.select(F.col("user_name").alias("asked"), F.col("display_name").alias("__shown"), F.lit(True).alias("__exact")), "asked", "left")
+    direct = passes | F.col("__exact").isNotNull() | F.col("asked").rlike("^[A-Za-z0-9_]*[0-9][A-Za-z0-9_]*$")
+    d = d.withColumn("__direct", direct & (F.trim("asked") != ""))
+    gone = None if hidden is None or show_hidden else hidden.select(F.col("id").alias("user_name"))
+
+    open_ = d.filter(~F.col("__direct") & (F.trim("asked") != "")).select("asked", F.lower("asked").alias("low"))
+    texts = F.transform(F.array_compact(F.concat(F.array(*FIELDS), F.coalesce("labels", F.array().cast("array<string>")))), lambda t: F.lower(t))
+    seen = contacts if gone is None else contacts.join(gone, "user_name", "left_anti")
+    seen = seen.select("user_name", texts.alias("texts"))
+    wanted = open_.select("asked", "low", F.explode(F.when(F.length("low") < 3, F.array("low")).otherwise(F.filter(grams(F.col("low")), lambda g: F.length(g) == 3))).alias("gram"))
+    postings = seen.select("user_name", F.explode(F.array_distinct(F.flatten(F.transform("texts", lambda t: grams(t))))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    held = postings.groupBy("gram").agg(F.count("*").alias("held"))
+    # A name with a substring that nobody has matches nobody: its fewest is 0.
+    fewest = wanted.join(held, "gram", "left").groupBy("asked", "low").agg(F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), F.col("gram"))).alias("gram"))
+    near = fewest.join(postings, "gram").join(seen, "user_name").filter(F.exists("texts", lambda t: t.contains(F.col("low"))))
+    near = near.groupBy("asked").agg(F.count("*").alias("n"), F.min("user_name").alias("__near")).join(own.withColumnRenamed("user_name", "__near"), "__near", "left")
+
+    d = d.join(near, "asked", "left").withColumn("user_name", F.when(F.col("__direct"), F.col("asked")).when(F.col("n") == 1, F.col("__near")))
+    if gone is not None:
+        d = d.join(gone.distinct().withColumn("__gone", F.lit(True)), "user_name", "left").withColumn("user_name", F.when(F.col("__gone").isNull(), F.col("user_name")))
+    outcome = F.when(F.col("user_name").isNotNull(), "found").when(F.coalesce("n", F.lit(0)) > 1, "ambiguous").otherwise("not found")
+    shown = F.when(F.col("user_name").isNotNull(), F.when(F.col("__direct"), F.col("__shown")).otherwise(F.col("display_name")))
+    return d.select("asked", outcome.alias("outcome"), "user_name", shown.alias("display_name"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -89,6 +89,24 @@ def resolved_names(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame([(a, one(a)) for a in asked], "asked string, found string")
 
 
+ASKED = """CASE c_custkey % 8 WHEN 0 THEN upper(c_name) WHEN 1 THEN 'remark ' || c_custkey WHEN 2 THEN 'c' || c_custkey WHEN 3 THEN 'al' || c_custkey || '#' WHEN 4 THEN n_name WHEN 5 THEN 'r ' || c_custkey || ' x'
+WHEN 6 THEN '#' || right(c_name, 4) ELSE 'http://' || c_custkey || '@chatroom' END"""
+
+
+@query(f"""WITH {CON}, {HID}, asked AS (SELECT DISTINCT {ASKED} AS asked FROM customer JOIN nation ON c_nationkey = n_nationkey), direct AS (
+  SELECT asked, asked LIKE '%@chatroom' OR regexp_full_match(asked, '[A-Za-z0-9_]*[0-9][A-Za-z0-9_]*') AS own FROM asked
+), hits AS (
+  SELECT asked, own, count(user_name) AS n, min(user_name) AS near FROM direct LEFT JOIN (SELECT * FROM con WHERE user_name NOT IN (SELECT id FROM hid)) c
+  ON NOT own AND contains(lower(concat_ws(chr(1), user_name, alias, remark, nick_name, memo, region, label)), lower(asked)) GROUP BY asked, own
+), found AS (SELECT *, CASE WHEN own AND asked NOT IN (SELECT id FROM hid) THEN asked WHEN NOT own AND n = 1 THEN near END AS user_name FROM hits)
+SELECT asked, CASE WHEN user_name IS NOT NULL THEN 'found' WHEN n > 1 THEN 'ambiguous' ELSE 'not found' END AS outcome, user_name, n FROM found""")
+def resolved_table(spark: SparkSession, root: str) -> DataFrame:
+    """All names of a table at once, hidden contacts left out."""
+    contacts = A.contacts(spark, root)
+    asked = A.table(spark, root, "customer").join(A.table(spark, root, "nation"), F.expr("c_nationkey = n_nationkey")).select(F.expr(ASKED).alias("asked"))
+    return resolve.resolve_all(contacts, asked, privacy.hidden_ids(contacts, HIDDEN, [TAG])).select("asked", "outcome", "user_name", "n")
+
+
 @query(f"""WITH {CON}, {HID}, q AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'u9@chatroom' ELSE 'u' || o_orderkey % 50 || CASE WHEN o_orderkey % 2 = 0 THEN '@chatroom' ELSE '' END END AS talker, 'c' || o_custkey AS quoted, 'c' || o_orderkey % 1500 AS sender FROM orders),
 f AS (SELECT *, talker LIKE '%@chatroom' AND talker NOT IN (SELECT id FROM hid) AS open, quoted IN (SELECT id FROM hid) AS q, sender IN (SELECT id FROM hid) AS s FROM q)
 SELECT o_orderkey, CASE WHEN NOT (open AND q) THEN quoted END AS refer_sender, CASE WHEN NOT (open AND q) THEN 'said' END AS refer_content FROM f WHERE NOT (open AND s)""")

@@ -148,6 +148,22 @@ def test_resolve(spark):
     assert ask("Sensitive", show_hidden=True).user_name == "tagged"
 
 
+def test_resolve_all_says_what_resolve_says(spark):
+    c, hidden = contacts(spark), spark.createDataFrame([("tagged",), ("gone@chatroom",)], "id string")
+    asked = ["wxid_any", "x@chatroom", "gone@chatroom", "filehelper", "alice", "user007", "nobody99", "tagged", "oslo", "Work", "james", "  ", "", "nothing", "Sensitive", "al", "AL", "a", "é", "zz", "Alice ", "%", "filehelper"]
+    for show in (False, True):
+        want = {}
+        for a in asked:
+            try:
+                r = resolve.resolve(c, a, hidden, show_hidden=show)
+                want[a] = ("found", r.user_name, r.display_name)
+            except (resolve.NotFound, resolve.Ambiguous) as e:
+                want[a] = ("not found" if isinstance(e, resolve.NotFound) else "ambiguous", None, None)
+        got = resolve.resolve_all(c, spark.createDataFrame([(a,) for a in [*asked, None]], "asked string"), hidden, show).collect()
+        assert {r.asked: (r.outcome, r.user_name, r.display_name) for r in got} == want and len(got) == len(want)
+    assert resolve.resolve_all(c, spark.createDataFrame([], "asked string")).count() == 0
+
+
 def test_timeline(spark):
     s = store(spark)
     t = 1700000000
