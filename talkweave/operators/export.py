@@ -1,7 +1,7 @@
 """A conversation as text lines or JSON, and its summary.
 
-Lines depend on running state (the date before, counters of media), which are windows over one
-conversation in its order."""
+Lines depend on running state (the date before, counters of media), which is computed in ranges of a
+conversation (see running), so a long one is many tasks."""
 
 from __future__ import annotations
 
@@ -9,10 +9,10 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from talkweave.functions import text
 from talkweave.operators.messages import KEY, ordered
+from talkweave.operators.running import running
 
 # Wording of exported texts.
 HEADER_GROUP, HEADER_PRIVATE = '"{talker}"的聊天记录如下:', '"{own}"和"{talker}"的聊天记录如下:'
@@ -26,30 +26,39 @@ def meta(messages: DataFrame) -> DataFrame:
     return messages.groupBy("talker").agg(F.count("*").alias("n"), F.min("create_time").alias("first_time"), F.max("create_time").alias("last_time"))
 
 
+def _dated(messages: DataFrame) -> DataFrame:
+    return messages.withColumn("date", F.to_date(F.timestamp_seconds("create_time")))
+
+
+def _is_break(before: str) -> Column:
+    return ~F.coalesce(F.col(before) == F.col("date"), F.lit(False))
+
+
 def date_breaks(messages: DataFrame) -> DataFrame:
     """Adds date and is_break: whether a message's date differs from the one before it in its conversation."""
-    w = Window.partitionBy("talker").orderBy(*ordered(True))
-    d = messages.withColumn("date", F.to_date(F.timestamp_seconds("create_time")))
-    return d.withColumn("is_break", ~F.coalesce(F.lag("date").over(w) == F.col("date"), F.lit(False)))
+    d = running(_dated(messages), ["talker"], ordered(True), previous={"__day": "date"})
+    return d.withColumn("is_break", _is_break("__day")).drop("__day")
 
 
 def counters(messages: DataFrame, kind_col: str = "media_kind") -> DataFrame:
     """Adds number: how many media of its kind there are in the conversation up to each message; null for others."""
-    w = Window.partitionBy("talker", kind_col).orderBy(*ordered(True)).rowsBetween(Window.unboundedPreceding, 0)
-    return messages.withColumn("number", F.when(F.col(kind_col).isNotNull(), F.count("*").over(w)))
+    d = running(messages, ["talker", kind_col], ordered(True), rank="number")
+    return d.withColumn("number", F.when(F.col(kind_col).isNotNull(), F.col("number")))
 
 
 def txt_lines(messages: DataFrame, own_name: str, show_emoji: bool = False) -> DataFrame:
-    """(position, line) of enriched messages of one conversation; media_kind and filename where a file was written."""
-    d = counters(date_breaks(messages))
-    label = F.concat(F.coalesce(*(F.when(F.col("media_kind") == k, v) for k, v in MEDIA_LABELS.items())), F.col("number").cast("string"))
+    """(position, line) of enriched messages of one conversation; media_kind and filename where a file was written.
+
+    The position, the date before and the counters of media come from one pass over ranges of the conversation."""
+    kinds = {f"__{k}": F.col("media_kind") == k for k in MEDIA_LABELS}
+    d = running(_dated(messages), ["talker"], ordered(True), "position", kinds, {"__day": "date"})
+    label = F.coalesce(*(F.when(F.col("media_kind") == k, F.concat(F.lit(v), F.col(f"__{k}").cast("string"))) for k, v in MEDIA_LABELS.items()))
     body = F.when(F.col("media_kind").isNotNull(), F.concat(label, F.lit(ATTACHED))).when((F.col("content_kind") == "Emoji") & F.lit(not show_emoji), EMOJI).otherwise(F.col("snippet"))
     name = F.when(F.col("direction") == "outgoing", own_name).otherwise(F.col("sender_display_name"))
     dash = "—" * 5
-    stop = F.when(F.col("is_break"), F.concat(F.lit(f"\n\n{dash}  "), F.date_format("date", "y-M-d"), F.lit(f"  {dash}\n"))).otherwise("")
+    stop = F.when(_is_break("__day"), F.concat(F.lit(f"\n\n{dash}  "), F.date_format("date", "y-M-d"), F.lit(f"  {dash}\n"))).otherwise("")
     line = F.concat(stop, F.lit("\n"), name, F.lit(" "), text.clock(F.col("create_time"), "HH:mm"), F.lit("\n"), body, F.lit("\n"))
-    w = Window.partitionBy("talker").orderBy(*ordered(True))
-    return d.select(F.row_number().over(w).alias("position"), line.alias("line"), F.when(F.col("media_kind").isNotNull(), label).alias("label"), "filename")
+    return d.select("position", line.alias("line"), F.when(F.col("media_kind").isNotNull(), label).alias("label"), "filename")
 
 
 def txt(messages: DataFrame, talker_name: str, own_name: str, group: bool, exported_at: str, show_emoji: bool = False) -> str:

@@ -2,7 +2,7 @@
 
 Messages are ordered by (sort_seq, create_time, server_id). Pages are TakeOrderedAndProject, so no
 partition keeps more than offset + limit rows; filters on talker, create_time and msg_type reach the
-Parquet scan."""
+Parquet scan of a written store (an adapter's talker and time are expressions, and are filtered after it)."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from talkweave import schema as S
 from talkweave.functions.content import matches, searchable
+from talkweave.operators.running import running
 from talkweave.page import effective_limit
 
 KEY = ("sort_seq", "create_time", "server_id")
@@ -120,19 +121,24 @@ def around_server_id(messages: DataFrame, q: MessageQuery) -> DataFrame:
 def around_many(messages: DataFrame, pivots: DataFrame, context: int) -> DataFrame:
     """Context of many pivots (talker, pivot_seq) at once: each pivot's rows with its pivot_seq.
 
-    Rows and pivots of a talker are ranked together in one window, so a row's distance to a pivot is a difference
-    of running counts, and each pivot joins only the ranks within reach, not all rows of its talker."""
-    w = Window.partitionBy("talker").orderBy(*ordered(True))
-    ranked = messages.withColumn("__rank", F.row_number().over(w))
-    edges = ranked.groupBy("talker", "sort_seq").agg(F.min("__rank").alias("first"), F.max("__rank").alias("last"))
-    below = Window.partitionBy("talker").orderBy("at", "kind")
-    marks = pivots.select("talker", F.col("pivot_seq").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last")).distinct()
-    both = marks.unionByName(edges.select("talker", F.col("sort_seq").alias("at"), F.lit(1).alias("kind"), "first", "last"))
-    placed = both.withColumn("before", F.coalesce(F.last("last", True).over(below.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    nxt = placed.withColumn("here", F.lead(F.when((F.col("kind") == 1), F.struct("at", "last"))).over(below)).filter("kind = 0")
-    reach = nxt.select("talker", F.col("at").alias("pivot_seq"), (F.col("before") - context + 1).alias("low"), (F.when(F.col("here.at") == F.col("at"), F.col("here.last")).otherwise(F.col("before")) + context).alias("high"))
-    each = reach.withColumn("__rank", F.explode(F.sequence(F.greatest("low", F.lit(1)), F.greatest("high", F.lit(1))))).drop("low", "high")
-    return ranked.join(each, ["talker", "__rank"]).drop("__rank")
+    Rows and pivots of a talker stand in one order, in which the running count of rows is the rank of a row and, at a
+    pivot, the number of rows before it. Rows at a pivot meet it by their key; those around it by at most `context`
+    ranks on either side. No talker is one task (see running)."""
+    kind, seq = F.lit(1).alias("__kind"), F.col("pivot_seq").alias("sort_seq")
+    marks = pivots.select("talker", seq, F.lit(0).alias("__kind")).distinct()
+    both = messages.select("*", kind).unionByName(marks, allowMissingColumns=True)
+    order = [F.col(c).asc() for c in ("sort_seq", "__kind", *KEY[1:])]  # a pivot comes before the rows at it
+    placed = running(both, ["talker"], order, counts={"__rank": F.col("__kind") == 1})
+    rows = placed.filter("__kind = 1").drop("__kind")
+    at = marks.select("talker", "sort_seq", F.lit(1).alias("__one"))
+    same = rows.join(at, ["talker", "sort_seq"]).drop("__one")
+    held = same.groupBy("talker", "sort_seq").agg(F.count("*").alias("__n"))
+    reach = placed.filter("__kind = 0").select("talker", "sort_seq", F.col("__rank").alias("__before")).join(held, ["talker", "sort_seq"], "left")
+    below = F.col("__before") + F.coalesce("__n", F.lit(0))
+    ranks = F.transform(F.sequence(F.lit(1), F.lit(max(context, 1))), lambda k: F.array(F.col("__before") - k + 1, below + k))
+    each = reach.select("talker", F.col("sort_seq").alias("pivot_seq"), F.explode(F.flatten(ranks)).alias("__rank")).filter(F.lit(context > 0) & (F.col("__rank") > 0))
+    out = same.withColumn("pivot_seq", F.col("sort_seq")).unionByName(rows.join(each, ["talker", "__rank"]))
+    return out.drop("__rank")
 
 
 def count_messages(messages: DataFrame, q: MessageQuery, with_keyword: bool = False) -> DataFrame:

@@ -193,7 +193,7 @@ def export_lines(spark: SparkSession, root: str) -> DataFrame:
     d = A.events(spark, root).filter("talker = 'u7'")
     kind = F.when(F.col("msg_type") == 3, "image").when(F.col("msg_type") == 49, "file")
     d = d.withColumns({"media_kind": kind, "filename": F.lit("f"), "snippet": F.col("content.text"), "sender_display_name": F.col("sender"), "direction": text.direction(F.col("sender"), "c7")})
-    return export.txt_lines(d, "Me").select("position", "line")
+    return export.txt_lines(d, "Me").select(F.col("position").cast("int").alias("position"), "line")
 
 
 @query(f"""WITH {CON} SELECT user_name, '  ' || rpad(CASE WHEN remark <> '' THEN remark WHEN nick_name <> '' THEN nick_name ELSE '' END || CASE WHEN (remark <> '' OR nick_name <> '') AND alias <> '' THEN ' / ' ELSE '' END || alias, 30, ' ') || ' (' || user_name || ')' AS head
