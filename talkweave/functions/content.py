@@ -35,7 +35,9 @@ def with_content(d: DataFrame, body: str, compressed: str | None = None, packed:
     d = d.withColumn("__xml", xml)
     x, is_ = F.col("__xml"), lambda *names: F.col("content_kind").isin(list(names))
     info = wire.packed_info(F.col(packed)) if packed else F.lit(None).cast("struct<image_md5: string, video_md5: string>")
-    quote, pay, file = xmltext.quote_fields(x), xmltext.transfer_fields(x), xmltext.file_fields(x)
+    block, quoted = xmltext.quote_parts(x)
+    d = d.withColumns({"__block": F.when(is_("Quote"), block), "__quoted": F.when(is_("Quote"), quoted)})
+    quote, pay, file = xmltext.quote_fields(x, F.col("__block"), F.col("__quoted")), xmltext.transfer_fields(x), xmltext.file_fields(x)
     d = d.withColumns({
         "__info": info,
         "__title": F.when(app & ~is_("Quote", "Transfer", "Pat"), xmltext.tag_text(x, "title")),
@@ -45,7 +47,7 @@ def with_content(d: DataFrame, body: str, compressed: str | None = None, packed:
         **{f"__{k}": F.when(is_("Transfer"), c) for k, c in pay.items()},
         **{f"__{k}": F.when(is_("File"), c) for k, c in file.items() if k != "title"},
     })
-    shown = F.nullif(F.col("__title"), F.lit("null"))
+    shown = xmltext.without(F.col("__title"), "null")
     title = F.when(is_("File"), F.col("__title")).when(is_("ChannelVideo"), F.coalesce(shown, F.col("__des"))).otherwise(shown)
     values = {
         "text": F.when(is_(*PLAIN), F.when(is_("System"), xmltext.system_text(F.col(body))).otherwise(F.col(body))).when(is_("Unknown"), F.col(body)),
@@ -100,13 +102,12 @@ def matches(texts: Column, keyword: str) -> Column:
 
 def index_text(k: Column, c: Column) -> Column:
     """What the search index takes of a body; null for media, system messages and pats."""
-    some = xmltext.empty_as_null
-    fields = xmltext.indexed_fields(c["raw_xml"])
+    some, fields = xmltext.empty_as_null, xmltext.indexed_fields(c["raw_xml"])
+    own = F.when(k.isin("Link", "AppGeneric"), F.concat_ws(" ", c["title"], c["des"])).when(k == "Quote", F.concat_ws(" ", c["reply_text"], c["refer_content"])).otherwise(c["title"])
     return (
         F.when(k.isin("Text", "Emoji", "Location", "Revoke", "Unknown"), c["text"])
-        .when(k.isin("Link", "AppGeneric"), some(F.coalesce(some(fields), F.concat_ws(" ", c["title"], c["des"]))))
-        .when(k.isin("File", "MiniProgram", "MergedMessages"), some(F.coalesce(some(c["title"]), fields)))
-        .when(k == "Quote", some(F.coalesce(some(F.concat_ws(" ", c["reply_text"], c["refer_content"])), fields)))
+        .when(k.isin("Link", "AppGeneric"), some(F.coalesce(some(fields), own)))
+        .when(k.isin("File", "MiniProgram", "MergedMessages", "Quote"), some(F.coalesce(some(own), fields)))
         .when(k == "Transfer", some(F.concat_ws(" ", c["amount_desc"], c["pay_memo"])))
         .when(k.isin("RedEnvelope", "ChannelVideo"), c["title"])
     )

@@ -154,3 +154,42 @@ def test_built_in_tokens_equal_python(spark, names):
     d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
     got = [r.x for r in d.select("k", tokens(F.col("t"), options).alias("x")).orderBy("k").collect()]
     assert got == [tokenize(t, options) for t in texts]
+
+
+def test_tags_once_evaluated(spark):
+    cases = {
+        r"<title><![CDATA[a $1 \ <b>]]></title>": r"a $1 \ <b>",
+        "<title><![CDATA[]]></title>": None,
+        "<title></title>": None,
+        "<title>a &amp;lt; b</title>": "a < b",
+        "<title> <![CDATA[x]]></title>": " <![CDATA[x]]>",
+        "<title>one</title><title>two</title>": "one",
+        "<title>open": None,
+        "": None,
+    }
+    d = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "xml string, want string")
+    assert d.filter(~xmltext.tag_text(F.col("xml"), "title").eqNullSafe(F.col("want"))).count() == 0
+    numbers = {"7": 7, "+7": 7, "": None, "-1": None, "7a": None, "4294967295": 4294967295, "4294967296": None, "9" * 40: None, None: None}
+    d = spark.createDataFrame(list(numbers.items()), "n string, want long")
+    assert d.filter(~xmltext.unsigned(F.col("n"), 2**32 - 1).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_all_kinds_of_bodies_compile(spark):
+    """No stage of decoding, rendering or indexing falls back to interpreted expressions."""
+    from talkweave.functions import content
+    from talkweave.plans.bodies import CODES
+
+    quote = "<msg><appmsg><title>re &amp; re</title><des>d</des><refermsg><type>49</type><chatusr>u</chatusr><displayname>U</displayname><content>&lt;appmsg&gt;&lt;title&gt;inner&lt;/title&gt;</content></refermsg></appmsg></msg>"
+    d = spark.createDataFrame([(c & 0xFFFFFFFF, c >> 32, quote) for c in CODES], "msg_type long, sub_type long, body string").repartition(2)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.codegen.fallback", "spark.sql.codegen.factoryMode")}
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    try:
+        k, c = F.col("content_kind"), F.col("content")
+        got = content.with_content(d, "body").select(k, content.snippet(k, c).alias("s"), content.index_text(k, c).alias("i"), content.searchable(k, c).alias("t"), xmltext.quote_sender(F.col("content.raw_xml")).alias("q")).collect()
+    finally:
+        for key, v in before.items():
+            spark.conf.set(key, v)
+    rows = {r.content_kind: r for r in got}
+    assert len(got) == len(CODES) and rows["Quote"].s == "[引用 @U: inner] re & re" and rows["Quote"].i == "re & re inner" and rows["Quote"].t == ["re & re", "inner"] and rows["Quote"].q == "u"
+    assert rows["Link"].i == "re &amp; re\nd" and rows["Pat"].i is None
