@@ -234,14 +234,16 @@ class ChatStore:
         return export.txt(d, names.get(talker, talker), names.get(self.own, self.own), talker.endswith(S.GROUP_SUFFIX), exported_at)
 
     def events(self, sessions: DataFrame, new: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """Tagged rows of the streams of session listings (with snapshot) and of messages: moved sessions and new messages, hidden ones left out."""
+        """Tagged rows of the streams of session listings (with snapshot) and of messages: moved sessions and new messages, for
+        streaming.delivery. Cursors move over hidden messages too; talkers that are hidden, and hidden senders in groups, are left out after that."""
         from talkweave.streaming import changes
 
         moved = privacy.visible(changes.session_events(sessions, known), self.hidden(), "username")
         start = messages.max_seq(self.messages, self.sessions)
         base = messages.watermark(self.messages, self.sessions).first()["watermark"]
         fresh = privacy.visible(changes.new_messages(new, base, start), self.hidden())
-        return changes.tagged(moved, "session").unionByName(changes.tagged(fresh, "message"))
+        fresh = privacy.drop_hidden_senders(fresh, self.hidden()) if "sender" in fresh.columns else fresh
+        return changes.tagged(moved, "session", "username", "snapshot").unionByName(changes.tagged(fresh, "message", "talker", "sort_seq", "server_id"))
 
     def watch(self, sessions: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Moved sessions of a stream of listings, enriched and redacted."""

@@ -78,9 +78,10 @@ def new_messages(messages: DataFrame, baseline: int = 0, cursors: DataFrame | No
     return messages.groupBy("talker").transformWithStateInPandas(NewMessages(baseline), messages.schema, "append", "none", initialState=known)
 
 
-def tagged(events: DataFrame, kind: str) -> DataFrame:
-    """(type, payload): rows of a stream as JSON under the name of their kind."""
-    return events.select(F.lit(kind).alias("type"), F.to_json(F.struct(*events.columns)).alias("payload"))
+def tagged(events: DataFrame, kind: str, talker: str | None = None, seq: str | None = None, number: str | None = None) -> DataFrame:
+    """(type, talker, seq, id, payload): rows of a stream as JSON under the name of their kind, and their keys as columns; keys that are not named are null."""
+    keys = [(F.col(c) if c else F.lit(None)).cast(t).alias(n) for c, t, n in ((talker, "string", "talker"), (seq, "long", "seq"), (number, "long", "id"))]
+    return events.select(F.lit(kind).alias("type"), *keys, F.to_json(F.struct(*events.columns)).alias("payload"))
 
 
 def replay_sessions(snapshots: DataFrame) -> DataFrame:
