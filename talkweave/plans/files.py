@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.functions import text
+from talkweave.operators import media
 from talkweave.plans.catalog import query
 from talkweave.plans.views import EVT
 from talkweave.session import shared
@@ -117,3 +118,41 @@ def ingest_replay(spark: SparkSession, root: str) -> DataFrame:
     for _ in range(2):  # the second time there is nothing to do
         ingest.follow(spark, at + "/message", kept).awaitTermination()
     return _told(ingest.messages(spark, kept))
+
+
+def write_resources(rows: DataFrame, root: str) -> None:
+    """Resource files of rows (file, local_id, packed_info), one task a file."""
+
+    def put(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        at = f"{root}/message/message_resource_{key[0].as_py()}.db"
+        with tempfile.TemporaryDirectory() as folder:
+            db = sqlite3.connect(f"{folder}/x.db")
+            db.execute("CREATE TABLE MessageResourceInfo (local_id INTEGER PRIMARY KEY, packed_info BLOB)")
+            db.executemany("INSERT INTO MessageResourceInfo VALUES (?, ?)", zip(table.column("local_id").to_pylist(), table.column("packed_info").to_pylist(), strict=True))
+            db.commit()
+            db.close()
+            save(f"{folder}/x.db", at)
+        return pa.table({"path": [at]})
+
+    rows.groupBy("file").applyInArrow(put, "path string").count()
+
+
+def resource_rows(spark: SparkSession, root: str) -> DataFrame:
+    """A resource for four parts in five, with a digest behind the marker, one alone, one in upper case, or none."""
+    d, k = A.table(spark, root, "part"), F.col("p_partkey")
+    each = max(1, d.count() // 100_000)
+    digest, head = F.md5(F.col("p_name").cast("binary")), F.unhex(F.lit("080112220A20"))
+    blob = F.when(k % 4 == 0, F.concat(head, digest.cast("binary"))).when(k % 4 == 1, digest.cast("binary")).when(k % 4 == 2, F.concat(head, F.upper(F.concat(F.lit("f"), F.substr(digest, F.lit(2)))).cast("binary"))).otherwise(F.lit(b"none"))
+    return d.filter(k % 5 != 0).select(F.pmod(F.xxhash64(k), F.lit(4 * each)).cast("int").alias("file"), k.cast("long").alias("local_id"), blob.alias("packed_info"))
+
+
+DIGEST = "CASE WHEN l_partkey % 5 <> 0 AND l_partkey % 4 < 2 THEN md5(p_name) END"
+
+
+@query(f"SELECT (l_orderkey * 10 + l_linenumber)::BIGINT AS server_id, {DIGEST} AS digest FROM lineitem LEFT JOIN part ON p_partkey = l_partkey")
+def resource_lookup(spark: SparkSession, root: str) -> DataFrame:
+    """Digests of all messages by the local ids of their resources, which are read from files."""
+    at = shared(spark)
+    write_resources(resource_rows(spark, root), at)
+    d = A.lines(spark, root).select("server_id", F.col("l_partkey").cast("long").alias("local_id"))
+    return media.with_resource(d, Q.resources(spark, at)).select("server_id", F.col("resource_md5").alias("digest"))

@@ -246,3 +246,13 @@ def sender_names(spark: SparkSession, root: str, **options) -> DataFrame:
     schema = T.StructType([T.StructField("rowid", T.LongType()), T.StructField("user_name", T.StringType())])
     d = tables(spark, root, schema, "Name2Id", **{"glob": "message_*.db", "pattern": NUMBERED} | options)
     return d.select(F.col(PATH).alias("shard"), F.col("rowid").alias("id"), "user_name", PATH, WARNING)
+
+
+_RESOURCE = T.StructType([T.StructField("local_id", T.LongType()), T.StructField("packed_info", T.BinaryType())])
+
+
+def resources(spark: SparkSession, root: str, local_id: int | None = None, **options) -> DataFrame:
+    """(local_id, packed_info) of the resource files, with path and warning; of one local id, for which the files are asked, or of all."""
+    how = {"glob": "message_resource*.db"} | options
+    d = tables(spark, root, _RESOURCE, "MessageResourceInfo", pushdown=local_id is not None, **how).select(*_RESOURCE.names, PATH, WARNING)
+    return d if local_id is None else d.filter(F.col("local_id") == local_id)

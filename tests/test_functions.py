@@ -122,6 +122,7 @@ def test_wire():
     assert wire.contact_extra(full) == {"gender": 1, "signature": None, "region": "CN · SZ", "source_scene": None, "phone": "555", "label_ids": ["5", "6"]}
     assert wire.contact_extra(field(14, 2, field(1, 0, 0) + field(2, 2, field(1, 2, b"555"))))["phone"] is None
     assert wire.resource_md5(b"xx\x12\x22\x0a\x20" + md5.encode()) == md5
+    assert wire.resource_md5(b"\x12\x22\x0a\x20" + md5.upper().encode() + b"." + md5.encode()) == md5  # upper case is no digest
     assert wire.resource_md5(b"zz" + md5.encode()) == md5 and wire.resource_md5(b"a-" + md5.encode()) is None
 
 

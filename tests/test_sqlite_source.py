@@ -175,3 +175,28 @@ def test_a_stream_takes_steps_and_a_store_opens_them(spark, tmp_path):
     s = ChatStore.open(spark, root, "me", ingested=at)
     got = s.history("alice", order="asc").items.collect()
     assert [(r.sort_seq, r.sender, r.snippet) for r in got] == [(i, "me", f"b{i}") for i in (0, 1, 2, 3, 10, 11, 12, 13)] and s.warnings == []
+
+
+def test_resources_by_local_id(spark, tmp_path):
+    from talkweave.operators import media
+
+    digest = b"0123456789abcdef" * 2
+    mark = b"\x12\x22\x0a\x20"
+    os.makedirs(f"{tmp_path}/message")
+    for name, rows in (("message_resource.db", [(1, mark + digest), (2, b"none"), (3, None), (5, mark + digest[::-1])]), ("message_resource_1.db", [(5, mark + digest), (6, digest)])):
+        db = sqlite3.connect(f"{tmp_path}/message/{name}")
+        db.execute("CREATE TABLE MessageResourceInfo (local_id INTEGER, packed_info BLOB)")
+        db.executemany("INSERT INTO MessageResourceInfo VALUES (?, ?)", rows)
+        db.commit()
+        db.close()
+    with open(f"{tmp_path}/message/message_resource_2.db", "wb") as f:
+        f.write(b"no database")
+    one = Q.resources(spark, str(tmp_path), 5)
+    assert sorted(bytes(r.packed_info) for r in one.filter("warning is null").collect()) == sorted([mark + digest[::-1], mark + digest])
+    assert Q.resources(spark, str(tmp_path), 9).filter("warning is null").count() == 0
+    every = Q.resources(spark, str(tmp_path))
+    assert every.filter("warning is not null").count() == 1
+    d = spark.createDataFrame([(k, f"m{k}") for k in (1, 1, 2, 3, 4, 5, 6)] + [(None, "x")], "local_id long, m string")
+    got = sorted((r.m, r.resource_md5) for r in media.with_resource(d, every).collect())
+    text = digest.decode()
+    assert got == [("m1", text), ("m1", text), ("m2", None), ("m3", None), ("m4", None), ("m5", text[::-1]), ("m6", text), ("x", None)]
