@@ -11,7 +11,9 @@ from talkweave.operators import export, media
 from talkweave.operators import messages as M
 from talkweave.plans.catalog import query
 from talkweave.plans.views import CONV, EVT, LIN
+from talkweave.session import shared
 from talkweave.sources import adapters as A
+from talkweave.sources import monthly
 
 CONV_COLUMNS = ("talker", "sort_seq", "create_time", "server_id", "sender", "snippet")
 EVT_COLUMNS = ("talker", "sort_seq", "create_time", "server_id", "sender", "msg_type")
@@ -179,3 +181,24 @@ def media_tag_stats(spark: SparkSession, root: str) -> DataFrame:
 def table_names(spark: SparkSession, root: str) -> DataFrame:
     d = A.lines(spark, root).groupBy("talker").agg(F.max("create_time").alias("t"), F.count("*").alias("n"))
     return d.select("talker", text.table_name(F.col("talker")).alias("table_name"), text.month(F.col("t")).alias("last_month"), "n")
+
+
+@query(f"""WITH {LIN}, seen AS (SELECT * FROM lin WHERE talker <> 's3' AND NOT (talker LIKE '%@chatroom' AND sender = 'c5'))
+SELECT * FROM (SELECT 'latest' AS page, {KEYS} FROM seen WHERE talker = 's7' ORDER BY sort_seq DESC, create_time DESC, server_id DESC LIMIT 40 OFFSET 15)
+UNION ALL SELECT * FROM (SELECT 'first' AS page, {KEYS} FROM seen WHERE talker = 's8' AND local_type = 3 AND create_time >= 730000000 ORDER BY sort_seq, create_time, server_id LIMIT 25)
+UNION ALL SELECT * FROM (SELECT 'all' AS page, {KEYS} FROM seen ORDER BY sort_seq DESC, create_time DESC, server_id DESC LIMIT 300)
+UNION ALL SELECT * FROM (SELECT 'after' AS page, {KEYS} FROM seen WHERE talker = 's9' AND sort_seq > 800000000000 ORDER BY sort_seq, create_time, server_id LIMIT 30)""")
+def stored_pages(spark: SparkSession, root: str) -> DataFrame:
+    """Pages of a store by months: each reads the months that its counts say it needs."""
+    at, hidden = shared(spark), spark.createDataFrame([("s3",), ("c5",)], "id string")
+    monthly.write(A.lines(spark, root).select("talker", "sender", "msg_type", *M.KEY), at)
+    asked = {
+        "latest": M.MessageQuery(talker="s7", limit=40, offset=15),
+        "first": M.MessageQuery(talker="s8", msg_type=3, since=730000000, ascending=True, limit=25),
+        "all": M.MessageQuery(limit=300),
+        "after": M.MessageQuery(talker="s9", after_sort_seq=800000000000, limit=30),
+    }
+    first, *more = (monthly.page(spark, at, q, hidden).select(F.lit(k).alias("page"), "talker", *M.KEY) for k, q in asked.items())
+    for d in more:
+        first = first.unionByName(d)
+    return first

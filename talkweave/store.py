@@ -48,6 +48,7 @@ class ChatStore:
     index: tuple[DataFrame, DataFrame] | None = None
     warnings: list[str] = field(default_factory=list)
     skipped: int = 0
+    months: str | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, own: str = "", settings: Settings | None = None, core: bool = False, ingested: str | None = None) -> ChatStore:
@@ -100,6 +101,14 @@ class ChatStore:
             d.cache()
         return self
 
+    def by_months(self, root: str) -> ChatStore:
+        """Writes the messages by month below root; pages of history read the months that they need from now on."""
+        from talkweave.sources import monthly
+
+        monthly.write(self.messages, root)
+        self.months, self.messages = root, monthly.read(self.messages.sparkSession, root).select(*self.messages.columns)
+        return self
+
     @property
     def resolver(self) -> DataFrame:
         return people.names(self.contacts)
@@ -157,7 +166,13 @@ class ChatStore:
         """Messages of a conversation. total counts all of them in range, hidden senders too; with count_filtered those with the keyword."""
         q = messages.MessageQuery(None, since, until, labels.parse_msg_type(type), keyword, limit, offset, ascending(order), around_sort_seq, around_server_id, after_sort_seq, context).validate()
         q = q.with_(talker=self._talker(contact, shown(show_hidden)))
-        d = people.enrich_messages(messages.page(self.messages, q), self.resolver, self.own)
+        if self.months is None:
+            page = messages.page(self.messages, q)
+        else:
+            from talkweave.sources import monthly
+
+            page = monthly.page(self.messages.sparkSession, self.months, q)
+        d = people.enrich_messages(page, self.resolver, self.own)
         d = d if shown(show_hidden) else privacy.project_messages(d, self.hidden())
         up = ascending(order) or any(a is not None for a in (around_sort_seq, around_server_id, after_sort_seq))
         total = messages.count_messages(self.messages, q, count_filtered).first()["total"]
