@@ -20,11 +20,6 @@ def hidden_ids(contacts: DataFrame, ignore_contacts: list[str], ignore_tags: lis
     return own.union(tagged.select(F.col("user_name").alias("id"))).distinct()
 
 
-def small(d: DataFrame, most: int = 100_000) -> DataFrame:
-    """d as a side to broadcast if it has at most so many rows, which is counted; else as it is."""
-    return F.broadcast(d) if d.limit(most + 1).count() <= most else d
-
-
 def visible(d: DataFrame, hidden: DataFrame, id_col: str = "talker") -> DataFrame:
     """Rows whose talker is not hidden."""
     return d.join(hidden.select(F.col("id").alias(id_col)), id_col, "left_anti")
@@ -46,17 +41,28 @@ def drop_hidden_senders(messages: DataFrame, hidden: DataFrame) -> DataFrame:
     return d.filter(~_hidden_in_group("__sender")).select(*messages.columns)
 
 
+def drop_hidden_members(messages: DataFrame, hidden: DataFrame) -> DataFrame:
+    """drop_hidden_senders() of messages whose talkers are all visible, as one anti join."""
+    h = hidden.select(F.col("id").alias("__h"))
+    return messages.join(h, F.when(text.is_group(F.col("talker")), F.col("sender")) == F.col("__h"), "left_anti")
+
+
 def project_messages(messages: DataFrame, hidden: DataFrame) -> DataFrame:
     """Drops messages of hidden senders in visible groups, and what quotes there tell of hidden senders (the snippet too, if there is one)."""
     d = _flag(drop_hidden_senders(messages, hidden), hidden, "talker", "__talker")
-    d = d.withColumn("__from", F.when(F.col("content_kind") == "Quote", xmltext.quote_sender(F.col("content.raw_xml"))))
-    d = _flag(d, hidden, "__from", "__quoted")
-    clear = _hidden_in_group("__quoted")
+    return clear_quotes(d, hidden, ~F.col("__talker")).select(*messages.columns)
+
+
+def clear_quotes(messages: DataFrame, hidden: DataFrame, seen: Column | None = None) -> DataFrame:
+    """Messages without what quotes in groups tell of hidden senders; seen: whether the group itself is visible, else all are."""
+    quoting = (F.col("content_kind") == "Quote") & text.is_group(F.col("talker")) & (F.lit(True) if seen is None else seen)
+    d = messages.withColumn("__from", F.when(quoting, xmltext.quote_sender(F.col("content.raw_xml"))))
+    d = _flag(d, hidden, "__from", "__clear")
     less = F.col("content").withField("refer_sender", F.lit(None).cast("string")).withField("refer_content", F.lit(None).cast("string")).withField("raw_xml", F.lit(""))
-    d = d.withColumn("__clear", clear).withColumn("content", F.when(F.col("__clear"), less).otherwise(F.col("content")))
+    d = d.withColumn("content", F.when(F.col("__clear"), less).otherwise(F.col("content")))
     if "snippet" in messages.columns:
         d = d.withColumn("snippet", F.when(F.col("__clear"), snippet(F.col("content_kind"), F.col("content"))).otherwise(F.col("snippet")))
-    return d.select(*messages.columns)
+    return d.drop("__from", "__clear")
 
 
 def media_allowed(messages: DataFrame, hidden: DataFrame) -> DataFrame:

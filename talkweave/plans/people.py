@@ -12,7 +12,9 @@ from talkweave.operators import privacy as V
 from talkweave.operators import timeline as T
 from talkweave.plans.catalog import query
 from talkweave.plans.views import CON, CONV, EVT, LIN, SES, named
+from talkweave.session import shared
 from talkweave.sources import adapters as A
+from talkweave.sources import monthly
 
 OWN = "c7"
 HIDDEN = ["u4", "u9@chatroom", "c12", "c33", "c48"]
@@ -129,6 +131,15 @@ def timeline_page(spark: SparkSession, root: str) -> DataFrame:
     return T.timeline_page(_timeline(spark, root), P.names(A.contacts(spark, root)), OWN, hidden(spark, root), 50, 20)
 
 
+@query(f"WITH {LINE}, n AS (SELECT count(*) AS total FROM line) SELECT line.*, total FROM line, n ORDER BY create_time, sort_seq, server_id LIMIT 40 OFFSET 7")
+def timeline_stored(spark: SparkSession, root: str) -> DataFrame:
+    """The first rows of a timeline and its total by stored months, of which only those are read that the page needs or the range cuts."""
+    d, at, h = A.events(spark, root), shared(spark), hidden(spark, root)
+    monthly.write(d, at)
+    rows, total = monthly.timeline(spark, at, A.sessions_of(d), 1704100000, 1706000000, None, h, 47, True)
+    return T.timeline_page(rows, P.names(A.contacts(spark, root)), OWN, h, 40, 7, True).withColumn("total", F.lit(total).cast("long"))
+
+
 @query(f"WITH {LINE} SELECT count(*) AS total, count(DISTINCT talker) AS conversations FROM line")
 def timeline_totals(spark: SparkSession, root: str) -> DataFrame:
     return T.totals(_timeline(spark, root))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from talkweave import schema as S
 from talkweave.operators import messages as M
+from talkweave.operators import timeline as TL
 from talkweave.operators.privacy import drop_hidden_senders, visible
 from talkweave.page import effective_limit
 
@@ -80,3 +81,27 @@ def page(spark: SparkSession, at: str, q: M.MessageQuery, hidden: DataFrame | No
         if bound is None or q.keyword is None or got.count() == limit:
             return got
         need *= 8
+
+
+def timeline(spark: SparkSession, at: str, sessions: DataFrame, since: int, until: int, msg_type: int | None = None, hidden: DataFrame | None = None, need: int = S.MAX_LIMIT, ascending: bool = False) -> tuple[DataFrame, int]:
+    """(rows, total): timeline.timeline() of the months that hold its first `need` rows in order of time, and how many rows all have.
+
+    Months follow each other in time, so the counts tell which are needed. The total is theirs too, but for months that
+    the range cuts (at most two where each month has all of its times), whose rows are counted."""
+    if since > until:
+        raise ValueError("since must not be after until")
+    s = spark.read.parquet(f"{at}/counts").filter((F.col("max_time") >= since) & (F.col("min_time") <= until))
+    s = TL.known(s if msg_type is None else s.filter(F.col("msg_type") == msg_type), sessions, hidden)
+    sure = (F.col("min_time") >= since) & (F.col("max_time") <= until)
+    by = s.groupBy("month").agg(F.sum("n").alias("n"), F.sum(F.when(sure, F.col("n")).otherwise(0)).alias("sure"), F.min("min_time").alias("t"))
+    rows = sorted(by.collect(), key=lambda r: r.t if ascending else -r.t)  # one a month
+    found, months = 0, []
+    for r in rows:
+        if found >= need:
+            break
+        months.append(r.month)
+        found += r.sure
+    all_rows = lambda own: TL.timeline(read(spark, at).filter(F.col("month").isin(own)), sessions, since, until, msg_type, hidden).drop("month")
+    cut = [r.month for r in rows if r.sure < r.n]
+    total = sum(r.n for r in rows if r.sure == r.n) + (all_rows(cut).count() if cut else 0)
+    return all_rows(months), total

@@ -180,8 +180,14 @@ class ChatStore:
 
     def timeline(self, since: int, until: int, limit: int = DEFAULTS["other"], offset: int = 0, type: str | None = None, order: str | None = None, show_hidden: bool = False) -> Page:  # noqa: A002
         hidden = None if shown(show_hidden) else self.hidden()
-        rows = timeline.timeline(self.messages, self.sessions, since, until, labels.parse_msg_type(type), hidden)
-        return Page(timeline.timeline_page(rows, self.resolver, self.own, hidden, limit, offset, ascending(order)), effective_limit(limit), offset, rows.count())
+        if self.months is None:
+            rows = timeline.timeline(self.messages, self.sessions, since, until, labels.parse_msg_type(type), hidden)
+            total = rows.count()
+        else:
+            from talkweave.sources import monthly
+
+            rows, total = monthly.timeline(self.messages.sparkSession, self.months, self.sessions, since, until, labels.parse_msg_type(type), hidden, offset + effective_limit(limit), ascending(order))
+        return Page(timeline.timeline_page(rows, self.resolver, self.own, hidden, limit, offset, ascending(order)), effective_limit(limit), offset, total)
 
     def build_index(self, options: Options = Options(), root: str | None = None) -> ChatStore:
         """Searches use the index from now on. root: where it is stored, and read again as long as the messages are the same."""

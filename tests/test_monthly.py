@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkweave.operators import messages as M
+from talkweave.operators import timeline as T
 from talkweave.operators.privacy import drop_hidden_senders, visible
 from talkweave.sources import monthly
 from talkweave.sources.adapters import text_content
@@ -60,6 +61,23 @@ def test_a_page_reads_as_many_months_of_a_long_store_as_of_a_short_one(spark, tm
         assert monthly.reach(spark.read.parquet(f"{at}/counts"), M.MessageQuery(), 20)[0] != []
 
 
+def test_timelines_equal_those_of_all_rows_and_read_few_months(spark, tmp_path):
+    d, at = rows(spark, 12), str(tmp_path)
+    monthly.write(d, at)
+    sessions = spark.createDataFrame([("a",), ("g@chatroom",), ("h",), ("h",)], "username string")
+    for hidden in (None, spark.createDataFrame([("h",), ("y",)], "id string")):
+        for since, until, kind in ((0, 12 * MONTH, None), (2 * MONTH + 9999, 7 * MONTH + 5, 1), (99 * MONTH, 100 * MONTH, None)):
+            want = sorted(tuple(r) for r in T.timeline(d, sessions, since, until, kind, hidden).select(*T.KEY, "talker").collect())
+            for up, need in ((False, 30), (True, 1), (True, 10_000)):
+                got, total = monthly.timeline(spark, at, sessions, since, until, kind, hidden, need, up)
+                assert total == len(want)
+                assert sorted((tuple(r) for r in got.select(*T.KEY, "talker").collect()), reverse=not up)[:need] == (want if up else want[::-1])[:need]
+    got, _ = monthly.timeline(spark, at, sessions, 0, 12 * MONTH, need=40)
+    assert len(months_read(got)) == 2
+    with pytest.raises(ValueError):
+        monthly.timeline(spark, at, sessions, 5, 4)
+
+
 def test_rows_without_a_time_and_an_empty_store(spark, tmp_path):
     d = made(spark, [("a", "x", 1, 5, None, 1, "Text", "t"), ("a", "x", 1, 6, 10, 2, "Text", "t")])
     monthly.write(d, f"{tmp_path}/one")
@@ -75,3 +93,5 @@ def test_history_of_a_store_by_months(spark, tmp_path):
     for how in ({"limit": 2}, {"order": "asc", "limit": 3, "offset": 1}, {"keyword": "e"}):
         for who in ("alice", "g@chatroom"):
             assert kept.history(who, **how).to_dict() == plain.history(who, **how).to_dict()
+    for how in ({"limit": 3}, {"order": "asc", "limit": 2, "offset": 1, "show_hidden": True}, {"type": "text"}):
+        assert kept.timeline(0, 2_000_000_000, **how).to_dict() == plain.timeline(0, 2_000_000_000, **how).to_dict()
