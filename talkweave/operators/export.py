@@ -53,8 +53,8 @@ def txt_lines(messages: DataFrame, own_name: str, show_emoji: bool = False) -> D
     kinds = {f"__{k}": F.col("media_kind") == k for k in MEDIA_LABELS}
     d = running(_dated(messages), ["talker"], ordered(True), "position", kinds, {"__day": "date"})
     label = F.coalesce(*(F.when(F.col("media_kind") == k, F.concat(F.lit(v), F.col(f"__{k}").cast("string"))) for k, v in MEDIA_LABELS.items()))
-    body = F.when(F.col("media_kind").isNotNull(), F.concat(label, F.lit(ATTACHED))).when((F.col("content_kind") == "Emoji") & F.lit(not show_emoji), EMOJI).otherwise(F.col("snippet"))
-    name = F.when(F.col("direction") == "outgoing", own_name).otherwise(F.col("sender_display_name"))
+    body = F.when(F.col("media_kind").isNotNull(), F.concat(label, F.lit(ATTACHED))).when((F.col("content_kind") == "Emoji") & F.lit(not show_emoji), EMOJI).otherwise(F.coalesce("snippet", F.lit("")))
+    name = F.when(F.col("direction") == "outgoing", own_name).otherwise(F.coalesce("sender_display_name", F.lit("")))
     dash = "—" * 5
     stop = F.when(_is_break("__day"), F.concat(F.lit(f"\n\n{dash}  "), F.date_format("date", "y-M-d"), F.lit(f"  {dash}\n"))).otherwise("")
     line = F.concat(stop, F.lit("\n"), name, F.lit(" "), text.clock(F.col("create_time"), "HH:mm"), F.lit("\n"), body, F.lit("\n"))

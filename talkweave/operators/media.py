@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,10 +17,16 @@ from talkweave.functions import text
 COUNTS_AGAIN = {"thumbnail_image": False, "wxgf_transcoded": False, "wxgf_fallback": False, "silk_voice": True, "fallback_video": True, "fallback_file": True, "skipped_video": True, "skipped_file": True}
 
 
+def has_media() -> Column:
+    """Whether a message is classified as media; never null."""
+    k = F.col("content_kind")
+    return F.coalesce((k == "Voice") | (k.isin("Image", "Video", "File") & F.col("content")["md5"].isNotNull()), F.lit(False))
+
+
 def classify(messages: DataFrame) -> DataFrame:
     """Messages with media: all their columns, media_kind, md5, title and task_key. Media but voice need a hash."""
     c, k = F.col("content"), F.col("content_kind")
-    d = messages.filter((k == "Voice") | (k.isin("Image", "Video", "File") & c["md5"].isNotNull()))
+    d = messages.filter(has_media())
     t = F.col("create_time").cast("string")
     key = (
         F.when(k == "Image", F.concat(F.lit("img:"), c["md5"]))
@@ -135,16 +141,17 @@ def one_per_filename(resolved: DataFrame) -> DataFrame:
 
 
 def located(tasks: DataFrame, files: DataFrame, links: DataFrame, blobs: DataFrame) -> DataFrame:
-    """Tasks with path, filename and voice_data, by their kinds: of images the file's own name, of voices <server id>.silk."""
+    """Tasks with path, filename, voice_data and tags, by their kinds: of images the file's own name, of voices <server id>.silk."""
     base = F.element_at(F.split("path", "/"), -1)
+    told = lambda tag, when: F.when(when, F.array(F.lit(tag))).otherwise(F.array().cast("array<string>"))
     none = lambda *names: {c: F.lit(None).cast("binary" if c == "voice_data" else "string") for c in names}
     parts = [
-        image_files(tasks, files).withColumn("filename", base).withColumns(none("voice_data")),
+        image_files(tasks, files).withColumns({"filename": base, "tags": told("thumbnail_image", F.col("quality") == "thumbnail")}).withColumns(none("voice_data")),
         video_files(tasks, links, files).withColumns(none("voice_data")),
         plain_files(tasks, links, files).withColumns(none("voice_data")),
-        voices(tasks, blobs).withColumns(none("path")).withColumn("filename", F.when(F.col("voice_data").isNotNull(), F.concat(F.col("server_id").cast("string"), F.lit(".silk")))),
+        voices(tasks, blobs).withColumns(none("path")).withColumns({"filename": F.when(F.col("voice_data").isNotNull(), F.concat(F.col("server_id").cast("string"), F.lit(".silk"))), "tags": told("silk_voice", F.col("voice_data").isNotNull())}),
     ]
-    columns = [*tasks.columns, "path", "filename", "voice_data"]
+    columns = [*tasks.columns, "path", "filename", "voice_data", "tags"]
     return reduce(DataFrame.unionByName, (p.select(*columns) for p in parts))
 
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkweave.functions import text
-from talkweave.operators import export, media, privacy, resolve
+from talkweave.operators import export, export_folder, media, privacy, resolve
 from talkweave.operators import people as P
 from talkweave.plans.catalog import query
 from talkweave.plans.people import HID, HIDDEN, IN_GROUP, OWN, TAG
 from talkweave.plans.views import CON, EVT, SES, named
+from talkweave.session import shared
 from talkweave.sources import adapters as A
 from talkweave.sources import manifest
 from talkweave.sources.settings import Settings
@@ -196,6 +197,47 @@ def export_lines(spark: SparkSession, root: str) -> DataFrame:
     return export.txt_lines(d, "Me").select(F.col("position").cast("int").alias("position"), "line")
 
 
+@query(f"""WITH {EVT}, {CON}, k AS (SELECT *, CASE WHEN msg_type = 3 AND server_id % 2 = 0 THEN 'voice' END AS kind, strftime(to_timestamp(create_time) AT TIME ZONE 'UTC', '%Y-%m-%d') AS d,
+  coalesce(s.name, sender) AS shown FROM evt LEFT JOIN names s ON s.user_name = sender WHERE talker = 'u7'),
+n AS (SELECT *, row_number() OVER (ORDER BY sort_seq, create_time, server_id) AS position, row_number() OVER (PARTITION BY kind ORDER BY sort_seq, create_time, server_id) AS number, coalesce(d <> lag(d) OVER (ORDER BY sort_seq, create_time, server_id), true) AS stop FROM k),
+line AS (SELECT position, CASE WHEN kind = 'voice' THEN chr(10) || '[语音' || number || '] media/' || server_id || '.silk' || chr(10) END AS file, CASE WHEN stop THEN chr(10) || chr(10) || '—————  ' || strftime(to_timestamp(create_time) AT TIME ZONE 'UTC', '%Y-%-m-%-d') || '  —————' || chr(10) ELSE '' END || chr(10) ||
+  CASE WHEN sender = 'c7' THEN 'c7x' ELSE {named("sender", "shown")} END || ' ' || strftime(to_timestamp(create_time) AT TIME ZONE 'UTC', '%H:%M') || chr(10) || CASE WHEN kind = 'voice' THEN '语音' || number || '（可在附件中查看）' WHEN msg_type = 3 THEN '[voice]' ELSE text END || chr(10) AS said FROM n),
+made AS (SELECT string_agg(said, '' ORDER BY position) AS said, string_agg(file, '' ORDER BY position) AS files FROM line),
+span AS (SELECT count(*) AS n, strftime(to_timestamp(min(create_time)) AT TIME ZONE 'UTC', '%Y-%-m-%-d') AS a, strftime(to_timestamp(max(create_time)) AT TIME ZONE 'UTC', '%Y-%-m-%-d') AS b FROM k)
+SELECT 'conversation.txt' AS name, sha256('"c7x"和"u7"的聊天记录如下:' || chr(10) || chr(10) || '导出时间：then' || chr(10) || '消息数：' || n || chr(10) || '时间范围：' || a || ' ~ ' || b || chr(10) || said || coalesce(chr(10) || '附件：' || chr(10) || files, '')) AS digest FROM made, span
+UNION ALL SELECT server_id || '.silk', sha256('v' || server_id) FROM k WHERE kind = 'voice'""")
+def export_written(spark: SparkSession, root: str) -> DataFrame:
+    """A conversation and its voices written to a folder and read back: the digest of the whole text, and of each file."""
+    at, (d, files, links, blobs) = shared(spark), _with_voices(spark, root)
+    export_folder.write(d, at, export_folder.Names("u7", "u7", "c7x"), "then", "txt", (files, links, blobs))
+    parts = export_folder.whole(spark, f"{at}/conversation.txt").agg(F.array_sort(F.collect_list(F.struct("file", "body"))).alias("p"))  # one file for each range of lines
+    said = parts.select(F.lit("conversation.txt").alias("name"), F.sha2(F.array_join("p.body", ""), 256).alias("digest"))
+    held = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(f"{at}/media")
+    return said.unionByName(held.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("digest")))
+
+
+def _with_voices(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A conversation of the events whose clicks are voices, of which the blobs hold every second one."""
+    d = A.events(spark, root).filter("talker = 'u7'").withColumn("content_kind", F.when(F.col("msg_type") == 3, "Voice").otherwise(F.col("content_kind")))
+    d = P.enrich_messages(d, P.names(A.contacts(spark, root)), OWN)
+    key = F.col("server_id").cast("string")
+    blobs = d.filter("content_kind = 'Voice' and server_id % 2 = 0").select(key.alias("svr_id"), F.concat(F.lit("v"), key).cast("binary").alias("voice_data"), F.lit("0").alias("db"))
+    return d, spark.createDataFrame([], "path string"), spark.createDataFrame([], "md5 string, file_name string, dir1 string, dir2 string"), blobs
+
+
+@query(f"""WITH {EVT}, k AS (SELECT *, msg_type = 3 AND server_id % 2 = 0 AS held FROM evt WHERE talker = 'u7')
+SELECT row_number() OVER (ORDER BY sort_seq, create_time, server_id) - 1 AS place, server_id, CASE msg_type WHEN 3 THEN '[voice]' ELSE text END AS snippet, CASE WHEN held THEN 'media/' || server_id || '.silk' END AS file, (SELECT count(*) FROM k) AS returned, (SELECT count_if(held) FROM k)::BIGINT AS files FROM k""")
+def export_json(spark: SparkSession, root: str) -> DataFrame:
+    """The same as JSON, which is read back as one object."""
+    at, (d, files, links, blobs) = shared(spark), _with_voices(spark, root)
+    export_folder.write(d, at, export_folder.Names("u7", "u7", "c7x"), "then", "json", (files, links, blobs))
+    parts = export_folder.whole(spark, f"{at}/conversation.json").agg(F.array_sort(F.collect_list(F.struct("file", "body"))).alias("p"))
+    shape = "items array<struct<server_id: long, snippet: string, media_files: array<string>>>, media_files array<string>, paging struct<returned: long>"
+    o = parts.select(F.from_json(F.array_join("p.body", ""), shape, {"mode": "FAILFAST"}).alias("o"))
+    each = o.select(F.posexplode("o.items").alias("place", "i"), F.col("o.paging.returned").alias("returned"), F.size("o.media_files").cast("long").alias("files"))
+    return each.select(F.col("place").cast("long").alias("place"), "i.server_id", "i.snippet", F.col("i.media_files")[0].alias("file"), "returned", "files")
+
+
 @query(f"""WITH {CON} SELECT user_name, '  ' || rpad(CASE WHEN remark <> '' THEN remark WHEN nick_name <> '' THEN nick_name ELSE '' END || CASE WHEN (remark <> '' OR nick_name <> '') AND alias <> '' THEN ' / ' ELSE '' END || alias, 30, ' ') || ' (' || user_name || ')' AS head
 FROM con WHERE length(CASE WHEN remark <> '' THEN remark WHEN nick_name <> '' THEN nick_name ELSE '' END || alias) > 0""")
 def contact_heads(spark: SparkSession, root: str) -> DataFrame:

@@ -119,6 +119,10 @@ class ChatStore:
     def _talker(self, contact: str, show_hidden: bool) -> str:
         return resolve.resolve(self.contacts, contact, self.hidden(), show_hidden).user_name
 
+    def _rendered(self, d: DataFrame, show_hidden: bool | str | None) -> DataFrame:
+        """Messages without what is hidden, named and rendered once after that."""
+        return people.enrich_messages(d if shown(show_hidden) else privacy.project_messages(d, self.hidden()), self.resolver, self.own)
+
     def health(self) -> dict[str, int]:
         """How many rows each table has."""
         tables = {"messages": self.messages, "sessions": self.sessions, "contacts": self.contacts, "chatrooms": self.chatrooms}
@@ -172,8 +176,7 @@ class ChatStore:
             from talkweave.sources import monthly
 
             page = monthly.page(self.messages.sparkSession, self.months, q)
-        d = people.enrich_messages(page, self.resolver, self.own)
-        d = d if shown(show_hidden) else privacy.project_messages(d, self.hidden())
+        d = self._rendered(page, show_hidden)
         up = ascending(order) or any(a is not None for a in (around_sort_seq, around_server_id, after_sort_seq))
         total = messages.count_messages(self.messages, q, count_filtered).first()["total"]
         return Page(d.orderBy(*messages.ordered(up)), effective_limit(limit), offset, total, total, self.skipped, self.warnings)
@@ -239,8 +242,7 @@ class ChatStore:
         talker = self._talker(contact, shown(show_hidden))
         q = messages.MessageQuery(talker, since, until, None, None, limit, offset, ascending(order, True)).validate()
         d = messages.filtered(self.messages, q) if everything else messages.page(self.messages, q)
-        d = people.enrich_messages(d, self.resolver, self.own)
-        return d if shown(show_hidden) else privacy.project_messages(d, self.hidden())
+        return self._rendered(d, show_hidden)
 
     def export_text(self, contact: str, exported_at: str, located: DataFrame | None = None, **how) -> str:
         """The conversation as text. located: media.located() of its messages; those with a file are numbered and listed at the end."""
@@ -254,6 +256,22 @@ class ChatStore:
         names = {r.user_name: r.display_name for r in self.resolver.filter(F.col("user_name").isin(talker, self.own)).collect()}
         return export.txt(d, names.get(talker, talker), names.get(self.own, self.own), talker.endswith(S.GROUP_SUFFIX), exported_at)
 
+    def export_to(self, folder: str, contact: str, exported_at: str, format: str = "txt", no_media: bool = False, show_emoji: bool = False, media_in: tuple[DataFrame, DataFrame, DataFrame] | None = None, **how) -> dict:  # noqa: A002
+        """Writes the conversation below folder as "txt" or "json", and its media unless no_media; see export_folder.write.
+
+        media_in: (files, links, blobs) of media.located(). how: as of export(); everything is the whole conversation."""
+        from talkweave.operators import export_folder
+
+        talker, d = self._talker(contact, shown(how.get("show_hidden"))), self.export(contact, **how)
+        names = {r.user_name: r.display_name for r in self.resolver.filter(F.col("user_name").isin(talker, self.own)).collect()}
+        who = export_folder.Names(talker, names.get(talker, talker), names.get(self.own, self.own))
+        paging = None
+        if format == "json":
+            q = messages.MessageQuery(talker, how.get("since", 0), how.get("until", S.MAX_LONG))
+            limit, offset = (0, 0) if how.get("everything") else (how.get("limit", DEFAULTS["export"]), how.get("offset", 0))
+            paging = {"limit": effective_limit(limit), "offset": offset, "total": messages.count_messages(self.messages, q).first()["total"]}
+        return export_folder.write(d, folder, who, exported_at, format, None if no_media else media_in, show_emoji, paging, {"skipped": self.skipped} | ({"warnings": self.warnings} if self.warnings else {}))
+
     def events(self, sessions: DataFrame, new: DataFrame, known: DataFrame | None = None) -> DataFrame:
         """Tagged rows of the streams of session listings (with snapshot) and of messages: moved sessions and new messages, for
         streaming.delivery. Cursors move over hidden messages too; talkers that are hidden, and hidden senders in groups, are left out after that."""
