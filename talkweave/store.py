@@ -49,6 +49,7 @@ class ChatStore:
     warnings: list[str] = field(default_factory=list)
     skipped: int = 0
     months: str | None = None
+    index_at: tuple[str, Options] | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, root: str, own: str = "", settings: Settings | None = None, core: bool = False, ingested: str | None = None) -> ChatStore:
@@ -195,17 +196,49 @@ class ChatStore:
     def build_index(self, options: Options = Options(), root: str | None = None) -> ChatStore:
         """Searches use the index from now on. root: where it is stored, and read again as long as the messages are the same."""
         self.index = search.build_index(self.messages, options) if root is None else search.stored_index(self.messages, root, options)
+        self.index_at = None if root is None else (root, options)
         return self
 
+    def _reopened(self) -> bool:
+        """Whether the stored index could be read anew, in its latest version."""
+        found = search.read_index(self.messages.sparkSession, *self.index_at) if self.index_at else None
+        self.index = found or self.index
+        return found is not None
+
     def search(self, q: str, limit: int = DEFAULTS["other"], offset: int = 0, mode: str | None = None, hide: bool = False, options: Options = Options()) -> Page:
-        """By the index if there is one, else by scan; mode ("index", "scan") asks for one. Hidden talkers are found, too, unless hide is set."""
+        """By the index if there is one, else by scan; mode ("index", "scan") asks for one. Hidden talkers are found, too, unless hide is set.
+
+        An index that cannot be read is opened once more; if that fails as well, the scan answers with a warning, or, where
+        mode is "index", the error is raised."""
+        from py4j.protocol import Py4JJavaError
+        from pyspark.errors import PySparkException
+
         if mode == "index" and self.index is None:
             raise LookupError("no index in this store")
+        warnings = list(self.warnings)
         if self.index is not None and mode != "scan":
-            hits, paged, scanned = search.indexed_search(*self.index, q, options).withColumnRenamed("raw_text", "snippet"), search.index_page, 0
-        else:
-            known = self.messages.join(self.sessions.select(F.col("username").alias("talker")), "talker", "left_semi")
-            hits, paged, scanned = people.enrich_messages(search.scan_search(known, q), self.resolver, self.own), search.scan_page, None
+            try:
+                return self._by_index(q, limit, offset, hide, options)
+            except (Py4JJavaError, PySparkException) as first:
+                failed = first
+            try:
+                if self._reopened():
+                    return self._by_index(q, limit, offset, hide, options)
+            except (Py4JJavaError, PySparkException) as again:
+                failed = again
+            if mode == "index":
+                raise failed
+            warnings.append(f"the index could not be read, rows were scanned: {type(failed).__name__}")
+        known = self.messages.join(self.sessions.select(F.col("username").alias("talker")), "talker", "left_semi")
+        hits = people.enrich_messages(search.scan_search(known, q), self.resolver, self.own)
+        return self._found(hits, search.scan_page, messages.KEY, limit, offset, hide, None, warnings)
+
+    def _by_index(self, q: str, limit: int, offset: int, hide: bool, options: Options) -> Page:
+        hits = search.indexed_search(*self.index, q, options).withColumnRenamed("raw_text", "snippet")
+        return self._found(hits, search.index_page, search.INDEX_ORDER, limit, offset, hide, 0, self.warnings)
+
+    def _found(self, hits: DataFrame, paged, keys: tuple[str, ...], limit: int, offset: int, hide: bool, scanned: int | None, warnings: list[str]) -> Page:
+        """The page of hits, counted and named."""
         if hide:
             hits = privacy.visible(hits, self.hidden())
         total = hits.count()
@@ -213,8 +246,7 @@ class ChatStore:
         if "sender_display_name" not in d.columns:
             d = people.with_name(d, "sender", self.resolver, "sender_display_name")
         d = people.with_name(d, "talker", self.resolver, "talker_display_name").withColumn("hit_type", F.lit("message"))
-        keys = search.INDEX_ORDER if paged is search.index_page else messages.KEY
-        return Page(d.orderBy(*messages.ordered(False, keys)), effective_limit(limit), offset, total, total if scanned is None else scanned)
+        return Page(d.orderBy(*messages.ordered(False, keys)), effective_limit(limit), offset, total, total if scanned is None else scanned, 0, warnings)
 
     def search_files(self, rows: DataFrame, names: DataFrame, q: str, limit: int = DEFAULTS["other"], offset: int = 0, hide: bool = False, options: Options = Options()) -> Page:
         """Search in the account's own index files (index_rows, index_names), latest first."""
