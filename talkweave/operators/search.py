@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from talkweave.functions import labels
 from talkweave.functions.content import index_text, matches, searchable
-from talkweave.functions.tokens import Options, phrases, stems, tokens
+from talkweave.functions.tokens import Options, phrases, stemmed, tokens, words
 from talkweave.operators.messages import KEY, ordered
 from talkweave.operators.people import name_hits
 from talkweave.page import effective_limit
@@ -77,59 +76,59 @@ def file_page(hits: DataFrame, limit: int = 0, offset: int = 0) -> DataFrame:
 
 def build_index(messages: DataFrame, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """(documents, postings). documents: doc (128 bits of keys and text), talker, sender, the order keys, codes and raw_text of
-    messages with a text. Words are cut by built-in functions; their stems come from a table of the distinct words."""
+    messages with a text. Words are cut by built-in functions."""
     d = messages.withColumn("raw_text", index_text(F.col("content_kind"), F.col("content"))).filter("raw_text is not null")
     parts = (F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("talker", *KEY, "sender", "raw_text"))
     docs = d.withColumn("doc", F.unhex(F.md5(F.concat_ws("\1", *parts).cast("binary"))))
     docs = docs.select("doc", "talker", "sender", "create_time", "sort_seq", "server_id", "msg_type", "sub_type", "raw_text")
-    per = docs.select("doc", F.posexplode(tokens(F.col("raw_text"), replace(options, stemming=False))).alias("pos", "each")).select(F.col("each")[0].alias("token"), "doc", "pos")
-    return docs, with_stems(per) if options.stemming else per
+    return docs, postings_of(docs, options)
 
 
-def with_stems(postings: DataFrame) -> DataFrame:
-    """postings with those of the words' stems beside them. Each distinct word is stemmed once, whatever the number of its postings."""
-    words = postings.filter(F.col("token").rlike("^[a-z]{3,}$")).select("token").distinct()
-    other = words.select("token", stems(F.col("token")).alias("stem")).filter("stem != token")
-    # The stem is found first, then both dealt: a frequent word's postings go to many tasks.
-    beside = postings.join(other, "token").select(F.col("stem").alias("token"), "doc", "pos")
-    return postings.unionByName(beside)
+def postings_of(docs: DataFrame, options: Options, *beside: str) -> DataFrame:
+    """token, doc, pos of the documents' texts, and the columns beside. A word and its stem are found where the text is: no row is dealt out."""
+    found = words(F.col("raw_text"), options)
+    if not options.stemming:
+        return docs.select(*beside, "doc", F.posexplode(found).alias("pos", "token")).select(*beside, "token", "doc", "pos")
+    each = docs.select(*beside, "doc", F.posexplode(stemmed(found)).alias("pos", "own"))
+    return each.select(*beside, F.explode("own").alias("token"), "doc", "pos")
 
 
 def indexed_search(docs: DataFrame, postings: DataFrame, keyword: str, options: Options = Options()) -> DataFrame:
-    """Documents with all phrases, by postings alone."""
+    """Documents with all phrases, by postings alone, which are read once whatever the number of words."""
     wanted = phrases(keyword, options)
     if not wanted or not all(wanted):
         return docs.limit(0)
-    found = None
-    for p in wanted:
-        spots = [postings.filter(F.col("token").isin(own)).select("doc", (F.col("pos") - k).alias("start"), F.lit(k).alias("k")) for k, own in enumerate(p)]
-        every = reduce(DataFrame.unionAll, spots)
-        held = every.groupBy("doc", "start").agg(F.countDistinct("k").alias("n")).filter(F.col("n") == len(p)).select("doc").distinct() if len(p) > 1 else every.select("doc").distinct()
-        found = held if found is None else found.join(held, "doc", "left_semi")
-    return docs.join(found, "doc", "left_semi")
+    places = [(token, i, len(p), k) for i, p in enumerate(wanted) for k, own in enumerate(p) for token in own]
+    asked = postings.sparkSession.createDataFrame(places, "token string, phrase int, n int, k int")
+    hits = postings.filter(F.col("token").isin(*{t for t, *_ in places})).join(F.broadcast(asked), "token")
+    # A phrase of one word is held anywhere; of others all places from one start on, as bits.
+    hits = hits.withColumn("start", F.when(F.col("n") == 1, 0).otherwise(F.col("pos") - F.col("k")))
+    cuts = range(0, max(map(len, wanted)), 60)
+    bits = [F.bit_or(F.when(F.col("k").between(at, at + 59), F.expr(f"shiftleft(1L, k - {at})")).otherwise(F.lit(0).cast("long"))).alias(f"b{at}") for at in cuts]
+    held = hits.groupBy("doc", "phrase", "n", "start").agg(*bits).filter(sum(F.bit_count(f"b{at}") for at in cuts) == F.col("n"))
+    found = held.groupBy("doc").agg(F.countDistinct("phrase").alias("phrases")).filter(F.col("phrases") == len(wanted)) if len(wanted) > 1 else held
+    return docs.join(found.select("doc"), "doc", "left_semi")
 
 
 def _month() -> Column:
     return F.coalesce(F.date_format(F.timestamp_seconds("create_time"), "yyyy-MM"), F.lit("none")).alias("month")
 
 
-def write_segment(messages: DataFrame, root: str, options: Options) -> str:
-    """Writes a segment of the index, by months and with postings clustered by token; nothing refers to it yet. Its name."""
+def write_segment(docs: DataFrame, root: str, options: Options, part: int = 1 << 25) -> str:
+    """Writes documents with their month as a segment of the index, by months; nothing refers to it yet. Its name.
+
+    Texts are dealt in parts of about so many bytes by months, and each part's postings are clustered by token: the postings
+    themselves, many times the texts, are dealt to nobody, and a part's few documents are a small dictionary beside them."""
     name = uuid.uuid4().hex
-    at, spark = f"{root}/segments/{name}", messages.sparkSession
-    docs, words = build_index(messages, replace(options, stemming=False))
-    docs.withColumn("month", _month()).write.partitionBy("month").parquet(f"{at}/docs")
-    words.write.parquet(f"{at}/words")  # texts are cut once
-    words = spark.read.schema("token string, doc binary, pos int").parquet(f"{at}/words")
-    months = spark.read.schema("doc binary, month string").parquet(f"{at}/docs").distinct()
-    _write_postings((with_stems(words) if options.stemming else words).join(months, "doc").select("month", "token", "doc", "pos"), f"{at}/postings")
+    at, spark = f"{root}/segments/{name}", docs.sparkSession
+    docs.write.partitionBy("month").parquet(f"{at}/docs")
+    texts = spark.read.schema("doc binary, raw_text string, month string").parquet(f"{at}/docs")
+    size = texts.agg(F.sum(F.octet_length("raw_text"))).first()[0] or 0
+    texts = texts.repartitionByRange(1 + size // part, "month", "doc")
+    postings_of(texts, options, "month").sortWithinPartitions("token").write.parquet(f"{at}/postings")
     return name
 
 
-def _write_postings(postings: DataFrame, path: str) -> None:
-    postings.repartitionByRange("month", "token", "doc").sortWithinPartitions("month", "token", "doc", "pos").write.partitionBy("month").parquet(path)
-
-
 def manifest(spark: SparkSession, root: str) -> list[Row]:
     """(month, digest, n, segment, version) of the latest version; one row a month, and one without a month."""
     try:
@@ -160,13 +159,10 @@ def stored_index(messages: DataFrame, root: str, options: Options = Options(), m
     changed = [m for m, (digest, _) in now.items() if m not in old or old[m].digest != digest]
     held = {m: (digest, n, old[m].segment if m in old else None) for m, (digest, n) in now.items()}
     if changed:
-        name = write_segment(messages.filter(_month().isin(changed)), root, options)
+        name = write_segment(build_index(messages.filter(_month().isin(changed)), options)[0].withColumn("month", _month()), root, options)
         held |= {m: (*now[m], name) for m in changed}
     if len({s for *_, s in held.values()}) > most_segments:
-        name = uuid.uuid4().hex
-        docs, postings = _segments(spark, root, {m: s for m, (*_, s) in held.items()})
-        docs.write.partitionBy("month").parquet(f"{root}/segments/{name}/docs")
-        _write_postings(postings, f"{root}/segments/{name}/postings")
+        name = write_segment(_segments(spark, root, {m: s for m, (*_, s) in held.items()})[0], root, options)
         held = {m: (digest, n, name) for m, (digest, n, _) in held.items()}
     if changed or held.keys() != old.keys():
         version = 1 + max((r.version for r in found), default=0)
