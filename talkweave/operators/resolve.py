@@ -60,18 +60,32 @@ def resolve(contacts: DataFrame, name: str, hidden: DataFrame | None = None, sho
     return Resolved(*found[0])
 
 
-def grams(text: Column, most: int = 3) -> Column:
-    """The distinct substrings of up to three characters."""
-    each = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.flatten(F.array(*map(each, range(1, most + 1)))))
+#: Bits of the filter that substrings pass before they are dealt out: 2 MB of longs.
+BITS = 1 << 24
+
+
+def substrings(texts: Column, lengths: Column) -> Column:
+    """Hashes of the distinct substrings of these lengths."""
+    at = lambda t, n: F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.xxhash64(F.substring(t, i, n)))
+    each = lambda t: F.flatten(F.transform(F.filter(lengths, lambda n: n <= F.length(t)), lambda n: at(t, n)))
+    return F.array_distinct(F.flatten(F.transform(texts, each)))
+
+
+def bit_filter(keys: DataFrame) -> Column:
+    """BITS bits, as an array of longs: those of the column key's values are set. A scalar subquery."""
+    k = F.pmod(F.col("key"), F.lit(BITS))
+    own = keys.groupBy(F.expr(f"pmod(key, {BITS}) div 64").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (k % 64).cast("int"))).alias("bits"))
+    every = keys.sparkSession.range(BITS // 64).join(own, F.col("id") == F.col("word"), "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))), lambda s: s["bits"]).alias("f")).scalar()
 
 
 def resolve_all(contacts: DataFrame, asked: DataFrame, hidden: DataFrame | None = None, show_hidden: bool = False) -> DataFrame:
     """asked, outcome (found, not found or ambiguous), user_name, display_name, n (contacts that are visible and match): what
     resolve() says of every distinct name of asked (a column of that name), in one plan.
 
-    Names that do not speak for themselves meet contacts by postings of three characters of their fields (shorter names by
-    themselves), each name by that of its substrings that the fewest contacts have; the whole name is compared then."""
+    Names that do not speak for themselves meet contacts by hashes of whole names: of the contacts' fields these are the substrings
+    that are as long as some name. A filter of fixed size leaves out most that no name has before they are dealt out, and what
+    meets is a match, not a candidate; the name itself is compared then."""
     own = names(contacts).groupBy("user_name").agg(F.first("display_name").alias("display_name"))
     passes = F.col("asked").startswith(S.PASS_THROUGH_PREFIX) | F.col("asked").endswith(S.GROUP_SUFFIX) | F.col("asked").isin(*S.PASS_THROUGH_IDS)
     d = asked.select("asked").filter("asked is not null").distinct().join(own.select(F.col("user_name").alias("asked"), F.col("display_name").alias("__shown"), F.lit(True).alias("__exact")), "asked", "left")
@@ -83,12 +97,13 @@ def resolve_all(contacts: DataFrame, asked: DataFrame, hidden: DataFrame | None
     texts = F.transform(F.array_compact(F.concat(F.array(*FIELDS), F.coalesce("labels", F.array().cast("array<string>")))), lambda t: F.lower(t))
     seen = contacts if gone is None else contacts.join(gone, "user_name", "left_anti")
     seen = seen.select("user_name", texts.alias("texts"))
-    wanted = open_.select("asked", "low", F.explode(F.when(F.length("low") < 3, F.array("low")).otherwise(F.filter(grams(F.col("low")), lambda g: F.length(g) == 3))).alias("gram"))
-    postings = seen.select("user_name", F.explode(F.array_distinct(F.flatten(F.transform("texts", lambda t: grams(t))))).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
-    held = postings.groupBy("gram").agg(F.count("*").alias("held"))
-    # A name with a substring that nobody has matches nobody: its fewest is 0.
-    fewest = wanted.join(held, "gram", "left").groupBy("asked", "low").agg(F.min_by("gram", F.struct(F.coalesce("held", F.lit(0)), F.col("gram"))).alias("gram"))
-    near = fewest.join(postings, "gram").join(seen, "user_name").filter(F.exists("texts", lambda t: t.contains(F.col("low"))))
+    wanted = open_.withColumn("key", F.xxhash64("low"))
+    lengths = open_.agg(F.collect_set(F.length("low")).alias("lengths"))
+    held = seen.crossJoin(F.broadcast(lengths)).select("user_name", F.explode(substrings(F.col("texts"), F.col("lengths"))).alias("key"))
+    k = F.pmod(F.col("key"), F.lit(BITS))
+    held = held.filter(F.call_function("getbit", F.element_at(bit_filter(wanted), (F.floor(k / 64) + 1).cast("int")), (k % 64).cast("int")) == 1)
+    pairs = held.join(wanted, "key").select("asked", "low", "user_name").distinct()
+    near = pairs.join(seen, "user_name").filter(F.exists("texts", lambda t: t.contains(F.col("low"))))
     near = near.groupBy("asked").agg(F.count("*").alias("n"), F.min("user_name").alias("__near")).join(own.withColumnRenamed("user_name", "__near"), "__near", "left")
 
     d = d.join(near, "asked", "left").withColumn("user_name", F.when(F.col("__direct"), F.col("asked")).when(F.col("n") == 1, F.col("__near")))
