@@ -114,7 +114,7 @@ def _month() -> Column:
     return F.coalesce(F.date_format(F.timestamp_seconds("create_time"), "yyyy-MM"), F.lit("none")).alias("month")
 
 
-def write_segment(docs: DataFrame, root: str, options: Options, part: int = 1 << 25) -> str:
+def write_segment(docs: DataFrame, root: str, options: Options, part: int = 1 << 24) -> str:
     """Writes documents with their month as a segment of the index, by months; nothing refers to it yet. Its name.
 
     Texts are dealt in parts of about so many bytes by months, and each part's postings are clustered by token: the postings
